@@ -19,6 +19,6 @@ def spark():
             "spark.driver.memory": "8g",
         },
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
