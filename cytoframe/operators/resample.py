@@ -11,7 +11,7 @@ from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
 from cytoframe.operators.ranks import group_quantiles, kth_smallest, sequential_index
 from cytoframe.operators.stats import mean_interval, spearman
-from cytoframe.session import broadcast_within
+from cytoframe.session import broadcast_within, materialise
 
 
 def hash_number(seed: int, *parts: Column) -> Column:
@@ -40,7 +40,7 @@ def bootstrap_weights(
         *[quoted(v) for v in values if v not in keys],
         quoted(order_by).alias("__o__"),
     )
-    indexed = sequential_index(data, "__o__", "__i__", keys, start=0).drop("__o__")
+    indexed = materialise(sequential_index(data, "__o__", "__i__", keys, start=0).drop("__o__"))
     sizes = indexed.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("__n__"))
     if keys:
         sized = merge(indexed, broadcast_within(sizes), keys, "inner")
@@ -58,7 +58,7 @@ def bootstrap_weights(
         .groupBy(*[quoted(k) for k in keys], "replicate", "__i__")
         .agg(F.count("*").alias("__w__"))
     )
-    return merge(weights, indexed, [*keys, "__i__"], "inner").drop("__i__")
+    return materialise(merge(weights, indexed, [*keys, "__i__"], "inner").drop("__i__"))
 
 
 def _weighted(stat: str) -> Column | None:

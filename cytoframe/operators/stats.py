@@ -13,7 +13,7 @@ from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
 from cytoframe.operators.ranks import average_ranks, group_quantiles
 from cytoframe.operators.reshape import stack
-from cytoframe.session import broadcast_within
+from cytoframe.session import broadcast_within, materialise
 
 
 def contingency(df: DataFrame, keys: Sequence[str], name: str = "Count") -> DataFrame:
@@ -118,11 +118,6 @@ def z_scores(
 
 # ---------------------------------------------------------------- correlation
 
-def _add_ranks(df, keys, value, name, weight):
-    ranks = average_ranks(df, keys, value, name, weight)
-    return merge(df, ranks, [*keys, value], "inner", nulls_match=bool(keys))
-
-
 def spearman(
     df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None, out: str = "rho"
 ) -> DataFrame:
@@ -133,11 +128,15 @@ def spearman(
         quoted(y).alias("__y__"),
         (F.lit(1) if weight is None else quoted(weight)).alias("__w__"),
     ).dropna("any", subset=["__x__", "__y__"])
-    pairs = pairs.groupBy(*[quoted(k) for k in keys], "__x__", "__y__").agg(
-        F.sum("__w__").alias("__w__")
+    pairs = materialise(
+        pairs.groupBy(*[quoted(k) for k in keys], "__x__", "__y__").agg(
+            F.sum("__w__").alias("__w__")
+        )
     )
-    ranked = _add_ranks(pairs, keys, "__x__", "__rx__", "__w__")
-    ranked = _add_ranks(ranked, keys, "__y__", "__ry__", "__w__")
+    ranked = pairs
+    for value, rank in (("__x__", "__rx__"), ("__y__", "__ry__")):
+        ranks = average_ranks(pairs, keys, value, rank, "__w__")
+        ranked = merge(ranked, ranks, [*keys, value], "inner", nulls_match=bool(keys))
     w, rx, ry = F.col("__w__"), F.col("__rx__"), F.col("__ry__")
     sums = ranked.groupBy(*[quoted(k) for k in keys]).agg(
         F.sum(w).cast("double").alias("n"),
