@@ -12,7 +12,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["joins", "shaping", "measures", "resampling"]
+MODULES = ["joins", "shaping", "measures", "resampling", "pixels", "objects"]
 
 
 def query(name: str, sql: str | None = None):
