@@ -157,7 +157,7 @@ def patches(spark, sf):
     "patch_arrays",
     f"""WITH {PATCHES}, s AS (SELECT fov, r, c, py, px_, v / max(v) OVER (PARTITION BY fov, r, c)::DOUBLE
                          AS share FROM p)
-        SELECT fov, r, c, CAST(16 AS INTEGER) AS values, round(sum(share), 6) AS total,
+        SELECT fov, r, c, CAST(16 AS INTEGER) AS values, round(sum(share), 9) AS total,
           round(coalesce(max(share) FILTER (py = 0 AND px_ = 0), 0), 6) AS first,
           round(coalesce(max(share) FILTER (py = 3 AND px_ = 3), 0), 6) AS last FROM s GROUP BY 1, 2, 3""",
 )
@@ -166,7 +166,7 @@ def patch_arrays(spark, sf):
     arrays = W.patch_arrays(W.sliding_patches(px, size=4, stride=2), size=4)
     return arrays.select(
         "fov", "r", "c", F.size("patch").alias("values"),
-        F.round(F.aggregate("patch", F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
+        F.round(F.aggregate("patch", F.lit(0.0), lambda a, b: a + b), 9).alias("total"),
         F.round(F.get("patch", F.lit(0)), 6).alias("first"),
         F.round(F.get("patch", F.lit(15)), 6).alias("last"),
     )

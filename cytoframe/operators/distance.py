@@ -24,7 +24,7 @@ from cytoframe.operators.pixels import rectangle
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _row_distances(xs: pd.Series, gaps: pd.Series) -> pd.Series:
-    """Row pass: per row min over x' of (x - x')^2 + gap(x')^2, as a root; null without seeds."""
+    """Row pass: per row min over x' of (x - x')^2 + gap(x')^2, as a root; nulls without seeds."""
     import numpy as np
 
     out = []
@@ -33,7 +33,7 @@ def _row_distances(xs: pd.Series, gaps: pd.Series) -> pd.Series:
         gap = np.asarray(gap, dtype="float64")
         seen = ~np.isnan(gap)
         if not seen.any():
-            out.append(None)
+            out.append([None] * len(x))
             continue
         squares = (x[:, None] - x[None, seen]) ** 2 + gap[None, seen] ** 2
         out.append(np.sqrt(squares.min(axis=1)))
