@@ -18,6 +18,7 @@ from cytoframe.operators.reshape import tidy
 from cytoframe.operators.stats import mean_interval
 from cytoframe.plans import cell_table as CT
 from cytoframe.plans import plot_tables as PT
+from cytoframe.session import materialise
 from cytoframe.sources import readers as SR
 from cytoframe.sources import writers as SW
 
@@ -285,8 +286,7 @@ def annotation_checks(spark, sf):
     return PT.annotation_checks(df, features)
 
 
-def stand_in_structure(spark, sf):
-    features = stand_in_features(spark, sf)
+def stand_in_structure(features):
     q, d = F.col("napariCell_AreaShape_Area"), F.col("napariCell_Center_X_Center_")
     shares = {
         "Frac_Area_Background": F.pmod(q, F.lit(7.0)) / 10, "Frac_Area_DiffuseOthers": d,
@@ -305,8 +305,9 @@ def stand_in_structure(spark, sf):
 
 
 def analysis(spark, sf):
-    features, _ = PT.clean_features(stand_in_features(spark, sf), OBS)
-    return features, *PT.analysis_tables(features, stand_in_structure(spark, sf), PROBES)
+    raw = materialise(stand_in_features(spark, sf))
+    features, _ = PT.clean_features(raw, OBS)
+    return raw, *PT.analysis_tables(features, stand_in_structure(raw), PROBES)
 
 
 @query(
@@ -350,10 +351,9 @@ def tidy_cells(spark, sf):
         FROM pc JOIN days USING (age), md""",
 )
 def plot_dataset(spark, sf):
-    features, wide, _, _ = analysis(spark, sf)
+    raw, wide, _, _ = analysis(spark, sf)
     cell = [F.col("fov_path").alias("original_fov_location"), "napariCell_ObjectNumber"]
     p = F.col("napariCell_Children_seg_probe_561_Count")
-    raw = stand_in_features(spark, sf)
     metrics = raw.select(
         *cell, *[p.alias(f"seg_{w}_cell_abs_dist_struc_total_mean") for w in (561, 638)]
     )
@@ -419,7 +419,9 @@ def revised_table(spark, sf):
     part = table(spark, sf, "lineitem").groupBy(
         F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("napariCell_ObjectNumber")
     ).agg(F.min("l_partkey").alias("part"))
-    cells = J.merge(cells, part, ["ImageNumber", "napariCell_ObjectNumber"], "inner", False)
+    cells = materialise(
+        J.merge(cells, part, ["ImageNumber", "napariCell_ObjectNumber"], "inner", False)
+    )
     cells = cells.withColumn("no_structure", F.when(F.col("part") % 10 == 0, 0))
     scored = cells.where("cell_age = 18").drop("no_structure")
     marked = cells.where("cell_age = 32")
@@ -428,7 +430,7 @@ def revised_table(spark, sf):
         F.lit("2019-05-17").alias("Replate Date"),
         F.when(F.col("r_regionkey") == 0, "OldFish").otherwise("Bonus").alias("Dataset"),
     )
-    structure = stand_in_structure(spark, sf)
+    structure = stand_in_structure(cells)
     fish = PT.revised_fish(scored, [marked], plates, [structure])
     orders = table(spark, sf, "orders")
     live = orders.select(

@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from cytoframe.functions.scalars import ratio
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.components import connected_components
-from cytoframe.operators.joins import anti, merge
+from cytoframe.operators.joins import merge, semi
 from cytoframe.operators.objects import bounding_boxes
 from cytoframe.operators.pixels import rectangle
+from cytoframe.session import materialise
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -161,14 +162,11 @@ def scaled_map(pixels: DataFrame, value: str, out: str, fov: str = "fov") -> Dat
     ).drop("__top__")
 
 
-def value_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, prefix: str = "", quarters: bool = False
-) -> DataFrame:
+def statistics_columns(value: str, prefix: str = "", quarters: bool = False) -> list[Column]:
     """Median, mean, sd, sum and quartiles of the values that are not negative.
 
     ``quarters`` adds counts in the four quarters of 0..1, plain and divided by the number
-    of values (the last one by the number of values above 0). Groups are cells; -1 marks a
-    value outside and is ignored.
+    of values (the last one by the number of values above 0).
     """
     v = F.when(quoted(value) >= 0, quoted(value).cast("double"))
     made = {
@@ -192,8 +190,15 @@ def value_statistics(
         for name, c in counts.items():
             base = F.count_if(v > 0) if name == "bin100count" else known
             made[f"norm_count_{name}"] = F.try_divide(c.cast("double"), base.cast("double"))
+    return [e.alias(prefix + n) for n, e in made.items()]
+
+
+def value_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, prefix: str = "", quarters: bool = False
+) -> DataFrame:
+    """Statistics per cell; -1 marks a value outside and is ignored."""
     return df.groupBy(*[quoted(k) for k in keys]).agg(
-        *[e.alias(prefix + n) for n, e in made.items()]
+        *statistics_columns(value, prefix, quarters)
     )
 
 
@@ -228,31 +233,29 @@ def probe_localisation(
     table instead of stopping the job.
     """
     keys = ["fov", "label"]
-    regions = cell_regions(pixels, [*probes, *seeds], margin, inclusive)
-    all_cells = regions.select(*keys).distinct()
-    usable = all_cells
-    for s in seeds:
-        usable = merge(
-            usable, regions.where(quoted(s) > 0).select(*keys).distinct(), keys, "inner", False
-        )
-    failed = anti(all_cells, usable, keys)
-    regions = merge(regions, usable, keys, "inner", False)
-    surface = regions
+    regions = materialise(cell_regions(pixels, [*probes, *seeds], margin, inclusive))
+    held = regions.groupBy(*keys).agg(*[F.max(quoted(s)).alias(s) for s in seeds])
+    has_all = F.least(F.lit(1), *[F.coalesce(quoted(s), F.lit(0)) for s in seeds]) > 0
+    usable = materialise(held.select(*keys, has_all.alias("usable")))
+    failed = usable.where(~F.col("usable")).select(*keys)
+    usable = usable.where("usable").select(*keys)
+    surface = semi(regions, usable, keys)
     for s in seeds:
         surface = seed_and_edge_distances(surface, s).withColumnsRenamed(
             {"d_seed": f"abs_dist_{s}", "d_share": f"dist_{s}"}
         ).drop("d_edge")
     values = [f"{kind}_{s}" for s in seeds for kind in ("dist", "abs_dist")]
+    surface = materialise(surface.select(*keys, "y", "x", *values))
     out = None
     for p in probes:
-        points = sample_at(probe_centres(regions, p), surface, values)
-        rows = usable
-        for v in values:
-            rows = merge(rows, value_statistics(points, keys, v, f"{v}_"), keys, "left", False)
-        listed = points.groupBy(*keys).agg(
+        points = sample_at(
+            probe_centres(semi(regions, usable, keys), p), surface, values
+        )
+        measured = points.groupBy(*keys).agg(
+            *[c for v in values for c in statistics_columns(v, f"{v}_")],
             F.sort_array(F.collect_list(F.struct("y", "x"))).alias("probe_centres"),
             F.count("*").alias("probe_objects"),
         )
-        rows = merge(rows, listed, keys, "left", False).withColumn("probe", F.lit(p))
+        rows = merge(usable, measured, keys, "left", False).withColumn("probe", F.lit(p))
         out = rows if out is None else out.unionByName(rows)
     return out, failed

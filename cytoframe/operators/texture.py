@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
+from cytoframe.session import materialise
 
 
 def cropped_cells(
@@ -67,34 +68,38 @@ def even_angles(n: int = 16) -> list[float]:
     return [math.pi * i / (n - 1) for i in range(n)] if n > 1 else [0.0]
 
 
-def _pair_counter(steps: dict[int, list[int]]):
-    """Counts of level pairs between two rows for all column steps of their row distance."""
+def _padded(rows: pd.Series, starts, width: int):
+    """Rows of different lengths as one matrix, row r shifted right by ``starts[r]``."""
+    import numpy as np
 
-    @F.pandas_udf("array<struct<dx:int,i:int,j:int,n:long>>")
-    def count(dy: pd.Series, x0: pd.Series, a: pd.Series, x1: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
+    lengths = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), width), dtype="int64")
+    row = np.repeat(np.arange(len(rows)), lengths)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = place + np.repeat(np.asarray(starts), lengths)
+    inside = (place >= 0) & (place < width)
+    out[row[inside], place[inside]] = np.concatenate(list(rows))[inside]
+    return out
 
-        def one(row_step, start_a, row_a, start_b, row_b):
-            row_a, row_b = np.asarray(row_a), np.asarray(row_b)
-            found = []
-            for dx in steps[int(row_step)]:
-                # column of the partner of the first pixel, in the second row's array
-                shift = int(start_a) + dx - int(start_b)
-                lo, hi = max(0, -shift), min(len(row_a), len(row_b) - shift)
-                if hi <= lo:
-                    continue
-                p, q = row_a[lo:hi], row_b[lo + shift:hi + shift]
-                both = (p > 0) & (q > 0)
-                pairs, n = np.unique(p[both] * 65536 + q[both], return_counts=True)
-                found += [
-                    {"dx": dx, "i": int(k // 65536), "j": int(k % 65536), "n": int(c)}
-                    for k, c in zip(pairs, n)
-                ]
-            return found
 
-        return pd.Series([one(*t) for t in zip(dy, x0, a, x1, b)])
+def _count_pairs(part: pd.DataFrame, keys: list[str], columns: list[int], levels: int):
+    """Level pair counts of row pairs with one row distance, for all column steps at once."""
+    import numpy as np
 
-    return count
+    cell = part.groupby(keys, sort=False).ngroup().to_numpy()
+    names = part[keys].iloc[np.unique(cell, return_index=True)[1]]
+    reach = max(abs(d) for d in columns)
+    width = int(part["row"].map(len).max())
+    a = _padded(part["row"], np.zeros(len(part), dtype="int64"), width)
+    shift = (part["__x1__"] - part["x0"]).to_numpy() + reach
+    b = _padded(part["__row1__"], shift, width + 2 * reach)
+    for dx in columns:
+        q = b[:, reach + dx : reach + dx + width]
+        both = (a > 0) & (q > 0)
+        code = (np.broadcast_to(cell[:, None], a.shape)[both] * levels + a[both]) * levels + q[both]
+        found, n = np.unique(code, return_counts=True)
+        made = names.iloc[found // (levels * levels)].reset_index(drop=True)
+        yield made.assign(dx=dx, i=found // levels % levels, j=found % levels, n=n)
 
 
 def cooccurrence(
@@ -104,8 +109,10 @@ def cooccurrence(
     """Directed counts (keys, dy, dx, i, j, n) of level pairs at each (dy, dx) step.
 
     Rows of a cell are packed into arrays and joined once per row distance, so the shuffle
-    carries rows times row distances instead of pixels times steps.
+    carries rows times row distances instead of pixels times steps. Pairs are counted in
+    Arrow batches of rows; a batch is cut where its matrices would grow large.
     """
+    keys = list(keys)
     by = [quoted(k) for k in keys]
     wanted: dict[int, list[int]] = {}
     for dy, dx in sorted(set(steps)):
@@ -128,12 +135,23 @@ def cooccurrence(
         *by, F.explode(F.array(*[F.lit(d) for d in wanted])).alias("dy"), "y", "x0", "row"
     ).withColumn("y", F.col("y") + F.col("dy"))
     there = rows.select(*by, "y", F.col("x0").alias("__x1__"), F.col("row").alias("__row1__"))
-    paired = here.join(there, [*keys, "y"])
-    counter = _pair_counter(wanted)
-    counts = paired.select(
-        *by, "dy", F.explode(counter("dy", "x0", "row", "__x1__", "__row1__")).alias("c")
-    )
-    return counts.groupBy(*by, "dy", "c.dx", "c.i", "c.j").agg(F.sum("c.n").alias("n"))
+    paired = here.join(there, [*keys, "y"]).drop("y")
+    types = dict(cells.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", dy int, dx int, i int, j int, n long"
+
+    def count(batches):
+        for batch in batches:
+            widest = int(batch["row"].map(len).max()) if len(batch) else 1
+            size = max(1, 4_000_000 // widest)
+            for start in range(0, len(batch), size):
+                piece = batch.iloc[start : start + size]
+                levels = 1 + max(int(max(map(max, piece["row"]))), int(max(map(max, piece["__row1__"]))))
+                for dy, part in piece.groupby("dy", sort=False):
+                    for made in _count_pairs(part, keys, wanted[int(dy)], levels):
+                        yield made.assign(dy=int(dy))[[*keys, "dy", "dx", "i", "j", "n"]]
+
+    counts = paired.mapInPandas(count, schema)
+    return counts.groupBy(*by, "dy", "dx", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def step_correlation(counts: DataFrame, keys: Sequence[str] = ("fov", "label")) -> DataFrame:
@@ -161,6 +179,7 @@ def correlation_by_angle(
     """|correlation| per (cell, distance, angle). Steps that coincide are counted once."""
     angles = even_angles() if angles is None else angles
     table = offsets(distances, angles)
+    cells = materialise(cells)
     corr = step_correlation(
         cooccurrence(cells, [(dy, dx) for _, _, dy, dx in table], level, keys), keys
     )

@@ -43,6 +43,7 @@ from cytoframe.operators.stats import (
     over_group_median,
     scaler_params,
 )
+from cytoframe.session import materialise
 
 # fixed values: probes with their amplifier, in column order
 PROBES = [
@@ -280,7 +281,9 @@ def analysis_tables(
             ),
         }
     )
-    wide, model = add_organisation_score(rename_existing(wide, SHORT_NAMES))
+    # the fit reads the table several times, so the join above is written once
+    wide = materialise(rename_existing(wide, SHORT_NAMES))
+    wide, model = add_organisation_score(wide)
     long = tidy(wide, [f"{p}_count" for p in probes])
     wide = wide.toDF(*[N.without_amplifier(c) for c in wide.columns])
     long = long.withColumn("FISH_probe", N.probe_base_name("FISH_probe")).withColumn(
