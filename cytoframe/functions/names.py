@@ -66,7 +66,8 @@ def annotated(df: DataFrame, name: str = "name") -> DataFrame:
 
 def feature_dimension(spark: SparkSession, features: list[str]) -> DataFrame:
     """The column dimension: one row per feature with its four annotations."""
-    return annotated(spark.createDataFrame([(f,) for f in features], "name string"))
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("name"))
+    return annotated(names)
 
 
 def slug(x, sub: str = "_") -> Column:

@@ -153,9 +153,9 @@ def stratified_split(
     wanted = (
         df.groupBy(quoted(stratum))
         .agg(F.count("*").alias("__n__"))
-        .select(quoted(stratum), F.rint(F.col("__n__") * F.lit(test_size)).cast("long").alias("k"))
+        .select(quoted(stratum), F.rint(F.col("__n__") * F.lit(test_size)).cast("long").alias("__k__"))
     )
-    cutoffs = kth_smallest(hashed, [stratum], "__h__", wanted, "k", "__cutoff__")
+    cutoffs = kth_smallest(hashed, [stratum], "__h__", wanted, "__k__", "__cutoff__")
     joined = merge(hashed, broadcast_within(cutoffs), [stratum], "left")
     is_test = F.coalesce(F.col("__h__") <= F.col("__cutoff__"), F.lit(False))
     return joined.withColumn(out, F.when(is_test, "test").otherwise("train")).select(
