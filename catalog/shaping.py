@@ -38,11 +38,11 @@ def column_shaping(spark, sf):
 @query(
     "pair_subset",
     """SELECT p_partkey, p_brand, p_type FROM part
-       WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY'""",
+       WHERE p_brand = 'Brand#17' AND p_type = 'ECONOMY'""",
 )
 def pair_subset(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    return part.where((F.col("p_brand") == "Brand#2") & (F.col("p_type") == "ECONOMY"))
+    return part.where((F.col("p_brand") == "Brand#17") & (F.col("p_type") == "ECONOMY"))
 
 
 @query(

@@ -383,18 +383,17 @@ def cv_over_angles(spark, sf):
 
 @query(
     "peak_position",
-    f"""WITH {CORR}, r AS (SELECT *, corr - exp(-0.1 * d * d) AS residual FROM co)
-        SELECT fov, label, round(max(residual), 6) AS "Peak_Height",
-          CAST(arg_max(d, round(residual, 9) * 1000 - d * 1e-9) AS DOUBLE) AS "Peak_Distance"
-        FROM r GROUP BY 1, 2""",
+    f"""WITH {CORR}, r AS (SELECT fov, label, d, round(corr - exp(-0.1 * d * d), 6) AS residual FROM co),
+          o AS (SELECT *, row_number() OVER (PARTITION BY fov, label ORDER BY residual DESC, d) AS n FROM r)
+        SELECT fov, label, residual AS "Peak_Height", CAST(d AS DOUBLE) AS "Peak_Distance"
+        FROM o WHERE n = 1""",
 )
 def peak_position(spark, sf):
     # rounded so that equal values are equal in both engines
     r = correlations(spark, sf).withColumn(
-        "residual", F.round(F.col("corr") - F.exp(-0.1 * F.col("d") * F.col("d")), 9)
+        "residual", F.round(F.col("corr") - F.exp(-0.1 * F.col("d") * F.col("d")), 6)
     )
-    out = T.peaks(r, T.even_angles(6))
-    return rounded(out.drop("Peak_Angle"), ["Peak_Height"])
+    return T.peaks(r, T.even_angles(6)).drop("Peak_Angle")
 
 
 @query(
