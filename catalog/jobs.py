@@ -191,14 +191,14 @@ def feature_table(spark, sf):
 @query(
     "image_counts",
     f"""WITH {CELL_SQL}, md AS (SELECT DISTINCT "ImageNumber" AS img, "ImagePath" AS path,
-          CAST("ImageNumber" % 3 AS INTEGER) AS age FROM cells WHERE "napariCell_ObjectNumber" = 1)
+          CAST("ImageNumber" % 3 AS INTEGER) AS age FROM cells)
         SELECT coalesce(o_orderkey, img) AS "ImageNumber", coalesce('/img/i' || o_orderkey, path)
           AS "ImagePath", age AS cell_age, o_custkey AS "Count_nuc"
         FROM orders FULL JOIN md ON o_orderkey = img AND '/img/i' || o_orderkey = path""",
 )
 def image_counts(spark, sf):
     tables = image_tables(spark, sf)
-    cells = CT.merge_cells(tables).where("napariCell_ObjectNumber = 1").withColumn(
+    cells = CT.merge_cells(tables).withColumn(
         "cell_age", (F.col("ImageNumber") % 3).cast("int")
     )
     return CT.object_counts(tables["image"], cells)

@@ -258,8 +258,8 @@ def failed_cells(spark, sf):
 
 @query(
     "distance_stats",
-    f"""WITH {SEEDED}, s AS (SELECT fov, label, CASE WHEN y % 3 = 0 THEN -1 ELSE
-            ds / nullif(ds + de, 0) END AS v FROM sd), f AS (SELECT fov, label, v FROM s)
+    f"""WITH {SEEDED}, s AS (SELECT sd.fov, sd.label, CASE WHEN probe = 0 THEN -1 ELSE
+            ds / nullif(ds + de, 0) END AS v FROM sd JOIN rg USING (fov, label, y, x)), f AS (SELECT fov, label, v FROM s)
         SELECT fov, label, round(median(v) FILTER (v >= 0), 6) AS median,
           round(avg(v) FILTER (v >= 0), 6) AS mean, round(stddev_pop(v) FILTER (v >= 0), 6) AS std,
           round(sum(v) FILTER (v >= 0), 6) AS sum,
@@ -282,7 +282,7 @@ def failed_cells(spark, sf):
 )
 def distance_stats(spark, sf):
     out = D.seed_and_edge_distances(regions(spark, sf), "nucleus").select(
-        "fov", "label", F.when(F.col("y") % 3 == 0, F.lit(-1.0)).otherwise(F.col("d_share")).alias("v")
+        "fov", "label", F.when(F.col("probe") == 0, F.lit(-1.0)).otherwise(F.col("d_share")).alias("v")
     )
     stats = D.value_statistics(out, ["fov", "label"], "v", quarters=True)
     exact = ("fov", "label", "bin25count", "bin50count", "bin75count", "bin100count")
@@ -291,14 +291,15 @@ def distance_stats(spark, sf):
 
 @query(
     "objects_by_area",
-    f"""WITH {SEEDED}, q AS (SELECT fov, label, y, x, least(CAST(floor(ds / nullif(ds + de, 0) * 4) AS INTEGER), 3)
-            AS quarter FROM sd WHERE ds / nullif(ds + de, 0) >= 0)
-        SELECT fov, label, quarter, count(*) AS pixels, count(*) FILTER (y % 2 = 0) AS objects,
-          round(count(*) FILTER (y % 2 = 0) / count(*), 6) AS objects_per_pixel FROM q GROUP BY 1, 2, 3""",
+    f"""WITH {SEEDED}, q AS (SELECT sd.fov, sd.label, probe, least(CAST(floor(ds / nullif(ds + de, 0) * 4)
+            AS INTEGER), 3) AS quarter FROM sd JOIN rg USING (fov, label, y, x)
+            WHERE ds / nullif(ds + de, 0) >= 0)
+        SELECT fov, label, quarter, count(*) AS pixels, count(*) FILTER (probe = 1) AS objects,
+          round(count(*) FILTER (probe = 1) / count(*), 6) AS objects_per_pixel FROM q GROUP BY 1, 2, 3""",
 )
 def objects_by_area(spark, sf):
     out = D.seed_and_edge_distances(regions(spark, sf), "nucleus")
-    made = D.normalised_by_area(out.where("y % 2 = 0"), out, ["fov", "label"], "d_share")
+    made = D.normalised_by_area(out.where("probe = 1"), out, ["fov", "label"], "d_share")
     return rounded(made, ["objects_per_pixel"])
 
 

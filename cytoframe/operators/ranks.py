@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
-from cytoframe.session import broadcast_within, materialise, parallel_buckets
+from cytoframe.session import broadcast_within, split_pieces
 
 _ALL = "__all__"
 
@@ -30,19 +30,22 @@ def _cut(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``__cut__``: the number of the group's cut points below the value.
 
     The cut points come from a bounded sketch per group. They are materialised so that
-    every use of them in the plan, and every retry, sees the same ones.
+    every use of them in the plan, and every retry, sees the same ones. A row finds its
+    piece by halving, one projection per step.
     """
-    pieces = parallel_buckets(df.sparkSession)
+    pieces = split_pieces(df.sparkSession)
     shares = [i / pieces for i in range(1, pieces)]
-    cuts = materialise(
-        df.groupBy(*[quoted(k) for k in keys]).agg(
-            F.percentile_approx(quoted(value), shares, 10 * pieces).alias("__cuts__")
-        )
+    cuts = df.groupBy(*[quoted(k) for k in keys]).agg(
+        F.percentile_approx(quoted(value), shares, 10 * pieces).alias("__cuts__")
     )
-    joined = merge(df, broadcast_within(cuts, 20_000), keys, "inner")
-    return joined.withColumn(
-        "__cut__", F.size(F.filter("__cuts__", lambda c: c < quoted(value)))
-    ).drop("__cuts__")
+    out = merge(df, broadcast_within(cuts, per_row=pieces + len(keys)), keys, "inner")
+    out = out.withColumn("__cut__", F.lit(0))
+    step = pieces // 2
+    while step:
+        passed = F.get("__cuts__", F.col("__cut__") + (step - 1)) < quoted(value)
+        out = out.withColumn("__cut__", F.col("__cut__") + F.when(passed, step).otherwise(0))
+        step //= 2
+    return out.drop("__cuts__")
 
 
 def cumulative_counts(

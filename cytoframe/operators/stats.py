@@ -38,7 +38,7 @@ def mean_interval(
 
 def class_weights(df: DataFrame, y: str, weight: str = "weight") -> DataFrame:
     """Add n / (rows with the same y)."""
-    counts = df.groupBy(quoted(y)).agg(F.count("*").alias("__c__"))
+    counts = materialise(df.groupBy(quoted(y)).agg(F.count("*").alias("__c__")))
     total = counts.agg(F.sum("__c__")).first()[0]
     shares = counts.select(quoted(y), (F.lit(total) / F.col("__c__")).alias(weight))
     return merge(df, broadcast_within(shares), [y], "left")

@@ -13,6 +13,7 @@ from cytoframe.operators.models import add_annotator, train_and_predict
 from cytoframe.operators.reshape import distinct_names, stack
 from cytoframe.operators.resample import stratified_split
 from cytoframe.operators.stats import confusion_report, z_scores
+from cytoframe.session import materialise
 
 
 def prepared_splits(
@@ -43,7 +44,7 @@ def predictions(
     out = []
     for p in names:
         part = {s: df.where(quoted(probe) == p) if probe else df for s, df in splits.items()}
-        part = {s: df.persist() for s, df in part.items()}
+        part = {s: materialise(df) for s, df in part.items()}
         for set_name, columns in sets.items():
             if not columns:
                 continue

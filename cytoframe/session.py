@@ -19,6 +19,7 @@ def build_session(name: str = "cytoframe", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -49,17 +50,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def broadcast_within(df: DataFrame, values: int = 2_000_000, per_row: int | None = None) -> DataFrame:
+    """Materialise a parameter table and hint its broadcast if it is proven small.
 
-    Beyond the bound the frame is returned as it is, so the join is planned by size and
-    adaptive execution splits a skewed side.
+    Small means at most ``values`` numbers in all (16 MB of doubles); ``per_row`` is how many
+    a row holds, by default one per column. Beyond that the table is joined without a hint,
+    so the join is planned by size and adaptive execution splits a skewed side. The table is
+    computed once, for the count and for the join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    small = materialise(df)
+    most = values // max(1, per_row or len(df.columns))
+    if small.limit(most + 1).count() <= most:
+        return F.broadcast(small)
+    return small
 
 
-def parallel_buckets(spark: SparkSession, most: int = 256) -> int:
-    """How many pieces one hot group is split into: follows the shuffle width."""
-    return max(4, min(most, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+def split_pieces(spark: SparkSession, most: int = 4096) -> int:
+    """How many pieces one hot group is cut into: a power of two, from the shuffle width."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    pieces = 4
+    while pieces < min(width, most):
+        pieces *= 2
+    return pieces
