@@ -12,7 +12,6 @@ from cytoframe.functions.scalars import ratio
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
 from cytoframe.operators.ranks import average_ranks, group_quantiles
-from cytoframe.operators.reshape import stack
 from cytoframe.session import broadcast_within, materialise
 
 
@@ -205,21 +204,24 @@ def confusion_report(
         ),
     )
     measures = ["precision", "recall", "f1-score"]
-    means = {
-        "macro avg": [F.avg(quoted(m)).alias(m) for m in measures],
-        "weighted avg": [
-            ratio(F.sum(quoted(m) * F.col("support")), F.sum("support")).alias(m)
-            for m in measures
-        ],
-    }
-    return stack(
-        [
-            scored.groupBy(*by)
-            .agg(*aggregates, F.sum("support").alias("support"))
-            .withColumn("Reduction", F.lit(name))
-            for name, aggregates in means.items()
-        ]
-    )
+    plain = [F.avg(quoted(m)).alias(f"macro {m}") for m in measures]
+    weighted = [
+        ratio(F.sum(quoted(m) * F.col("support")), F.sum("support")).alias(f"weighted {m}")
+        for m in measures
+    ]
+    both = scored.groupBy(*by).agg(*plain, *weighted, F.sum("support").alias("support"))
+    kinds = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(f"{kind} avg").alias("Reduction"),
+                    *[quoted(f"{kind} {m}").alias(m) for m in measures],
+                )
+                for kind in ("macro", "weighted")
+            ]
+        )
+    ).alias("__r__")
+    return both.select(*by, kinds, "support").select(*by, "__r__.*", "support")
 
 
 def accuracy(df: DataFrame, keys: Sequence[str], true: str, pred: str) -> DataFrame:

@@ -53,9 +53,8 @@ def predictions(
                 for s, df in part.items():
                     tagged = df.withColumn("split", F.lit(s))
                     made = add_annotator(made, tagged, y, annotator[1], key, annotator[0])
-            out.append(
-                made.withColumns({"probe": F.lit(p or "all"), "features": F.lit(set_name)})
-            )
+            tags = {"probe": F.lit(p or "all"), "features": F.lit(set_name)}
+            out.append(materialise(made.withColumns(tags)))
     return stack(out)
 
 
