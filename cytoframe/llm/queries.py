@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from cytoframe.llm.exact_search import OP1_SQL, op1_exact_top_k
+from cytoframe.llm.html_text import op7_html_extraction
 from cytoframe.llm.token_counts import op3_token_counts
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op3_token_counts,)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {
+    f.__name__: f for f in (op1_exact_top_k, op3_token_counts, op7_html_extraction)
+}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
