@@ -8,8 +8,9 @@ from cytoframe.llm.exact_search import OP1_SQL, op1_exact_top_k
 from cytoframe.llm.html_text import op7_html_extraction
 from cytoframe.llm.packing import op5_packing
 from cytoframe.llm.token_counts import op3_token_counts
+from cytoframe.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable] = {
-    f.__name__: f for f in (op1_exact_top_k, op3_token_counts, op5_packing, op7_html_extraction)
+    f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op7_html_extraction)
 }
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
