@@ -1,14 +1,15 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 1. Labelled tokens. From a bounded sample of labelled documents (``TRAIN_ROWS`` per class, the ids'
-   hash decides which) the words and word beginnings that set toxic documents apart are found. The
+   hash decides which; near copies inside the sample count once) the words and word beginnings that set toxic documents apart are found. The
    tokens of toxic documents that carry one are tagged toxic, all others clean.
 2. The field. Two states; a token's features are its lower-case word, its first three to six letters
-   and its last three, hashed into ``BUCKETS`` weights; transitions are learned. Weights maximise the
-   penalised likelihood of tagged segments, with forward-backward gradients.
+   and its last three (those that the sample shows twice); transitions are learned. Weights maximise
+   the penalised likelihood of tagged segments, with forward-backward gradients.
 3. Scores. Forward-backward marginals p of every token of a whole text give the odds that any token
-   is toxic, 1 / prod(1 - p) - 1; a logistic fit on the sample turns their logarithm into the score.
-   Tokens with a marginal of one half or more are the offending offsets.
+   is toxic, 1 / prod(1 - p) - 1, over the tokens above the noise of ordinary words (``NOISE``); a
+   logistic fit on the sample turns their logarithm into the score. Tokens with a marginal of one half
+   or more are the offending offsets.
 
 The sample is trained in one task of bounded size; scoring is one pass over the documents without a
 shuffle, so a lost task is simply run again.
@@ -38,31 +39,52 @@ from pyspark.sql import functions as F
 from cytoframe.llm.common import table, whole
 
 WORDS = re.compile(r"\w+")
-BUCKETS = 1 << 18
 TRAIN_ROWS = 4000  # labelled documents of each class at most
 TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
 SEGMENT = 48
-EPOCHS = 80
+EPOCHS = 60
+NOISE = 0.2
 TOKENS_AT_ONCE = 3_000_000
 SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
 
 def features(word: str) -> list[str]:
     word = word.lower()
-    return ["w" + word, *(f"p{word[:n]}" for n in range(3, 7) if len(word) >= n), "s" + word[-3:]]
+    return ["w" + word, *("p" + word[:n] for n in range(3, 7) if len(word) >= n), "s" + word[-3:]]
 
 
-def buckets(word: str) -> list[int]:
-    return [zlib.crc32(f.encode()) % BUCKETS for f in features(word)]
+def without_copies(docs: list[list[str]]) -> list[int]:
+    """Numbers of the documents that share none of four minima of word-triple hashes with an earlier one."""
+    seen, kept = set(), []
+    factors = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint64)
+    for number, words in enumerate(docs):
+        triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        hashes = np.fromiter((zlib.crc32(t.encode()) for t in triples), np.uint64, len(triples))
+        minima = ((hashes[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(0)
+        keys = {(i, int(m)) for i, m in enumerate(minima)}
+        if not keys & seen:
+            kept.append(number)
+        seen |= keys
+    return kept
 
 
-def cue_features(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
+def cue_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     """Word and beginning features far more frequent among toxic documents."""
+    known: dict[str, list[str]] = {}
+
     def counts(docs):
-        return Counter(f for words in docs for f in {f for w in words for f in features(w) if f[0] != "s"})
+        total: Counter = Counter()
+        for words in docs:
+            found = set()
+            for w in set(words):
+                if w not in known:
+                    known[w] = [f for f in features(w) if f[0] != "s"]
+                found.update(known[w])
+            total.update(found)
+        return total
 
     of_toxic, of_clean = counts(toxic), counts(clean)
-    least = max(2 if len(toxic) < 30 else 4, math.ceil(0.004 * len(toxic)))
+    least = max(2 if len(toxic) < 30 else 3, math.ceil(0.01 * len(toxic)))
     cues = set()
     for f, n in of_toxic.items():
         share = (n + 0.5) / (len(toxic) + 1)
@@ -138,23 +160,26 @@ def fit_field(segments: list[list[str]], tags: list[list[int]], penalty: float =
     order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
     segments, tags = [segments[i] for i in order], [tags[i] for i in order]
     lengths = np.array([len(s) for s in segments], dtype=np.int64)
-    known: dict[str, list[int]] = {}
-    cells, owner, n = [], [], 0
-    for segment in segments:
-        for word in segment:
-            if word not in known:
-                known[word] = buckets(word)
-            cells.append(known[word])
-            n += 1
-    owner = np.repeat(np.arange(n), [len(c) for c in cells])
-    cells = np.fromiter((b for c in cells for b in c), dtype=np.int64)
-    used, cells = np.unique(cells, return_inverse=True)
+    words = [w for segment in segments for w in segment]
+    n = len(words)
+    frequency = Counter(words)
+    seen_features: Counter = Counter()
+    of_word = {w: features(w) for w in frequency}
+    for w, count in frequency.items():
+        for f in of_word[w]:
+            seen_features[f] += count
+    number = {f: i for i, f in enumerate(f for f, count in seen_features.items() if count > 1)}
+    known = {w: [number[f] for f in found if f in number] for w, found in of_word.items()}
+    owner = np.repeat(np.arange(n), [len(known[w]) for w in words])
+    cells = np.fromiter((c for w in words for c in known[w]), dtype=np.int64)
+    used = list(number)
     tag = np.fromiter((t for s in tags for t in s), dtype=np.float64)
     first = np.cumsum(lengths) - lengths
     inner = np.ones(n, dtype=bool)
     inner[first] = False
     here, before = np.flatnonzero(inner), np.flatnonzero(inner) - 1
-    weights, bias, start, moves = np.zeros(len(used)), -2.0, 0.0, np.zeros((2, 2))
+    weights, start, moves = np.zeros(len(used)), 0.0, np.zeros((2, 2))
+    bias = math.log((tag.sum() + 1) / (n - tag.sum() + 1))
     past = {"w": np.full(len(used), 1e-8), "b": 1e-8, "s": 1e-8, "m": np.full((2, 2), 1e-8)}
     seen = np.zeros((2, 2))
     np.add.at(seen, (tag[before].astype(int), tag[here].astype(int)), 1)
@@ -177,9 +202,8 @@ def fit_field(segments: list[list[str]], tags: list[list[int]], penalty: float =
                 start += change
             else:
                 moves = moves + change
-    full = np.zeros(BUCKETS, dtype=np.float32)
-    full[used] = weights
-    return {"weights": full, "bias": bias, "start": start, "moves": moves}
+    kept = {f: float(w) for f, w in zip(used, weights) if abs(w) > 0.02}
+    return {"weights": kept, "bias": bias, "start": start, "moves": moves}
 
 
 def _pair_sums(odds, p, here, before, factors) -> np.ndarray:
@@ -206,7 +230,7 @@ class Scorer:
         if len(self.known) > 3_000_000:
             self.known.clear()
         weights = self.model["weights"]
-        score = sum(float(weights[b]) for b in buckets(word)) + self.model["bias"]
+        score = sum(weights.get(f, 0.0) for f in features(word)) + self.model["bias"]
         found = self.known[word] = math.exp(min(30.0, max(-30.0, score)))
         return found
 
@@ -226,9 +250,14 @@ class Scorer:
         return out
 
     def any_toxic(self, p: np.ndarray) -> float:
-        """Logarithm of the odds that at least one token is toxic."""
-        total = -np.log1p(-np.minimum(p, 1 - 1e-12)).sum()
-        return float(np.clip(np.log(np.expm1(total)) if 0 < total < 50 else total or -30.0, -30, 50))
+        """Logarithm of the odds that a token is toxic; of the largest marginal's where all are noise."""
+        if not len(p):
+            return -20.0
+        most = float(min(p.max(), 1 - 1e-12))
+        if most < NOISE:
+            return max(-20.0, math.log(most / (1 - most)))
+        total = -np.log1p(-np.minimum(p[p >= NOISE], 1 - 1e-12)).sum()
+        return float(min(20.0, math.log(math.expm1(min(total, 50.0)))))
 
     def score(self, p: np.ndarray) -> float:
         a, b = self.model["logistic"]
@@ -255,7 +284,11 @@ def train(sample: pd.DataFrame) -> dict:
     if toxic.all() or not toxic.any():
         return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
     words = [WORDS.findall(t) for t in texts]
-    cues = cue_features([set(w) for w, y in zip(words, toxic) if y], [set(w) for w, y in zip(words, toxic) if not y])
+    kept = without_copies([[w.lower() for w in x] for x in words])
+    texts, words, toxic = [texts[i] for i in kept], [words[i] for i in kept], toxic[kept]
+    if toxic.all() or not toxic.any():
+        return {"constant": float(toxic.mean())}
+    cues = cue_features([w for w, y in zip(words, toxic) if y], [w for w, y in zip(words, toxic) if not y])
     model = fit_field(*_segments(list(zip(words, toxic)), cues))
     scorer = Scorer(model)
     signal = np.array([scorer.any_toxic(p) for p in scorer.token_marginals(texts)])
