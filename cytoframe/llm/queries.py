@@ -8,10 +8,11 @@ from cytoframe.llm.exact_search import OP1_SQL, op1_exact_top_k
 from cytoframe.llm.html_text import op7_html_extraction
 from cytoframe.llm.near_duplicates import op10_minhash
 from cytoframe.llm.packing import op5_packing
+from cytoframe.llm.suffix_dedup import op8_suffix_array
 from cytoframe.llm.token_counts import op3_token_counts
 from cytoframe.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op7_html_extraction, op10_minhash)
+    f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op7_html_extraction, op8_suffix_array, op10_minhash)
 }
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
