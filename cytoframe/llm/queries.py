@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from cytoframe.llm.exact_search import OP1_SQL, op1_exact_top_k
 from cytoframe.llm.html_text import op7_html_extraction
+from cytoframe.llm.mixing import op9_mixing
 from cytoframe.llm.near_duplicates import op10_minhash
 from cytoframe.llm.packing import op5_packing
 from cytoframe.llm.suffix_dedup import op8_suffix_array
 from cytoframe.llm.token_counts import op3_token_counts
 from cytoframe.llm.toxicity import op2_toxicity
+from cytoframe.llm.unit_dedup import OP6_SQL, op6_unit_dedup
 
 QUERIES: dict[str, Callable] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op7_html_extraction, op8_suffix_array, op10_minhash)
+    f.__name__: f
+    for f in (
+        op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op6_unit_dedup, op7_html_extraction,
+        op8_suffix_array, op9_mixing, op10_minhash,
+    )
 }
-SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_unit_dedup": OP6_SQL}
