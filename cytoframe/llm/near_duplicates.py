@@ -253,3 +253,15 @@ def near_duplicates(
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose two-word shingle sets are alike to 80 hundredths or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the near copies of a document with a smaller id.
+
+    Rows that share an id stay or go together: they stay if one of them is the one to keep.
+    """
+    result = near_duplicates(docs, words, percent, text, key)
+    gone = written(result.groupBy(key).agg(F.max("kept").alias("kept")).where("NOT kept").select(key), "near-copies")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key, "left_anti")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from cytoframe.llm.exact_search import OP1_SQL, op1_exact_top_k
+from cytoframe.llm.graph_search import op4_graph_search
 from cytoframe.llm.html_text import op7_html_extraction
 from cytoframe.llm.mixing import op9_mixing
 from cytoframe.llm.near_duplicates import op10_minhash
@@ -17,8 +19,9 @@ from cytoframe.llm.unit_dedup import OP6_SQL, op6_unit_dedup
 QUERIES: dict[str, Callable] = {
     f.__name__: f
     for f in (
-        op1_exact_top_k, op2_toxicity, op3_token_counts, op5_packing, op6_unit_dedup, op7_html_extraction,
-        op8_suffix_array, op9_mixing, op10_minhash,
+        op1_exact_top_k, op2_toxicity, op3_token_counts, op4_graph_search, op5_packing, op6_unit_dedup,
+        op7_html_extraction, op8_suffix_array, op9_mixing, op10_minhash,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_unit_dedup": OP6_SQL}
