@@ -6,10 +6,13 @@
    band share a bucket.
 3. First links: every node is tried against one node only, the smallest of a bucket that it shares most
    bands with. Signatures first, then the full sets decide. This ties hot groups together linearly.
-4. Other links: buckets that hold nodes of different components after step 3 are compared in blocks of
-   bounded size, by signature; only pairs across components that pass are checked on full sets. Within
-   a component no further link can change the result.
-5. Components by alternating large and small stars.
+4. Joining rounds: a bucket that still holds several components proposes the likeliest forest of pairs that
+   would join them, by signature and block by block; full sets decide. At most ``ROUNDS`` times, while
+   links are found.
+5. The rest: all pairs across components of a bucket with signatures alike enough are checked on full sets
+   inside blocks of bounded size; a block gives at most one link less than it has components. Within a
+   component no further link can change the result.
+6. Components by alternating large and small stars.
 
 At a similarity of 0.8 all bands differ with a probability of 1e-7, and a signature that agrees in less
 than ``LEAST`` of its minima has one of 6e-8.
@@ -36,6 +39,7 @@ from cytoframe.llm.components import star_components
 BANDS, ROWS = 40, 5
 LEAST = 0.65  # of the minima, for a similarity of 0.8
 BLOCK = 512
+ROUNDS = 4
 BROADCAST_IDS = 2_000_000  # ids and digests, 64 MB
 
 
@@ -124,36 +128,82 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs across components with alike signatures, per block; the rows of a block come together."""
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        ids, parts = rows["id"].to_numpy(), rows["component"].to_numpy()
-        sides = rows["side"].to_numpy()
+class Forest:
+    """Union-find over the rows of one block, begun with the components they have."""
+
+    def __init__(self, components: np.ndarray):
+        _, first = np.unique(components, return_inverse=True)
+        self.parent = list(range(int(first.max(initial=-1)) + 1))
+        self.label = first.ravel().tolist()
+
+    def find(self, row: int) -> int:
+        at, parent = self.label[row], self.parent
+        while parent[at] != at:
+            parent[at] = parent[parent[at]]
+            at = parent[at]
+        return at
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.find(a)] = self.find(b)
+
+
+def _is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """On sorted sets."""
+    smaller, larger = sorted((len(a), len(b)))
+    if 100 * smaller < percent * larger:
+        return False
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = int((b[place] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _joins(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
+    """Pairs that join components of a block, at most one less than it has components.
+
+    Pairs are taken by falling agreement of their signatures. With full sets in the rows only links
+    count; without them a pair is a proposal, and the forest of the likeliest ones comes out.
+    """
+    ids, parts, sides = (rows[c].to_numpy() for c in ("id", "component", "side"))
+    forest, found = Forest(parts), []
+    if len(forest.parent) > 1:
         minima = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype="<u2").reshape(len(ids), -1)
-        one = np.flatnonzero(sides != 2)
-        two = np.flatnonzero(sides != 1)
+        one, two = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
         agree = np.zeros((len(one), len(two)), dtype=np.uint8 if minima.shape[1] < 256 else np.uint16)
         for column in minima.T:
             agree += column[one][:, None] == column[two][None, :]
         a, b = np.nonzero((agree >= least * minima.shape[1]) & (parts[one][:, None] != parts[two][None, :]))
-        u, v = ids[one[a]], ids[two[b]]
-        keep = u != v
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(u, v)[keep]), pa.array(np.maximum(u, v)[keep])], ["u", "v"]
-        )
+        order = np.argsort(-agree[a, b].astype(np.int16), kind="stable")
+        sets = rows["shingles"] if "shingles" in rows.column_names else None
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(row: int) -> np.ndarray:
+            if row not in known:
+                known[row] = sets[row].values.to_numpy().view(np.uint64)
+            return known[row]
+
+        for u, v in zip(one[a[order]].tolist(), two[b[order]].tolist()):
+            if forest.find(u) != forest.find(v) and (sets is None or _is_link(shingles(u), shingles(v), percent)):
+                forest.join(u, v)
+                found.append((int(ids[u]), int(ids[v])))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["u", "v"]
+    )
+
 
+def _by_block(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """``_joins`` of each block; the rows of a block come together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         keys = batch.column("key").to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for a, b in zip(cuts, cuts[1:]):
             if held and a < b and held[-1].column("key")[0].as_py() != keys[a]:
-                yield pairs(pa.Table.from_batches(held))
+                yield _joins(pa.Table.from_batches(held), least, percent)
                 held = []
             if a < b:
                 held.append(batch.slice(a, b - a))
     if held:
-        yield pairs(pa.Table.from_batches(held))
+        yield _joins(pa.Table.from_batches(held), least, percent)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,32 +264,49 @@ def near_duplicates(
     links = written(_confirmed(first, sets, percent), "links")
     parts = star_components(links)
 
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "bucket", "n", F.coalesce("component", "id").alias("component")
-    )
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    crossing = placed.join(mixed.select("bucket"), "bucket").join(nodes.select("id", "signature"), "id")
-    # a bucket is cut into blocks; every pair of blocks is one unit of work
+    def crossing(parts: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold nodes of different components."""
+        placed = members.select("id", "bucket", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
+        placed = written(placed.withColumn("component", F.coalesce("component", "id")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        return written(placed.join(mixed.where("a <> b").select("bucket"), "bucket"), "crossing")
+
+    # a bucket is cut into blocks of bounded size
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    units = crossing.withColumns({"blocks": blocks, "mine": mine}).select(
-        "id", "component", "signature", "bucket", "mine",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b)).alias("other"),
+
+    def joins(units: DataFrame) -> DataFrame:
+        """Pairs joining components, from the blocks named by ``key``."""
+        return (
+            units.repartition(width(spark) * 2, "key")
+            .sortWithinPartitions("key")
+            .mapInArrow(lambda b: _by_block(b, near, percent), "u bigint, v bigint")
+            .distinct()
+        )
+
+    signatures = nodes.select("id", "signature")
+    open_ = crossing(parts)
+    for _ in range(ROUNDS):
+        alone = open_.join(signatures, "id").select(
+            "id", "component", "signature", F.xxhash64("bucket", mine).alias("key"), F.lit(0).alias("side")
+        )
+        more = written(_confirmed(joins(alone), sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        parts = star_components(links)
+        open_ = crossing(parts)
+
+    # what is left: every pair of blocks of a bucket is a unit of work, with full sets
+    units = open_.withColumns({"blocks": blocks, "mine": mine}).select(
+        "id", "component", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     units = units.select(
-        "id", "component", "signature",
-        F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+        "id", "component", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    pairs = (
-        units.repartition(width(spark) * 2, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(lambda b: _agreeing(b, near), "u bigint, v bigint")
-        .distinct()
-    )
-    more = _confirmed(pairs, sets, percent)
-    final = star_components(links.unionByName(more))
+    rest = joins(units.join(signatures, "id").join(sets, "id"))
+    final = star_components(links.unionByName(rest))
 
     named = nodes.select("digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("digest", F.coalesce("component", "id").alias("component"))
