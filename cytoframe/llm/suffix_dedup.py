@@ -36,7 +36,6 @@ GRAM = 128
 HOT = 4096
 STRETCH = 2_000_000  # bytes sorted at once
 CHUNK = 1 << 18  # windows of a text looked at once
-BROADCAST_ROWS = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "content binary, anchor bigint, first int, windows int, place bigint"
 
@@ -210,14 +209,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(spans, kind)], ["content", "spans"])
 
 
-def _within(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast behind a counted bound, else the join is planned by size."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def repeated_spans(
-    texts: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``content`` and the merged byte ``spans`` to remove, from rows of ``content`` (digest) and ``bytes``."""
     spark = texts.sparkSession
     texts = texts.where(F.octet_length("bytes") >= length)
@@ -232,10 +224,6 @@ def repeated_spans(
         .groupBy("content")
         .agg(F.collect_set(F.struct("anchor", "first", "windows", "place")).alias("runs"))
     )
-    wanted = written(wanted, "runs")
-    total = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
-    if total <= broadcast_rows:
-        wanted = F.broadcast(wanted)
     segments = texts.join(wanted, "content").select("content", "bytes", "runs")
     segments = written(
         segments.mapInArrow(lambda b: _cut(b, length), ANCHORS + ", digest binary, bytes binary"), "segments"
@@ -300,7 +288,6 @@ def remove_repeats(
     length: int = 400,
     gram: int = GRAM,
     hot: int = HOT,
-    broadcast_rows: int = BROADCAST_ROWS,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
@@ -308,7 +295,7 @@ def remove_repeats(
     bytes_ = whole(text).cast("binary")
     rows = docs.select(F.col(key).alias("key"), bytes_.alias("bytes"))
     rows = rows.withColumn("content", F.unhex(F.sha2("bytes", 256)))
-    spans = _within(repeated_spans(rows.select("content", "bytes"), length, gram, hot, broadcast_rows), broadcast_rows)
+    spans = repeated_spans(rows.select("content", "bytes"), length, gram, hot)
     size = F.octet_length("bytes").cast("long")
     # what lies between the removed spans
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
