@@ -44,6 +44,7 @@ TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
 SEGMENT = 48
 EPOCHS = 60
 NOISE = 0.2
+LOW = -2.0
 TOKENS_AT_ONCE = 3_000_000
 SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
@@ -155,7 +156,7 @@ def _segments(docs: list[tuple[list[str], bool]], cues: set[str]) -> tuple[list,
     return [c[0] for c in chosen], [c[1] for c in chosen]
 
 
-def fit_field(segments: list[list[str]], tags: list[list[int]], penalty: float = 1.0) -> dict:
+def fit_field(segments: list[list[str]], tags: list[list[int]], penalty: float = 0.3) -> dict:
     """Weights, start and transitions by penalised likelihood with adaptive gradient steps."""
     order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
     segments, tags = [segments[i] for i in order], [tags[i] for i in order]
@@ -250,14 +251,18 @@ class Scorer:
         return out
 
     def any_toxic(self, p: np.ndarray) -> float:
-        """Logarithm of the odds that a token is toxic; of the largest marginal's where all are noise."""
-        if not len(p):
-            return -20.0
-        most = float(min(p.max(), 1 - 1e-12))
+        """Logarithm of the odds that a token is toxic; of the largest marginal's where all are noise.
+
+        Far below ``LOW`` it is flattened, so that a few labels without a toxic word do not bend the
+        logistic fit.
+        """
+        most = float(min(p.max(), 1 - 1e-12)) if len(p) else 1e-9
         if most < NOISE:
-            return max(-20.0, math.log(most / (1 - most)))
-        total = -np.log1p(-np.minimum(p[p >= NOISE], 1 - 1e-12)).sum()
-        return float(min(20.0, math.log(math.expm1(min(total, 50.0)))))
+            odds = max(-20.0, math.log(most / (1 - most)))
+        else:
+            total = -np.log1p(-np.minimum(p[p >= NOISE], 1 - 1e-12)).sum()
+            odds = min(20.0, math.log(math.expm1(min(total, 50.0))))
+        return float(odds if odds >= LOW else LOW + 0.05 * (odds - LOW))
 
     def score(self, p: np.ndarray) -> float:
         a, b = self.model["logistic"]
