@@ -52,7 +52,7 @@ class Shingler:
 
     def __call__(self, text: str) -> np.ndarray:
         known = self.known
-        if len(known) > 2_000_000:
+        if len(known) > 400_000:
             known.clear()
         # lower-cases A-Z and splits at \x20 and \x09-\x0D, and nowhere else
         words = text.encode("utf-8", "surrogatepass").lower().split()

@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from cytoframe.llm.common import table, whole
 
 WORDS = re.compile(r"\w+")
-TRAIN_ROWS = 4000  # labelled documents of each class at most
+TRAIN_ROWS = 2500  # labelled documents of each class at most
 TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
-SEGMENT = 48
+SEGMENT = 48  # tokens
+SEGMENTS = 6000  # of either kind at most
 EPOCHS = 60
 NOISE = 0.2
 LOW = -2.0
@@ -59,7 +60,7 @@ def without_copies(docs: list[list[str]]) -> list[int]:
     seen, kept = set(), []
     factors = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint64)
     for number, words in enumerate(docs):
-        triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        triples = {" ".join(words[i : i + 3]).lower() for i in range(max(1, len(words) - 2))}
         hashes = np.fromiter((zlib.crc32(t.encode()) for t in triples), np.uint64, len(triples))
         minima = ((hashes[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(0)
         keys = {(i, int(m)) for i, m in enumerate(minima)}
@@ -71,25 +72,21 @@ def without_copies(docs: list[list[str]]) -> list[int]:
 
 def cue_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     """Word and beginning features far more frequent among toxic documents."""
-    known: dict[str, list[str]] = {}
-
-    def counts(docs):
-        total: Counter = Counter()
-        for words in docs:
-            found = set()
-            for w in set(words):
-                if w not in known:
-                    known[w] = [f for f in features(w) if f[0] != "s"]
-                found.update(known[w])
-            total.update(found)
-        return total
-
-    of_toxic, of_clean = counts(toxic), counts(clean)
+    def of(words: list[str]) -> set[str]:
+        return {f for w in set(words) for f in features(w) if f[0] != "s"}
+
     least = max(2 if len(toxic) < 30 else 3, math.ceil(0.01 * len(toxic)))
+    of_toxic: Counter = Counter()
+    for words in toxic:
+        of_toxic.update(of(words))
+    frequent = {f: n for f, n in of_toxic.items() if n >= least}
+    of_clean: Counter = Counter()
+    for words in clean:
+        of_clean.update(f for f in of(words) if f in frequent)
     cues = set()
-    for f, n in of_toxic.items():
+    for f, n in frequent.items():
         share = (n + 0.5) / (len(toxic) + 1)
-        if n >= least and share >= 10 * (of_clean[f] + 0.5) / (len(clean) + 1) and of_clean[f] / len(clean) <= 0.02 * share:
+        if share >= 10 * (of_clean[f] + 0.5) / (len(clean) + 1) and of_clean[f] / len(clean) <= 0.02 * share:
             cues.add(f)
     return cues
 
@@ -137,7 +134,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, start: float, moves: np.n
 
 
 def _segments(docs: list[tuple[list[str], bool]], cues: set[str]) -> tuple[list, list]:
-    """Tagged pieces of the sample: those with a cue, and as many others from evenly spread places."""
+    """Tagged pieces of the sample, evenly spread: up to ``SEGMENTS`` with a cue, and as many without."""
     known: dict[str, bool] = {}
 
     def has_cue(word):
@@ -151,8 +148,7 @@ def _segments(docs: list[tuple[list[str], bool]], cues: set[str]) -> tuple[list,
             part = words[at : at + SEGMENT]
             hits = [has_cue(w) for w in part]
             (with_cue if any(hits) else others).append((part, [int(h and toxic) for h in hits]))
-    step = max(1, len(others) // max(2000, 2 * len(with_cue)))
-    chosen = with_cue + others[::step]
+    chosen = [part for parts in (with_cue, others) for part in parts[:: -(-len(parts) // SEGMENTS) or 1]]
     return [c[0] for c in chosen], [c[1] for c in chosen]
 
 
@@ -228,7 +224,7 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def factor(self, word: str) -> float:
-        if len(self.known) > 3_000_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         weights = self.model["weights"]
         score = sum(weights.get(f, 0.0) for f in features(word)) + self.model["bias"]
@@ -237,7 +233,7 @@ class Scorer:
 
     def token_marginals(self, texts: list[str]) -> list[np.ndarray]:
         known, factor = self.known, self.factor
-        odds = []
+        odds: list[np.ndarray] = []
         for text in texts:
             words = WORDS.findall(text)
             odds.append(np.fromiter((known.get(w) or factor(w) for w in words), np.float64, len(words)))
@@ -288,8 +284,9 @@ def train(sample: pd.DataFrame) -> dict:
     texts, toxic = sample["text"].tolist(), sample["toxic"].to_numpy() == 1
     if toxic.all() or not toxic.any():
         return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
-    words = [WORDS.findall(t) for t in texts]
-    kept = without_copies([[w.lower() for w in x] for x in words])
+    one: dict[str, str] = {}  # a word is held once
+    words = [[one.setdefault(w, w) for w in WORDS.findall(t)] for t in texts]
+    kept = without_copies(words)
     texts, words, toxic = [texts[i] for i in kept], [words[i] for i in kept], toxic[kept]
     if toxic.all() or not toxic.any():
         return {"constant": float(toxic.mean())}
