@@ -238,7 +238,7 @@ def object_counts(spark, sf):
     )
     counts = C.keep_existing(images, ["source", "Count_en", "Count_fr", "Count_absent"])
     metadata = docs.where("n_chars > 4000").select("source", "lang").distinct()
-    return J.merge(counts, metadata, ["source"], "outer", many="right")
+    return J.merge(counts, metadata, ["source"], "outer", hot="right")
 
 
 @query(

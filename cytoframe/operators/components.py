@@ -19,7 +19,7 @@ from cytoframe.operators.objects import bounding_boxes
 from cytoframe.operators.pixels import rectangle
 from cytoframe.session import materialise
 
-_SHIFT = 20
+_SHIFT = 32
 
 
 def _node(y, x):

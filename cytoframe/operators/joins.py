@@ -1,8 +1,9 @@
 """Joins with dataframe-merge semantics: missing keys match missing keys.
 
-A full outer join cannot be split by adaptive skew handling, so ``merge`` plans it as a
-left outer join from the side that may hold hot keys (which can be split) plus an anti
-join against the distinct keys of that side (which are pre-aggregated before the shuffle).
+An outer merge is one full join, so chains of them scan every input once. Adaptive
+execution cannot split a full join: where a key may be hot, ``merge`` materialises the side
+that holds it, joins that side by a left join (which can be split) and adds the other side's
+rest by an anti join with the pre-aggregated distinct keys; the plan does not double either.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
+from cytoframe.session import materialise
 
 _R = "__right__"
 
@@ -41,13 +43,15 @@ def merge(
     on: Sequence[str] | None = None,
     how: str = "inner",
     nulls_match: bool = True,
-    many: str = "left",
+    hot: str | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
     """Join on ``on`` (default: all shared columns), keys once, left columns first.
 
-    ``how`` is inner, left or outer. ``many`` names the side that may hold hot keys in an
-    outer join. Other shared columns get ``suffixes``.
+    ``how`` is inner, left or outer. ``hot`` names the side (left or right) that may hold hot
+    keys in an outer join. Other shared columns get ``suffixes``. With ``nulls_match`` the rows
+    with missing keys of both sides meet, as in a dataframe merge: m and n of them give m x n
+    rows, so a chain should not bring both sides' unmatched rows together again.
     """
     on = list(on) if on is not None else shared_columns(left, right)
     if not on:
@@ -61,9 +65,17 @@ def merge(
         return joined.select([quoted(c) for c in order])
     if how != "outer":
         raise ValueError(f"unknown join type {how}")
-    keep, other = (left, right) if many == "left" else (right, left)
+    renamed = _right_keys_renamed(right, on)
+    if hot is None:
+        joined = left.join(renamed, _condition(on, nulls_match), "full")
+        keys = {k: F.coalesce(quoted(k), quoted(_R + k)) for k in on}
+        return joined.select([keys[c].alias(c) if c in keys else quoted(c) for c in order])
+    # the left side is the chain so far and is read twice: once it is computed, nothing doubles
+    left = materialise(left)
+    keep, other = (left, right) if hot == "left" else (materialise(right), left)
     kept = keep.join(_right_keys_renamed(other, on), _condition(on, nulls_match), "left")
-    rest = anti(other, keep, on, nulls_match)
+    # the union of two branches with one partitioning may not fit after adaptive re-planning
+    rest = anti(other, keep, on, nulls_match).hint("rebalance")
     return (
         kept.select([quoted(c) for c in order])
         .unionByName(rest, allowMissingColumns=True)
@@ -98,14 +110,13 @@ def outer_flag(
     on: Sequence[str],
     flag: str,
     matched: bool = True,
-    many: str = "left",
 ) -> DataFrame:
     """Full join with the bare keys of ``right``; ``flag`` tells whether a row was in it.
 
     ``matched=False`` flips the flag (true = no partner in ``right``).
     """
     marked = right.select([quoted(k) for k in on]).withColumn(flag, F.lit(True))
-    joined = merge(left.drop(flag), marked, on, "outer", many=many)
+    joined = merge(left.drop(flag), marked, on, "outer")
     return joined.withColumn(flag, quoted(flag).isNotNull() if matched else quoted(flag).isNull())
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
+from cytoframe.operators.ranks import sequential_index
 from cytoframe.operators.resample import bootstrap_weights, hash_number
 from cytoframe.operators.reshape import stack
 from cytoframe.operators.stats import class_weights
@@ -37,9 +38,26 @@ class Ridge:
         )
 
 
-def _moments(features: Sequence[str], y: str, w: Column) -> list[Column]:
-    """Weighted sums of all products of (1, features, y): one row however large the data."""
-    terms = [F.lit(1.0), *[quoted(f).cast("double") for f in features], quoted(y).cast("double")]
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a missing value in any of the columns (null or NaN)."""
+    kinds = dict(df.dtypes)
+    present = [
+        quoted(c).isNotNull() & ~F.isnan(quoted(c)) if kinds[c] in ("double", "float") else quoted(c).isNotNull()
+        for c in columns
+    ]
+    return df.where(reduce(lambda a, b: a & b, present))
+
+
+def _centres(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Column means: sums of products are taken around them, so large offsets cancel nothing."""
+    means = df.agg(*[F.avg(quoted(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [m or 0.0 for m in means]
+
+
+def _moments(features: Sequence[str], y: str, w: Column, centres: Sequence[float]) -> list[Column]:
+    """Weighted sums of all products of (1, features, y), shifted by their centres: one row."""
+    shifted = [quoted(c).cast("double") - F.lit(m) for c, m in zip([*features, y], centres)]
+    terms = [F.lit(1.0), *shifted]
     return [
         F.sum(w * terms[i] * terms[j]).alias(f"m_{i}_{j}")
         for i in range(len(terms))
@@ -71,12 +89,16 @@ def fit_ridge(
 ) -> Ridge:
     """Least squares with penalty ``alpha``; ``balance`` weights rows by n / count(y).
 
-    One aggregate gives the moments; only a (features + 2) squared matrix is solved on the
+    Rows with a missing feature or target are left out of every sum. One aggregate gives the
+    means, one the moments around them; only a (features + 2) squared matrix is solved on the
     driver.
     """
+    df = _complete(df, [*features, y])
+    centres = _centres(df, [*features, y])
     data = class_weights(df, y, "__weight__") if balance else df.withColumn("__weight__", F.lit(1.0))
-    row = data.agg(*_moments(features, y, quoted("__weight__"))).first()
+    row = data.agg(*_moments(features, y, quoted("__weight__"), centres)).first()
     slopes, intercept = _solve(row, len(features), alpha)
+    intercept += centres[-1] - float(slopes @ np.array(centres[:-1]))
     return Ridge(tuple(features), tuple(float(s) for s in slopes), intercept)
 
 
@@ -92,8 +114,11 @@ def bootstrap_ridge(
     """Ridge slopes per replicate, long: (replicate, feature, coef).
 
     Each replicate standardises its features and balances its classes anew, as a fit on
-    the redrawn table would. Only one row of moments per replicate reaches the solver.
+    the redrawn table would. Only one row of moments per replicate reaches the solver. Rows
+    with a missing value are left out before the draws.
     """
+    df = _complete(df, [*features, y])
+    centres = _centres(df, [*features, y])
     drawn = bootstrap_weights(df, [], [*features, y], order_by, replicates, seed)
     counts = drawn.groupBy("replicate", quoted(y)).agg(F.sum("__w__").alias("__c__"))
     totals = counts.withColumn("__n__", F.sum("__c__").over(Window.partitionBy("replicate")))
@@ -104,10 +129,10 @@ def bootstrap_ridge(
     plain = [F.sum(w).alias("n")]
     for i, f in enumerate(features):
         plain += [
-            F.sum(w * quoted(f)).alias(f"s_{i}"),
-            F.sum(w * quoted(f) * quoted(f)).alias(f"q_{i}"),
+            F.sum(w * (quoted(f) - F.lit(centres[i]))).alias(f"s_{i}"),
+            F.sum(w * (quoted(f) - F.lit(centres[i])) ** 2).alias(f"q_{i}"),
         ]
-    moments = weighted.groupBy("replicate").agg(*plain, *_moments(features, y, F.col("__weight__")))
+    moments = weighted.groupBy("replicate").agg(*plain, *_moments(features, y, F.col("__weight__"), centres))
     names = list(features)
 
     def solve(batches):
@@ -175,23 +200,25 @@ def classifier_grid(test: bool = False) -> list[dict]:
     )
 
 
-def _dummy_prediction(train: DataFrame, y: str, key: str, strategy: str, seed: int) -> Column:
-    """A constant, or a hash draw over the classes (their number is bounded by the task)."""
-    counts = sorted(
-        (r[y], r["count"]) for r in train.groupBy(quoted(y)).count().limit(10_001).collect()
-    )
-    if len(counts) > 10_000:
-        raise ValueError("too many classes")
+def _dummy_prediction(
+    train: DataFrame, df: DataFrame, y: str, key: str, strategy: str, seed: int
+) -> DataFrame:
+    """``df`` with a constant prediction, or with a class drawn by the key's hash.
+
+    A draw picks a training row (stratified) or a class (uniform) by its number, so any number
+    of classes is joined by equality.
+    """
     if strategy in ("most_frequent", "prior"):
-        return F.lit(max(counts, key=lambda c: c[1])[0])
-    total = sum(c for _, c in counts)
-    shares = [c / total if strategy == "stratified" else 1 / len(counts) for _, c in counts]
+        counts = train.groupBy(quoted(y)).count()
+        most = counts.orderBy(F.desc("count"), quoted(y)).first()
+        return df.withColumn("__pred__", F.lit(most[0] if most else None))
+    rows = train.select(quoted(y).alias("__pred__"), hash_number(seed + 1, quoted(key)).alias("__h__"))
+    if strategy == "uniform":
+        rows = rows.groupBy("__pred__").agg(F.min("__h__").alias("__h__"))
+    numbered = sequential_index(rows, "__h__", "__number__", start=0)
     coin = hash_number(seed, quoted(key)) / F.lit(float(2**52))
-    edges = np.cumsum(shares)
-    expr = F.when(coin < float(edges[0]), F.lit(counts[0][0]))
-    for (label, _), edge in zip(counts[1:-1], edges[1:-1]):
-        expr = expr.when(coin < float(edge), F.lit(label))
-    return expr.otherwise(F.lit(counts[-1][0]))
+    drawn = df.withColumn("__number__", F.floor(coin * F.lit(rows.count())).cast("long"))
+    return drawn.join(numbered.select("__number__", "__pred__"), "__number__", "left").drop("__number__")
 
 
 def train_and_predict(
@@ -246,9 +273,7 @@ def train_and_predict(
             ).fit(ready)
         for split, df in splits.items():
             if clf["kind"] == "dummy":
-                pred = df.withColumn(
-                    "__pred__", _dummy_prediction(splits[fit_on], y, key, clf["strategy"], seed)
-                )
+                pred = _dummy_prediction(splits[fit_on], df, y, key, clf["strategy"], seed)
             elif clf["kind"] == "knn":
                 pred = knn_predict(splits[fit_on], df, list(features), y, key, clf["k"])
             else:

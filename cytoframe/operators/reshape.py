@@ -40,20 +40,19 @@ def widen(
     )
 
 
-def distinct_names(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> list[str]:
+def distinct_names(df: DataFrame, columns: Sequence[str], most: int | None = None) -> list[str]:
     """Sorted distinct values over several columns, from rows where none is missing.
 
-    They become column names, so more than ``most`` of them is an error.
+    They become column names; a caller may name how many it can take.
     """
-    names = (
+    found = (
         df.select([quoted(c) for c in columns])
         .dropna("any")
         .select(F.explode(F.array(*[quoted(c) for c in columns])).alias("name"))
         .distinct()
-        .limit(most + 1)
-        .collect()
     )
-    if len(names) > most:
+    names = (found if most is None else found.limit(most + 1)).collect()
+    if most is not None and len(names) > most:
         raise ValueError(f"more than {most} distinct names cannot become columns")
     return sorted(r["name"] for r in names)
 

@@ -59,14 +59,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_listed(
-    spark: SparkSession, manifest: DataFrame, path_column: str, schema: str | T.StructType,
-    most: int = 100_000,
+    spark: SparkSession, manifest: DataFrame, path_column: str, schema: str | T.StructType
 ) -> DataFrame:
-    """All CSV files named in a manifest column, as one table. File names go to the scan."""
-    paths = [r[0] for r in manifest.select(quoted(path_column)).distinct().limit(most + 1).collect()]
-    if len(paths) > most:
-        raise ValueError("too many files listed; read their common folder instead")
-    return read_csv(spark, sorted(paths), schema)
+    """All CSV files named in a manifest column, as one table.
+
+    The scan's file index holds every file name on the driver in any case, so the names (and
+    nothing else) are gathered to make it.
+    """
+    listed = manifest.select(quoted(path_column)).where(quoted(path_column).isNotNull()).distinct()
+    return read_csv(spark, sorted(r[0] for r in listed.toLocalIterator()), schema)
 
 
 def read_field_results(
@@ -136,10 +137,17 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
     Comment lines and the size line (the first other line) are left out.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("%"))
-    size = lines.first()["value"]
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    ).where(~F.trim("value").startswith("%") & (F.trim("value") != ""))
+    # the size line of a file is its first in reading order, whatever the others say
+    sizes = lines.groupBy("file").agg(F.min(F.struct("block", "line")).alias("at"))
+    lines = lines.join(sizes, "file").where(F.struct("block", "line") != F.col("at"))
     parts = F.split(F.trim("value"), r"\s+")
-    return lines.where(F.col("value") != size).select(
+    return lines.select(
         (F.get(parts, F.lit(0)).cast("long") - 1).alias("row"),
         (F.get(parts, F.lit(1)).cast("long") - 1).alias("col"),
         F.get(parts, F.lit(2)).cast("long").alias("count"),
