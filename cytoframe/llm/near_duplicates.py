@@ -6,13 +6,10 @@
    band share a bucket.
 3. First links: every node is tried against one node only, the smallest of a bucket that it shares most
    bands with. Signatures first, then the full sets decide. This ties hot groups together linearly.
-4. Joining rounds: a bucket that still holds several components proposes the likeliest forest of pairs that
-   would join them, by signature and block by block; full sets decide. At most ``ROUNDS`` times, while
-   links are found.
-5. The rest: all pairs across components of a bucket with signatures alike enough are checked on full sets
-   inside blocks of bounded size; a block gives at most one link less than it has components. Within a
-   component no further link can change the result.
-6. Components by alternating large and small stars.
+4. Other links: all pairs across components of a bucket with signatures alike enough are checked on full
+   sets inside blocks of bounded size; a block gives at most one link less than it has components. Within
+   a component no further link can change the result.
+5. Components by alternating large and small stars.
 
 At a similarity of 0.8 all bands differ with a probability of 1e-7, and a signature that agrees in less
 than ``LEAST`` of its minima has one of 6e-8.
@@ -38,8 +35,7 @@ from cytoframe.llm.components import star_components
 
 BANDS, ROWS = 40, 5
 LEAST = 0.65  # of the minima, for a similarity of 0.8
-BLOCK = 512
-ROUNDS = 4
+BLOCK = 2048
 BROADCAST_IDS = 2_000_000  # ids and digests, 64 MB
 
 
@@ -158,33 +154,40 @@ def _is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _joins(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
-    """Pairs that join components of a block, at most one less than it has components.
+    """Links that join components of a block, at most one less than it has components.
 
-    Pairs are taken by falling agreement of their signatures. With full sets in the rows only links
-    count; without them a pair is a proposal, and the forest of the likeliest ones comes out.
+    Pairs with signatures alike enough are checked on their full sets by falling agreement; a pair
+    that shares several bands is left to the first of them.
     """
     ids, parts, sides = (rows[c].to_numpy() for c in ("id", "component", "side"))
     forest, found = Forest(parts), []
     if len(forest.parent) > 1:
+        band = rows["band"][0].as_py()
         minima = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype="<u2").reshape(len(ids), -1)
         one, two = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
         agree = np.zeros((len(one), len(two)), dtype=np.uint8 if minima.shape[1] < 256 else np.uint16)
         for column in minima.T:
             agree += column[one][:, None] == column[two][None, :]
         a, b = np.nonzero((agree >= least * minima.shape[1]) & (parts[one][:, None] != parts[two][None, :]))
-        order = np.argsort(-agree[a, b].astype(np.int16), kind="stable")
-        sets = rows["shingles"] if "shingles" in rows.column_names else None
+        keep = a < b if sides.max() == 0 else np.ones(len(a), dtype=bool)
+        order = np.argsort(-agree[a[keep], b[keep]].astype(np.int16), kind="stable")
+        u, v = one[a[keep][order]], two[b[keep][order]]
+        first = [
+            (minima[u[at : at + 20_000]] == minima[v[at : at + 20_000]]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            for at in range(0, len(u), 20_000)
+        ]
+        here = np.concatenate(first) == band if first else np.empty(0, dtype=bool)
         known: dict[int, np.ndarray] = {}
 
         def shingles(row: int) -> np.ndarray:
             if row not in known:
-                known[row] = sets[row].values.to_numpy().view(np.uint64)
+                known[row] = rows["shingles"][row].values.to_numpy().view(np.uint64)
             return known[row]
 
-        for u, v in zip(one[a[order]].tolist(), two[b[order]].tolist()):
-            if forest.find(u) != forest.find(v) and (sets is None or _is_link(shingles(u), shingles(v), percent)):
-                forest.join(u, v)
-                found.append((int(ids[u]), int(ids[v])))
+        for a, b in zip(u[here].tolist(), v[here].tolist()):
+            if forest.find(a) != forest.find(b) and _is_link(shingles(a), shingles(b), percent):
+                forest.join(a, b)
+                found.append((int(ids[a]), int(ids[b])))
     return pa.RecordBatch.from_arrays(
         [pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["u", "v"]
     )
@@ -239,7 +242,7 @@ def near_duplicates(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(F.col("signature").substr(b * step + 1, F.lit(step)), b),
     )
-    banded = nodes.select("id", F.explode(band).alias("bucket"))
+    banded = nodes.select("id", F.posexplode(band).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "bucket"), "members")
 
@@ -264,48 +267,30 @@ def near_duplicates(
     links = written(_confirmed(first, sets, percent), "links")
     parts = star_components(links)
 
-    def crossing(parts: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold nodes of different components."""
-        placed = members.select("id", "bucket", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        placed = written(placed.withColumn("component", F.coalesce("component", "id")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        return written(placed.join(mixed.where("a <> b").select("bucket"), "bucket"), "crossing")
-
-    # a bucket is cut into blocks of bounded size
+    # buckets that still hold nodes of different components
+    placed = members.select("id", "band", "bucket", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    placed = written(placed.withColumn("component", F.coalesce("component", "id")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    crossing = placed.join(mixed.where("a <> b").select("bucket"), "bucket")
+    # a bucket is cut into blocks of bounded size; every pair of its blocks is a unit of work
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-
-    def joins(units: DataFrame) -> DataFrame:
-        """Pairs joining components, from the blocks named by ``key``."""
-        return (
-            units.repartition(width(spark) * 2, "key")
-            .sortWithinPartitions("key")
-            .mapInArrow(lambda b: _by_block(b, near, percent), "u bigint, v bigint")
-            .distinct()
-        )
-
-    signatures = nodes.select("id", "signature")
-    open_ = crossing(parts)
-    for _ in range(ROUNDS):
-        alone = open_.join(signatures, "id").select(
-            "id", "component", "signature", F.xxhash64("bucket", mine).alias("key"), F.lit(0).alias("side")
-        )
-        more = written(_confirmed(joins(alone), sets, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        parts = star_components(links)
-        open_ = crossing(parts)
-
-    # what is left: every pair of blocks of a bucket is a unit of work, with full sets
-    units = open_.withColumns({"blocks": blocks, "mine": mine}).select(
-        "id", "component", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    units = crossing.withColumns({"blocks": blocks, "mine": mine}).select(
+        "id", "component", "band", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     units = units.select(
-        "id", "component", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+        "id", "component", "band",
+        F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    rest = joins(units.join(signatures, "id").join(sets, "id"))
+    rest = (
+        units.join(nodes.select("id", "signature"), "id")
+        .join(sets, "id")
+        .repartition(width(spark) * 2, "key")
+        .sortWithinPartitions("key")
+        .mapInArrow(lambda b: _by_block(b, near, percent), "u bigint, v bigint")
+        .distinct()
+    )
     final = star_components(links.unionByName(rest))
 
     named = nodes.select("digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left")
