@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -458,10 +460,14 @@ def revised_table(spark, sf):
 # ---------------------------------------------------------------- files
 
 def scratch(spark) -> str:
-    """A new folder beside the checkpoints (a local one where none is set)."""
+    """A new folder beside the checkpoints; a local one, removed at the end, only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix="cytoframe-io-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="cytoframe-io-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
     return f"{root.rstrip('/')}/io-{os.urandom(6).hex()}"
 
 
@@ -541,3 +547,99 @@ def catalog_names(spark, sf):
     )
     present = names.where("dataset <> 'owner/europe'")
     return SW.catalog(names, {"owner/asia": "fields_fish_1"}, present, ["owner/europe"])
+
+
+@query(
+    "label_files",
+    """SELECT CAST(n_nationkey AS INTEGER) AS image, CAST(n_regionkey AS INTEGER) AS r, CAST(length(n_name) AS INTEGER) AS c,
+         CASE WHEN n_regionkey < 2 THEN 0 ELSE 1 END AS class FROM nation""",
+)
+def label_files(spark, sf):
+    """One coordinate file per class, read by the label list reader."""
+    folder = scratch(spark)
+    points = table(spark, sf, "nation")
+    line = F.concat_ws(" ", "n_nationkey", "n_regionkey", F.length("n_name"))
+    points.where("n_regionkey < 2").select(line).write.text(f"{folder}/low")
+    points.where("n_regionkey >= 2").select(line).write.text(f"{folder}/high")
+    return SR.read_label_lists(spark, [f"{folder}/low", f"{folder}/high"])
+
+
+@query(
+    "matrix_files",
+    """SELECT CAST(ps - 1 AS BIGINT) AS row, CAST(ln - 1 AS BIGINT) AS col, CAST(q AS BIGINT) AS count
+       FROM (SELECT o_custkey % 40 + 1 AS ps, l_linenumber AS ln, sum(CAST(l_quantity AS BIGINT)) AS q
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)""",
+)
+def matrix_files(spark, sf):
+    """A sparse matrix per column file, each with comments and a size line that may look like an entry."""
+    folder = scratch(spark)
+    entries = (
+        table(spark, sf, "lineitem")
+        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy((F.col("o_custkey") % 40 + 1).alias("row"), F.col("l_linenumber").alias("col"))
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("count"))
+    )
+    lines = entries.select("col", F.lit(2).alias("place"), F.concat_ws(" ", "row", "col", "count").alias("value"))
+    size = entries.groupBy("col").agg(F.max("row").alias("row"), F.count("*").alias("n"))
+    heads = size.select(
+        "col",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("place"), F.lit("%%MatrixMarket matrix coordinate integer general").alias("value")),
+                F.struct(F.lit(1).alias("place"), F.concat_ws(" ", "row", "col", "n").alias("value")),
+            )
+        ).alias("h"),
+    ).select("col", "h.place", "h.value")
+    lines.unionByName(heads).repartition("col").sortWithinPartitions("col", "place").select("col", "value").write.partitionBy(
+        "col"
+    ).text(folder)
+    return SR.read_matrix_market(spark, folder)
+
+
+@query(
+    "cell_table_files",
+    """SELECT 'image' AS name, CAST(o_orderkey AS BIGINT) AS "ImageNumber", CAST(o_totalprice AS DOUBLE) AS value,
+         CAST(NULL AS BIGINT) AS "ObjectNumber" FROM orders
+       UNION ALL SELECT 'napari_cell', l_orderkey, CAST(l_quantity AS DOUBLE), CAST(l_linenumber AS BIGINT) FROM lineitem""",
+)
+def cell_table_files(spark, sf):
+    """Two of the five tables of a run hold rows, the others only their headers."""
+    folder = scratch(spark)
+    image = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ImageNumber"), F.col("o_totalprice").cast("double").alias("value")
+    )
+    cells = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("ObjectNumber"),
+        F.col("l_quantity").cast("double").alias("value"),
+    )
+    for name, file in SR.CELL_TABLE_FILES.items():
+        rows = image if name == "image" else cells
+        SW.write_table(rows if name in ("image", "napari_cell") else rows.limit(1), f"{folder}/run_{file}")
+    read = SR.read_cell_tables(spark, folder, "run_")
+    stacked = [
+        read[name].select(F.lit(name).alias("name"), "ImageNumber", "value", "ObjectNumber" if name != "image"
+                          else F.lit(None).cast("long").alias("ObjectNumber"))
+        for name in ("image", "napari_cell")
+    ]
+    return stacked[0].unionByName(stacked[1])
+
+
+@query(
+    "consolidated",
+    """SELECT 'fields_fish_1' AS published, CAST(c_custkey AS BIGINT) AS key, c_mktsegment AS value FROM customer
+       UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""",
+)
+def consolidated(spark, sf):
+    """Two published datasets copied under the names of the catalogue, and read back."""
+    source, target = scratch(spark), scratch(spark)
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_mktsegment").alias("value"))
+    supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.col("s_name").alias("value"))
+    SW.publish(customer, f"{source}/owner/customer", "v1")
+    SW.publish(supplier, f"{source}/owner/supplier", "v1")
+    names = spark.createDataFrame([("owner/customer",), ("owner/supplier",)], "dataset string")
+    entries = SW.catalog(names, {"owner/customer": "fields_fish_1"}, names)
+    assert SW.consolidate(spark, entries, source, target) == 2
+    read = [
+        spark.read.parquet(f"{target}/{p}/table").withColumn("published", F.lit(p)) for p in ("fields_fish_1", "supplier")
+    ]
+    return read[0].unionByName(read[1])

@@ -4,7 +4,9 @@ Follows the published pivot partitioning for nearest-neighbour joins (Lu et al.
 training rows belong to the nearest of a bounded number of pivots, and the triangle
 inequality tells for every query which pivot cells can hold a neighbour. Cells and queries
 are cut into blocks of bounded size, so a crowded cell is spread over many tasks, and a
-block returns only its k best per query.
+block returns only its k best per query. Queries are put into blocks by the cell they lie in,
+and a training block is sent only to the query blocks that can reach it; the number of pivots
+grows with the square root of the training rows, up to ``MOST_PIVOTS`` held by every task.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from cytoframe.operators.resample import sample_rows
 from cytoframe.session import materialise
 
 
+MOST_PIVOTS = 1024
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype="float64") for v in column])
 
@@ -40,7 +45,7 @@ def nearest_rows(
     key: str,
     k: int,
     carry: str | None = None,
-    pivots: int = 32,
+    pivots: int | None = None,
     block: int = 2000,
 ) -> DataFrame:
     """(query key, neighbour key, distance, rank[, carried column]) of the k nearest rows.
@@ -51,6 +56,8 @@ def nearest_rows(
     kept = [quoted(carry).alias("__carry__")] if carry else [F.lit(0).alias("__carry__")]
     rows = train.select(quoted(key).alias("t"), vector.alias("vec"), *kept)
     asked = queries.select(quoted(key).alias("q"), vector.alias("vec"))
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(32, math.isqrt(rows.count()) // 4))
     centres = _matrix(
         pd.Series([r["vec"] for r in sample_rows(rows, "t", pivots).select("vec").collect()])
     )
@@ -87,20 +94,25 @@ def nearest_rows(
 
     parts = {int(c): max(1, math.ceil(int(n) / block)) for c, n in zip(ids, sizes)}
     part_map = F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p)])
-    query_blocks = max(1, math.ceil(queries.count() / block))
-    blocks = F.sequence(F.lit(0), F.lit(query_blocks - 1))
-    stored = homes.select(
-        F.col("h.cell").alias("cell"),
-        F.pmod(F.xxhash64("t"), F.try_element_at(part_map, F.col("h.cell"))).cast("int").alias("part"),
-        F.explode(blocks).alias("qb"), "t", "vec", "__carry__",
-    )
-    sent = asked.select(
-        "q", "vec", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(reachable("vec")).alias("cell"),
+    placed = materialise(asked.withColumns({"h": home("vec"), "reach": reachable("vec")}))
+    asked_cells = placed.groupBy("h.cell").count().collect()
+    asked_blocks = F.create_map(
+        *[F.lit(x) for r in asked_cells for x in (r["cell"], max(1, math.ceil(r["count"] / block)))]
+    ) if asked_cells else F.create_map().cast("map<int,int>")
+    in_cell = F.pmod(F.xxhash64("q"), F.try_element_at(asked_blocks, F.col("h.cell")))
+    sent = placed.select(
+        "q", "vec", (F.col("h.cell").cast("long") * 2**32 + in_cell).alias("qb"), F.explode("reach").alias("cell")
     ).select(
         "q", "vec", "qb", "cell",
         F.explode(F.sequence(F.lit(0), F.try_element_at(part_map, F.col("cell")) - 1)).alias("part"),
     )
+    # a training row goes to the query blocks that reach its part, and to no others
+    reached = sent.select("cell", "part", F.col("qb").alias("asking")).distinct()
+    stored = homes.select(
+        F.col("h.cell").alias("cell"),
+        F.pmod(F.xxhash64("t"), F.try_element_at(part_map, F.col("h.cell"))).cast("int").alias("part"),
+        "t", "vec", "__carry__",
+    ).join(reached, ["cell", "part"]).withColumn("qb", F.col("asking") + 0)
     types = {f.name: f.dataType.simpleString() for f in homes.schema.fields}
     asked_type = dict(asked.dtypes)["q"]
 

@@ -113,6 +113,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def known_value(name: str, allowed: Sequence, value: Column) -> Column:
+    """``value``, or an error where column ``name`` holds something that is not allowed."""
+    bad = quoted(name).isNotNull() & ~quoted(name).isin(list(allowed))
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"unknown {name}: "), quoted(name).cast("string")))).otherwise(value)
+
+
 def check(name: str, df: DataFrame, observed: Column, expected) -> DataFrame:
     """One check row: an aggregate against the value it should have."""
     want = expected if isinstance(expected, Column) else F.lit(expected)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
@@ -146,8 +146,8 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: in each stratum the rounded share with the smallest hashes is 'test'.
 
-    The cut-off hash is an order statistic found in parallel; two rows of one stratum with
-    the same 52-bit hash as the cut-off fall on the same side.
+    The cut-off hash is an order statistic found in parallel. Rows that share the cut-off's
+    hash (a repeated key, or equal 52-bit hashes) are numbered by key, so the share is exact.
     """
     hashed = df.withColumn("__h__", hash_number(seed, quoted(key)))
     wanted = (
@@ -157,7 +157,20 @@ def stratified_split(
     )
     cutoffs = kth_smallest(hashed, [stratum], "__h__", wanted, "__k__", "__cutoff__")
     joined = merge(hashed, broadcast_within(cutoffs), [stratum], "left")
-    is_test = F.coalesce(F.col("__h__") <= F.col("__cutoff__"), F.lit(False))
+    below = joined.where(F.col("__h__") < F.col("__cutoff__")).groupBy(quoted(stratum)).agg(F.count("*").alias("__b__"))
+    missing = merge(wanted, broadcast_within(below), [stratum], "left").select(
+        quoted(stratum), (F.col("__k__") - F.coalesce("__b__", F.lit(0))).alias("__m__")
+    )
+    joined = merge(joined, broadcast_within(missing), [stratum], "left")
+    # only rows at the cut-off are numbered, others are groups of their own
+    at_cutoff = F.coalesce(F.col("__h__") == F.col("__cutoff__"), F.lit(False))
+    tied = Window.partitionBy(
+        quoted(stratum), "__h__", F.when(~at_cutoff, F.xxhash64(quoted(key)))
+    ).orderBy(quoted(key))
+    nth = F.when(at_cutoff, F.row_number().over(tied))
+    is_test = F.coalesce(F.col("__h__") < F.col("__cutoff__"), F.lit(False)) | F.coalesce(
+        nth <= F.col("__m__"), F.lit(False)
+    )
     return joined.withColumn(out, F.when(is_test, "test").otherwise("train")).select(
         *[quoted(c) for c in df.columns], quoted(out)
     )

@@ -26,6 +26,8 @@ from cytoframe.operators.quality import (
     check,
     drop_low_variance,
     drop_scored,
+    duplicate_keys,
+    known_value,
     non_null_total,
     prune_iteratively,
 )
@@ -337,8 +339,9 @@ def collated(
         "MYH7_density", "MYH6_density",
         F.lit(global_median(wide, "MYH7_density")), F.lit(global_median(wide, "MYH6_density")),
     )
-    made["MYH6_localization"] = S.recode("probe_561_loc_score", LOCALISATION)
-    made["MYH7_localization"] = S.recode("probe_638_loc_score", LOCALISATION)
+    for gene, mark in (("MYH6", "probe_561_loc_score"), ("MYH7", "probe_638_loc_score")):
+        # an unknown mark stops the job instead of turning into a missing value
+        made[f"{gene}_localization"] = known_value(mark, list(LOCALISATION), S.recode(mark, LOCALISATION))
     special = pair.select(
         "napariCell_ObjectNumber", "fov_path", *[e.alias(n) for n, e in made.items()]
     )
@@ -529,6 +532,10 @@ def revised_table(
             "Cell age": S.recode("Cell age", AGE_GROUPS),
         }
     )
+    cell = [REVISED_NAMES.get(c, c) for c in ("fov_path", "napariCell_ObjectNumber")]
+    both = materialise(both)
+    if duplicate_keys(both.where(F.col("Dataset").isNotNull()), ["Dataset", *cell]).take(1):
+        raise ValueError("a cell occurs more than once in a data set")
     features = [REVISED_NAMES.get(f, f) for f in REVISED_FEATURES]
     train = both.where(
         (F.col("Dataset") == train_on)
