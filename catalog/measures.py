@@ -444,6 +444,22 @@ def ridge_fit(spark, sf):
     return rounded(model.table(spark), ["coef"])
 
 
+@query(
+    "ridge_missing",
+    f"""{RIDGE.replace("AS w FROM d)", "AS w FROM d WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0)")}
+        SELECT 'x1' AS feature, round(k1, 4) AS coef FROM s UNION ALL SELECT 'x2', round(k2, 4) FROM s""",
+)
+def ridge_missing(spark, sf):
+    """Rows with a missing value take no part, and a large offset changes no slope."""
+    df = labelled_documents(spark, sf).withColumns(
+        {
+            "x1": F.when(F.col("doc_id") % 5 != 0, F.col("x1") + 1e6),
+            "quality": F.when(F.col("doc_id") % 7 != 0, F.col("quality")),
+        }
+    )
+    return rounded(MD.fit_ridge(df, ["x1", "x2"], "quality").table(spark), ["coef"], 4)
+
+
 @query(
     "ridge_predict",
     f"""{RIDGE} SELECT doc_id, round(my + k1 * (x1 - m1) + k2 * (x2 - m2), 6) AS predicted

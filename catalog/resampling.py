@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.measures import labelled_documents, rounded
+from catalog.measures import DOCS, labelled_documents, rounded
 from catalog.tables import table
 from cytoframe.operators import joins as J
 from cytoframe.operators import models as MD
@@ -94,10 +94,30 @@ def spearman_ci(spark, sf):
     return rounded(out, ["mean", "ci_low", "ci_high"])
 
 
-@query("boot_ridge")
+@query(
+    "boot_ridge",
+    f"""WITH {DOCS},
+      i AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM d),
+      t AS (SELECT r AS replicate, {md5('5', 'r', 'i')} % n AS i FROM i, (SELECT unnest(range(20)) AS r)),
+      q AS (SELECT t.replicate, i.x1, i.x2, i.quality FROM t JOIN i ON t.i = i.i),
+      sd AS (SELECT replicate, coalesce(nullif(stddev_pop(x1), 0), 1) AS s1,
+               coalesce(nullif(stddev_pop(x2), 0), 1) AS s2 FROM q GROUP BY 1),
+      w AS (SELECT q.replicate, x1 / s1 AS x1, x2 / s2 AS x2, quality,
+              CAST(count(*) OVER (PARTITION BY q.replicate) AS DOUBLE)
+                / count(*) OVER (PARTITION BY q.replicate, quality) AS w FROM q JOIN sd ON q.replicate = sd.replicate),
+      m AS (SELECT replicate, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2,
+              sum(w * quality) / sum(w) AS my FROM w GROUP BY 1),
+      c AS (SELECT w.replicate, sum(w * (x1 - m1) * (x1 - m1)) + 0.001 AS a, sum(w * (x1 - m1) * (x2 - m2)) AS b,
+              sum(w * (x2 - m2) * (x2 - m2)) + 0.001 AS c, sum(w * (x1 - m1) * (quality - my)) AS u,
+              sum(w * (x2 - m2) * (quality - my)) AS v FROM w JOIN m ON w.replicate = m.replicate GROUP BY 1),
+      s AS (SELECT 'x1' AS feature, (c * u - b * v) / (a * c - b * b) AS k FROM c
+            UNION ALL SELECT 'x2', (a * v - b * u) / (a * c - b * b) FROM c)
+      SELECT feature, round(avg(k), 6) AS mean, round(quantile_cont(k, 0.025), 6) AS ci_low,
+             round(quantile_cont(k, 0.975), 6) AS ci_high FROM s GROUP BY 1""",
+)
 def boot_ridge(spark, sf):
     boot = MD.bootstrap_ridge(labelled_documents(spark, sf), ["x1", "x2"], "quality", "doc_id", 20, 5)
-    return ST.mean_interval(boot, ["feature"], "coef")
+    return rounded(ST.mean_interval(boot, ["feature"], "coef"), ["mean", "ci_low", "ci_high"])
 
 
 # ---------------------------------------------------------------- splits and samples
