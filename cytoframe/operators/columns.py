@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,21 @@ def quoted(name: str):
     return F.col(f"`{name}`")
 
 
+def dense(entries: str, start: Column, stop: Column, zero: Column) -> Column:
+    """Values of the sorted (k, v) structs in ``entries`` laid out from ``start`` to before ``stop``.
+
+    Positions without an entry get ``zero``. One pass over the entries and gaps.
+    """
+    column = quoted(entries)
+    others = F.slice(column, F.lit(2), F.greatest(F.size(column) - 1, F.lit(0)))
+    following = F.concat(F.transform(others, lambda e: e["k"]), F.array(stop))
+    laid = F.zip_with(
+        column, following,
+        lambda e, after: F.concat(F.array(e["v"]), F.array_repeat(zero, after - e["k"] - 1)),
+    )
+    return F.concat(F.array_repeat(zero, F.get(column, F.lit(0))["k"] - start), F.flatten(laid))
+
+
 def add_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(
         [quoted(c) if c in keep else quoted(c).alias(prefix + c) for c in df.columns]

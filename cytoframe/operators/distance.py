@@ -26,19 +26,41 @@ from cytoframe.session import materialise
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _row_distances(xs: pd.Series, gaps: pd.Series) -> pd.Series:
     """Row pass: per row min over x' of (x - x')^2 + gap(x')^2, as a root; nulls without seeds."""
+    return pd.Series([row_distances(x, gap) for x, gap in zip(xs, gaps)])
+
+
+def row_distances(x, gap):
+    """The lower envelope of the parabolas over a row: one step per pixel, whatever the seeds."""
     import numpy as np
 
-    out = []
-    for x, gap in zip(xs, gaps):
-        x = np.asarray(x, dtype="float64")
-        gap = np.asarray(gap, dtype="float64")
-        seen = ~np.isnan(gap)
-        if not seen.any():
-            out.append([None] * len(x))
-            continue
-        squares = (x[:, None] - x[None, seen]) ** 2 + gap[None, seen] ** 2
-        out.append(np.sqrt(squares.min(axis=1)))
-    return pd.Series(out)
+    x = np.asarray(x, dtype="float64")
+    gap = np.asarray(gap, dtype="float64")
+    order = np.lexsort((gap, x))
+    seeds = order[~np.isnan(gap[order])]
+    if not len(seeds):
+        return [None] * len(x)
+    # a repeated pixel counts with its smallest gap
+    seeds = seeds[np.concatenate([[True], np.diff(x[seeds]) > 0])]
+    at, square = x[seeds].tolist(), (gap[seeds] ** 2).tolist()
+    low, bounds = [0], []
+    for q in range(1, len(at)):
+        while True:
+            v = low[-1]
+            cross = (square[q] - square[v] + at[q] ** 2 - at[v] ** 2) / (2 * (at[q] - at[v]))
+            if bounds and cross <= bounds[-1]:
+                low.pop()
+                bounds.pop()
+            else:
+                break
+        low.append(q)
+        bounds.append(cross)
+    low = np.array(low)
+    place = np.searchsorted(np.array(bounds), x)
+    best = np.full(len(x), np.inf)
+    for near in (-1, 0, 1):  # a rounded bound may be off by one parabola
+        seed = seeds[low[np.clip(place + near, 0, len(low) - 1)]]
+        best = np.minimum(best, (x - x[seed]) ** 2 + gap[seed] ** 2)
+    return np.sqrt(best)
 
 
 def distance_transform(

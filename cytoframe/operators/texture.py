@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoframe.operators.columns import quoted
+from cytoframe.operators.columns import dense, quoted
 from cytoframe.operators.joins import merge
 from cytoframe.session import materialise
 
@@ -121,14 +121,15 @@ def cooccurrence(
         cells.groupBy(*by, "y")
         .agg(
             F.min("x").alias("x0"), F.max("x").alias("x1"),
-            F.map_from_entries(F.collect_list(F.struct("x", quoted(level)))).alias("__m__"),
+            F.array_sort(
+                F.collect_list(
+                    F.struct(F.col("x").cast("int").alias("k"), F.coalesce(quoted(level), F.lit(0)).cast("int").alias("v"))
+                )
+            ).alias("__e__"),
         )
         .select(
             *by, "y", "x0",
-            F.transform(
-                F.sequence("x0", "x1"),
-                lambda x: F.coalesce(F.try_element_at(F.col("__m__"), x), F.lit(0)).cast("int"),
-            ).alias("row"),
+            dense("__e__", F.col("x0").cast("int"), F.col("x1").cast("int") + 1, F.lit(0)).alias("row"),
         )
     )
     here = rows.select(

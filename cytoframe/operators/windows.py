@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.scalars import ratio
-from cytoframe.operators.columns import quoted
+from cytoframe.operators.columns import dense, quoted
 from cytoframe.operators.joins import merge
 from cytoframe.operators.objects import class_map
 
@@ -53,14 +53,13 @@ def patch_arrays(
     """One zero-padded row-major array per patch (size x size values)."""
     place = F.col("py") * size + F.col("px")
     packed = patches.groupBy(quoted(fov), "r", "c").agg(
-        F.map_from_entries(F.collect_list(F.struct(place.alias("k"), quoted(value)))).alias("__m__")
+        F.array_sort(
+            F.collect_list(F.struct(place.cast("int").alias("k"), F.coalesce(quoted(value), F.lit(0.0)).alias("v")))
+        ).alias("__e__")
     )
     return packed.select(
         quoted(fov), "r", "c",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(size * size - 1)),
-            lambda k: F.coalesce(F.try_element_at(F.col("__m__"), k), F.lit(0.0)),
-        ).alias("patch"),
+        dense("__e__", F.lit(0), F.lit(size * size), F.lit(0.0)).alias("patch"),
     )
 
 

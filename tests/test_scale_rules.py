@@ -100,3 +100,43 @@ def test_hot_and_missing_keys_in_outer_merges(spark, shuffled_joins):
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 54
     apart = J.merge(left, right, ["k"], "outer", nulls_match=False)
     assert apart.count() == 55
+
+
+def test_linear_row_distances():
+    from cytoframe.operators.distance import row_distances
+
+    draw = np.random.default_rng(6)
+    for width in (1, 2, 7, 60, 300):
+        for share in (0.02, 0.5, 1.0):
+            x = draw.permutation(width).astype(float)
+            gap = np.where(draw.random(width) < share, draw.integers(0, 40, width), np.nan)
+            seen = ~np.isnan(gap)
+            got = row_distances(x, gap)
+            if not seen.any():
+                assert list(got) == [None] * width
+                continue
+            want = np.sqrt(((x[:, None] - x[None, seen]) ** 2 + gap[None, seen] ** 2).min(1))
+            assert (got == want).all()
+
+
+def test_dense_arrays(spark):
+    from cytoframe.operators.columns import dense
+
+    rows = [([(2, 1.0), (3, 2.0), (7, 3.0)],), ([(9, 4.0)],), ([(0, 5.0)],)]
+    df = spark.createDataFrame(rows, "e array<struct<k:int,v:double>>")
+    got = [r[0] for r in df.select(dense("e", F.lit(0), F.lit(10), F.lit(0.0))).collect()]
+    assert got == [[0, 0, 1, 2, 0, 0, 0, 3, 0, 0], [0.0] * 9 + [4], [5] + [0.0] * 9]
+
+
+def test_packing_of_full_size_patches(spark):
+    """96 x 96 patches of one 96-wide image; searching a map for each position took about a minute."""
+    import time
+
+    from cytoframe.operators.windows import patch_arrays, sliding_patches
+
+    px = spark.range(96 * 96).selectExpr("0 AS fov", "cast(id div 96 AS int) AS y", "cast(id % 96 AS int) AS x", "cast(id AS double) AS v")
+    start = time.time()
+    rows = patch_arrays(sliding_patches(px, stride=24)).collect()
+    assert len(rows) == 16 and {len(r.patch) for r in rows} == {9216} and time.time() - start < 25
+    full = next(r for r in rows if (r.r, r.c) == (48, 48))
+    assert full.patch == [i / 9215 for i in range(9216)]
