@@ -72,6 +72,13 @@ def _fast(path: str):
     return encoding, special
 
 
+def vocabulary(path: str) -> dict[str, int]:
+    """Token strings, as the file writes them, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint32) of every whole text, without begin, end or padding ids."""
     out: list = [None] * len(texts)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole
+from cytoframe.llm.common import arrow, table, whole
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -164,7 +164,7 @@ def extract_main_text(pages: DataFrame, window: int = 3, key: str = "page_id") -
     """``key``, ``url`` and ``text`` of every page; a page is read on its own, without a shuffle."""
     rows = pages.select(F.col(key).alias("key"), F.col("url").cast("string").alias("url"), whole("html").alias("html"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(lambda batches: _extracted(batches, window), f"key {kind}, url string, text string")
+    out = arrow(rows, lambda batches: _extracted(batches, window), f"key {kind}, url string, text string")
     return out.withColumnRenamed("key", key)
 
 

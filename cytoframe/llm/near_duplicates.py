@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole, width, written
+from cytoframe.llm.common import arrow, table, whole, width, written
 from cytoframe.llm.components import star_components
 
 BANDS, ROWS = 40, 5
@@ -48,7 +48,7 @@ class Shingler:
 
     def __call__(self, text: str) -> np.ndarray:
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         # lower-cases A-Z and splits at \x20 and \x09-\x0D, and nowhere else
         words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -229,8 +229,8 @@ def near_duplicates(
         raise ValueError("the bands find similarities of 80 hundredths and more")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), whole(text).alias("text"))
-    signed = rows.mapInArrow(
-        lambda b: _signed(b, words), "id bigint, n_shingles bigint, digest binary, signature binary"
+    signed = arrow(
+        rows, lambda b: _signed(b, words), "id bigint, n_shingles bigint, digest binary, signature binary"
     )
     signed = written(signed, "signatures")
     nodes = signed.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(
@@ -251,7 +251,7 @@ def near_duplicates(
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = rows.join(wanted, "id").select("id", "digest", "text")
-    sets = written(sets.mapInArrow(lambda b: _sets(b, words), "id bigint, shingles array<bigint>"), "sets")
+    sets = written(arrow(sets, lambda b: _sets(b, words), "id bigint, shingles array<bigint>"), "sets")
 
     tried = members.where("id <> center").groupBy("id", "center").agg(F.count("*").alias("bands"))
     best = tried.groupBy("id").agg(F.min_by("center", F.struct(-F.col("bands"), "center")).alias("center"))
@@ -283,14 +283,14 @@ def near_duplicates(
         F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    rest = (
+    rest = arrow(
         units.join(nodes.select("id", "signature"), "id")
         .join(sets, "id")
         .repartition(width(spark) * 2, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(lambda b: _by_block(b, near, percent), "u bigint, v bigint")
-        .distinct()
-    )
+        .sortWithinPartitions("key"),
+        lambda b: _by_block(b, near, percent),
+        "u bigint, v bigint",
+    ).distinct()
     final = star_components(links.unionByName(rest))
 
     named = nodes.select("digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left")

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole
-from cytoframe.llm.encoding import _byte_of_char, _library, blocks, encode
+from cytoframe.llm.common import arrow, table, whole
+from cytoframe.llm.encoding import _byte_of_char, blocks, encode, vocabulary
 
 STRETCH = 1_000_000
 
@@ -39,11 +39,11 @@ STRETCH = 1_000_000
 @lru_cache(maxsize=4)
 def _sentence_marks(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Per id: whether its text ends a sentence, and whether it starts with white space."""
-    library, byte = _library(path), _byte_of_char()
-    size = library.get_vocab_size()
+    byte, tokens = _byte_of_char(), vocabulary(path)
+    size = max(tokens.values()) + 1
     ends, opens = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-    for i in range(size):
-        token = bytes(byte.get(c, 63) for c in library.id_to_token(i) or "")
+    for name, i in tokens.items():
+        token = bytes(byte.get(c, 63) for c in name)
         ends[i] = token.rstrip(b"\"')]}").endswith((b".", b"!", b"?")) or b"\n" in token
         opens[i] = token[:1].isspace() or b"\n" in token
     return ends, opens
@@ -175,7 +175,8 @@ def pack(
     rows = docs.select(F.col(key).alias("key"), whole(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     costs, grid = (sentence_cost, hard_cost), min(grid, limit // 2)
-    return rows.mapInArrow(
+    return arrow(
+        rows,
         lambda batches: _packed(batches, tokenizer, closing, limit, costs, grid, window_cost),
         f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint",
     ).withColumnRenamed("key", key)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole, width, written
+from cytoframe.llm.common import arrow, table, whole, width, written
 from cytoframe.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 GRAM = 128
@@ -217,7 +217,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
     copied = copies.where("rows > 1").select(
         "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))).alias("spans")
     )
-    anchors = written(texts.mapInArrow(lambda b: _anchored(b, length, gram), ANCHORS), "anchors")
+    anchors = written(arrow(texts, lambda b: _anchored(b, length, gram), ANCHORS), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     wanted = (
         anchors.join(shared.where("low <> high").select("anchor"), "anchor")
@@ -226,7 +226,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
     )
     segments = texts.join(wanted, "content").select("content", "bytes", "runs")
     segments = written(
-        segments.mapInArrow(lambda b: _cut(b, length), ANCHORS + ", digest binary, bytes binary"), "segments"
+        arrow(segments, lambda b: _cut(b, length), ANCHORS + ", digest binary, bytes binary"), "segments"
     )
 
     # equal segments are folded; one place stands for each
@@ -239,16 +239,19 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
     )
     feed = written(feed.select("anchor", "digest", "bytes", "hot"), "feed")
     ranges = "array<struct<a:int,b:int>>"
-    by_sorting = (
+    by_sorting = arrow(
         feed.where("NOT hot")
         .select("anchor", "digest", "bytes")
         .repartition(width(spark) * 2, "anchor")
-        .sortWithinPartitions("anchor")
-        .mapInArrow(lambda b: _sorted_shard(b, length), f"anchor bigint, digest binary, ranges {ranges}")
+        .sortWithinPartitions("anchor"),
+        lambda b: _sorted_shard(b, length),
+        f"anchor bigint, digest binary, ranges {ranges}",
     )
     single = written(
-        feed.where("hot").select("anchor", "digest", "bytes").mapInArrow(
-            lambda b: _single_windows(b, length), "anchor bigint, digest binary, a int, window binary"
+        arrow(
+            feed.where("hot").select("anchor", "digest", "bytes"),
+            lambda b: _single_windows(b, length),
+            "anchor bigint, digest binary, a int, window binary"
         ),
         "windows",
     )
@@ -277,8 +280,8 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
             )
         ).alias("ranges")
     )
-    spans = per_text.join(copied.select("content"), "content", "left_anti").mapInArrow(
-        _merged, "content binary, spans array<struct<start:bigint,end:bigint>>"
+    spans = arrow(
+        per_text.join(copied.select("content"), "content", "left_anti"), _merged, "content binary, spans array<struct<start:bigint,end:bigint>>"
     )
     return written(spans.unionByName(copied), "spans")
 

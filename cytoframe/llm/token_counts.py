@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import shared_path, table, whole
+from cytoframe.llm.common import arrow, shared_path, table, whole
 from cytoframe.llm.encoding import blocks, encode, version_digest
 
 CACHE = "digest binary, version string, n_tokens bigint"
@@ -61,7 +61,7 @@ def cached_counts(
         .groupBy("digest")
         .agg(F.first("text").alias("text"))
     )
-    misses.mapInArrow(lambda batches: counted(batches, tokenizer, version), CACHE).write.mode("append").parquet(cache)
+    arrow(misses, lambda batches: counted(batches, tokenizer, version), CACHE).write.mode("append").parquet(cache)
     return (
         rows.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(stored(), "digest", "left")

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole
+from cytoframe.llm.common import arrow, table, whole
 
 WORDS = re.compile(r"\w+")
-TRAIN_ROWS = 2500  # labelled documents of each class at most
+TRAIN_ROWS = 2000  # labelled documents of each class at most
 TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
 SEGMENT = 48  # tokens
-SEGMENTS = 6000  # of either kind at most
+SEGMENTS = 4000  # of either kind at most
 EPOCHS = 60
 NOISE = 0.2
 LOW = -2.0
@@ -224,7 +224,7 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def factor(self, word: str) -> float:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         weights = self.model["weights"]
         score = sum(weights.get(f, 0.0) for f in features(word)) + self.model["bias"]
@@ -371,8 +371,8 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text") -> DataFram
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
     digest = str(zlib.crc32(pickle.dumps(model)))
     inner = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(
-        lambda batches: _scored(batches, model, kind, digest), f"row {inner}, score double, spans {SPANS}"
+    return arrow(
+        rows, lambda batches: _scored(batches, model, kind, digest), f"row {inner}, score double, spans {SPANS}"
     )
 
 

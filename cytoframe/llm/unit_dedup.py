@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import table, whole, written
+from cytoframe.llm.common import arrow, table, whole, written
 
 SPACE = re.compile(r"[\t\n\x0b\f\r ]+")
 UNITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\t\r ]*\n\s*")}
@@ -102,7 +102,8 @@ def drop_repeated_units(
     rows = docs.select(_document(key, text).alias("document"), F.struct(*order).alias("rank"), whole(text).alias("text"))
     rank_kind = rows.schema["rank"].dataType.simpleString()
     found = written(
-        rows.mapInArrow(
+        arrow(
+            rows,
             lambda b: _hashed(b, unit, least_words),
             f"document binary, rank {rank_kind}, start bigint, end bigint, digest binary",
         ),
@@ -126,7 +127,8 @@ def drop_repeated_units(
         .select("row", "text", "spans")
     )
     inner = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(
+    return arrow(
+        joined,
         lambda b: _without(b, unit),
         f"row {inner}, kept_text string, n_units bigint, removed array<struct<start:bigint,end:bigint>>",
     )
