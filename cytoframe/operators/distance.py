@@ -170,8 +170,9 @@ def seed_and_edge_distances(
     """Per region pixel: distance to the seed mask, to the outside of the cell, and the
     share seed / (outside + seed)."""
     keys = list(keys)
-    to_seed = distance_transform(regions, keys, quoted(seed) > 0, "d_seed")
-    both = distance_transform(to_seed, keys, ~F.col("in_cell"), "d_edge")
+    both = distance_transform(regions, keys, quoted(seed) > 0, "d_seed")
+    if "d_edge" not in both.columns:  # it does not depend on the seed, a caller may have it
+        both = distance_transform(both, keys, ~F.col("in_cell"), "d_edge")
     return both.withColumn("d_share", ratio("d_seed", F.col("d_seed") + F.col("d_edge")))
 
 
@@ -261,11 +262,11 @@ def probe_localisation(
     usable = materialise(held.select(*keys, has_all.alias("usable")))
     failed = usable.where(~F.col("usable")).select(*keys)
     usable = usable.where("usable").select(*keys)
-    surface = semi(regions, usable, keys)
+    surface = distance_transform(semi(regions, usable, keys), keys, ~F.col("in_cell"), "d_edge")
     for s in seeds:
         surface = seed_and_edge_distances(surface, s).withColumnsRenamed(
             {"d_seed": f"abs_dist_{s}", "d_share": f"dist_{s}"}
-        ).drop("d_edge")
+        )
     values = [f"{kind}_{s}" for s in seeds for kind in ("dist", "abs_dist")]
     surface = materialise(surface.select(*keys, "y", "x", *values))
     out = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.reshape import stack
+from cytoframe.session import materialise
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -43,7 +44,11 @@ def prune_missing(
 def prune_iteratively(
     df: DataFrame, columns: Sequence[str], threshs: Sequence[float] = (0.1, 0.01)
 ) -> tuple[DataFrame, list[str]]:
-    """Columns, then rows, at ever tighter thresholds. One aggregate job per threshold."""
+    """Columns, then rows, at ever tighter thresholds. One aggregate job per threshold.
+
+    The input is computed once; the jobs read its checkpoint.
+    """
+    df = materialise(df)
     for thresh in threshs:
         for axis in ("columns", "rows"):
             df, columns = prune_missing(df, columns, thresh, axis)

@@ -399,6 +399,7 @@ LIVE_NAMES = {
     "full_cell_total_sum_intensity_bg_subtracted":
         "alpha-actinin protein intensity (sum, background subtracted)",
 }
+# fixed values: feature table names to published names
 REVISED_NAMES = {
     "napariCell_AreaShape_Area": "Cell area (μm^2)",
     "Frac_Area_Background": "Fraction cell area background",
@@ -412,18 +413,21 @@ REVISED_NAMES = {
     "Peak_Distance": "Peak distance (μm)",
     "cell_age": "Cell age",
 }
+# fixed values
 REVISED_FEATURES = [
     "napariCell_AreaShape_Area", "Cell aspect ratio", "Frac_Area_Background",
     "Frac_Area_DiffuseOthers", "Frac_Area_Fibers", "Frac_Area_Disorganized_Puncta",
     "Frac_Area_Organized_Puncta", "Frac_Area_Organized_ZDisks",
     "Maximum_Coefficient_Variation", "Peak_Height", "Peak_Distance",
 ]
+# fixed values
 REVISED_METADATA = [
     "Dataset", "napariCell_ObjectNumber", "fov_path", "cell_age", "replate_date", "image_date",
     "plate_name", "well_position", "ge_wellID", "mh_structure_org_score",
     "kg_structure_org_score", "no_structure", "gfp_keep", "Type", "probe546", "probe647",
     "napariCell_Children_seg_probe_561_Count", "napariCell_Children_seg_probe_638_Count",
 ]
+# fixed values
 AGE_GROUPS = {18: 18, 19: 18, 25: 25, 26: 25, 32: 32, 33: 32}
 BACKGROUND_SUBTRACTED = "alpha-actinin protein intensity (sum, background subtracted)"
 
