@@ -16,7 +16,7 @@ HEADLINE = [
     "zscore_by_group", "median_normalise", "ci_quantiles", "spearman",
     "ridge_fit", "confusion_report", "bootstrap_median", "stratified_split", "knn_manhattan",
     "quantile_contrast", "hist_contrast", "shape_features", "cell_crop", "class_fractions",
-    "probe_by_class", "components", "nearest_distance", "probe_localisation",
+    "probe_by_class", "components", "nearest_distance", "wide_distance", "probe_localisation",
     "cooccurrence_corr", "plot_dataset",
 ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.measures import rounded
 from catalog.objects import CELLS, cells
-from catalog.tables import PX, pixels
+from catalog.tables import PX, pixels, table
 from cytoframe.operators import components as CC
 from cytoframe.operators import distance as D
 from cytoframe.operators import texture as T
@@ -433,3 +433,21 @@ def decay_fit(spark, sf):
 def global_alignment(spark, sf):
     return T.global_alignment(whole_cells(spark, sf), levels=4, dmax=5, nangles=6)
 
+
+
+@query(
+    "wide_distance",
+    """WITH p AS (SELECT vec_id // 1024 AS fov, (vec_id % 1024) // 4 AS y, (vec_id % 4) * 64 + i - 1 AS x,
+           CAST(embedding[i] AS DOUBLE) AS e FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+         s AS (SELECT fov, y, x FROM p WHERE e > 0.4)
+       SELECT p.fov, p.y, p.x, round(min(sqrt((p.y - s.y) ** 2 + (p.x - s.x) ** 2)), 6) AS distance
+       FROM p LEFT JOIN s ON p.fov = s.fov GROUP BY 1, 2, 3""",
+)
+def wide_distance(spark, sf):
+    """Images 256 wide, of four vectors side by side, and their distance to bright pixels."""
+    px = table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 1024").alias("fov"), F.expr("(vec_id % 1024) div 4").alias("y"), "vec_id",
+        F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "e"),
+    ).select("fov", "y", ((F.col("vec_id") % 4) * 64 + F.col("i")).alias("x"), "e")
+    found = D.distance_transform(px, ["fov"], F.col("e") > 0.4)
+    return rounded(found.select("fov", "y", "x", "distance"), ["distance"])
