@@ -1,9 +1,10 @@
 """Line or paragraph deduplication by global digests.
 
-Texts are cut into units (lines, or paragraphs at blank lines). A unit's normal form (lower case, white
-space folded) is hashed to 128 bits. Digests are counted over the corpus with map-side combining; of each
-repeated one the earliest occurrence stays, by the rank columns, then the id, then the position. The other
-occurrences are cut out; their character offsets in the original text come along.
+Texts are cut into units: lines, paragraphs at blank lines, or lines together with their sentences, which
+also finds a passage that stands inside lines. A unit's normal form (lower case, white space folded) is
+hashed to 128 bits. Digests are counted over the corpus with map-side combining; only the occurrences of
+repeated ones go on. Of each the earliest stays, by the rank columns, then the id, then the position. The
+other occurrences are cut out; their character offsets in the original text come along.
 
 Defined cases: units without text, and those of fewer than ``least_words`` words, always stay; a null text
 is the empty text; null ids and ranks order last; rows that agree in id and text are one document given
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from cytoframe.llm.common import arrow, table, whole, written
 
 SPACE = re.compile(r"[\t\n\x0b\f\r ]+")
-UNITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\t\r ]*\n\s*")}
+LINES = re.compile(r"\n")
+UNITS = {"line": LINES, "paragraph": re.compile(r"\n[\t\r ]*\n\s*"), "sentence": LINES}
+SENTENCE_END = re.compile(r"[.!?]+([\t ]+)")
 BROADCAST_ROWS = 1_000_000
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -37,45 +41,70 @@ def units(text: str, unit: str) -> list[tuple[int, int]]:
     return [*found, (start, len(text))]
 
 
+def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Start and end of the sentences of a line, without the white space behind them; none if it is one."""
+    found, at = [], start
+    for m in SENTENCE_END.finditer(text, start, end):
+        found.append((at, m.start(1)))
+        at = m.end()
+    if at < end:
+        found.append((at, end))
+    return found if len(found) > 1 else []
+
+
 def _hashed(batches: Iterator[pa.RecordBatch], unit: str, least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             which, starts, ends, digests = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
-                for start, end in units(text, unit):
-                    words = SPACE.split(text[start:end].lower().strip("\t\n\x0b\f\r "))
-                    if len(words) >= least_words and words != [""]:
-                        which.append(i)
-                        starts.append(start)
-                        ends.append(end)
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words)))
+                for line in units(text, unit):
+                    for start, end in (line, *(sentences(text, *line) if unit == "sentence" else ())):
+                        words = SPACE.split(text[start:end].lower().strip("\t\n\x0b\f\r "))
+                        if len(words) >= least_words and words != [""]:
+                            which.append(i)
+                            starts.append(start)
+                            ends.append(end)
+                            digests.append(xxhash.xxh3_128_digest(" ".join(words)))
             index = pa.array(which, pa.int64())
+            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [part.column("document").take(index), part.column("rank").take(index), pa.array(starts, pa.int64()),
-                 pa.array(ends, pa.int64()), pa.array(digests, pa.binary())],
-                ["document", "rank", "start", "end", "digest"],
+                 pa.array(ends, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                ["document", "rank", "start", "end", "d1", "d2"],
             )
 
 
+def without_units(text: str, gone: set[tuple[int, int]], unit: str) -> tuple[str, int, list[dict]]:
+    """The text without the given units, how many units it had, and the spans that were cut out."""
+    pieces, removed, count, before = [], [], 0, 0
+    for n, (start, end) in enumerate(units(text, unit)):
+        parts = sentences(text, start, end) if unit == "sentence" else []
+        count += max(1, len(parts))
+        if (start, end) in gone:
+            cut, left = [(start, end)], ""
+        else:
+            cut = [p for p in parts if p in gone]
+            left = text[start:end]
+            if cut:
+                stops = [p[0] for p in parts[1:]] + [end]
+                left = "".join(text[p[0] : stop] for p, stop in zip(parts, stops) if p not in gone)
+                left = left.rstrip("\t ") if parts[-1] in gone else left
+        removed += cut
+        if not cut or left.strip("\t "):
+            # a unit keeps the separator before it, but for the first one left
+            pieces.append((text[before:start] if n and pieces else "") + left)
+        before = end
+    return "".join(pieces), count, [{"start": a, "end": b} for a, b in removed]
+
+
 def _without(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            texts, removed, counts = [], [], []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                found = units(text, unit)
-                counts.append(len(found))
-                gone = sorted((s["start"], s["end"]) for s in spans or [])
-                removed.append([{"start": a, "end": b} for a, b in gone])
-                if gone:
-                    drop, pieces = set(gone), []
-                    for n, (start, end) in enumerate(found):
-                        if (start, end) not in drop:
-                            # a unit keeps the separator before it, but for the first one left
-                            pieces.append(text[found[n - 1][1] if n and pieces else start : end])
-                    text = "".join(pieces)
-                texts.append(text)
+            columns = (part.column(c).to_pylist() for c in ("text", "spans"))
+            made = [without_units(t, {(s["start"], s["end"]) for s in spans or ()}, unit) for t, spans in zip(*columns)]
+            texts, counts, removed = zip(*made)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, SPANS)],
                 ["row", "kept_text", "n_units", "removed"],
@@ -105,15 +134,17 @@ def drop_repeated_units(
         arrow(
             rows,
             lambda b: _hashed(b, unit, least_words),
-            f"document binary, rank {rank_kind}, start bigint, end bigint, digest binary",
+            f"document binary, rank {rank_kind}, start bigint, end bigint, d1 bigint, d2 bigint",
         ),
         "units",
     )
-    earliest = found.groupBy("digest").agg(
-        F.count("*").alias("n"), F.min(F.struct("rank", "document", "start")).alias("first")
-    )
+    repeated = written(found.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated-digests")
+    if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        repeated = F.broadcast(repeated)
+    found = written(found.join(repeated, ["d1", "d2"]), "occurrences")
+    earliest = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "document", "start")).alias("first"))
     gone = (
-        found.join(earliest.where("n > 1").select("digest", "first"), "digest")
+        found.join(earliest, ["d1", "d2"])
         .where(~((F.col("document") == F.col("first.document")) & (F.col("start") == F.col("first.start"))))
         .groupBy("document")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -135,9 +166,9 @@ def drop_repeated_units(
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier one has, and what was cut out."""
+    """Every document without the lines and sentences that an earlier one has, and what was cut out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    result = drop_repeated_units(docs)
+    result = drop_repeated_units(docs, unit="sentence")
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return result.select(
         F.col("row.doc_id").alias("doc_id"),
@@ -150,21 +181,52 @@ def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH cut AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), line AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM cut
 ), placed AS (
   SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS BIGINT) AS start,
-         regexp_replace(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))),
-                        '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g') AS norm
+         list_filter(string_split(regexp_replace(line, '([.!?]+[ \t]+)', '\\1' || chr(1), 'g'), chr(1)),
+                     lambda p: p <> '') AS pieces
   FROM line
+), piece AS (
+  SELECT doc_id, n, start AS line_start, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS m
+  FROM placed WHERE len(pieces) > 1
+), sentence AS (
+  SELECT *, line_start + CAST(sum(length(piece)) OVER (PARTITION BY doc_id, n ORDER BY m) AS BIGINT) - length(piece) AS start
+  FROM piece
+), ended AS (
+  SELECT *, start + length(CASE WHEN m < max(m) OVER (PARTITION BY doc_id, n) THEN rtrim(piece, ' ' || chr(9)) ELSE piece END)
+            AS stop FROM sentence
+), unit AS (
+  SELECT doc_id, n, 0 AS m, start, start + length(line) AS stop, line AS body FROM placed
+  UNION ALL SELECT doc_id, n, m, start, stop, piece FROM ended
+), normal AS (
+  SELECT *, regexp_replace(lower(trim(body, ' ' || chr(9) || chr(11) || chr(12) || chr(13))),
+                           '[\t\n\x0b\f\r ]+', ' ', 'g') AS norm FROM unit
 ), judged AS (
   SELECT *, len(string_split(norm, ' ')) >= 5
-            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, n) > 1 AS gone
-  FROM placed
+            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone FROM normal
+), parts AS (
+  SELECT doc_id, n, count(*) FILTER (WHERE m > 0) AS n_parts, bool_or(gone AND m = 0) AS line_gone,
+         bool_or(gone AND m > 0) AS some_gone, max(m) FILTER (WHERE gone) AS last_gone,
+         string_agg(body, '' ORDER BY m) FILTER (WHERE m > 0 AND NOT gone) AS rest,
+         max(body) FILTER (WHERE m = 0) AS line
+  FROM judged GROUP BY doc_id, n
+), left_over AS (
+  SELECT doc_id, n, greatest(n_parts, 1) AS n_units, line_gone,
+         CASE WHEN line_gone THEN '' WHEN NOT some_gone THEN line
+              WHEN last_gone = n_parts THEN rtrim(coalesce(rest, ''), ' ' || chr(9)) ELSE rest END AS line,
+         line_gone OR some_gone AS cut FROM parts
+), texts AS (
+  SELECT doc_id, CAST(sum(n_units) AS BIGINT) AS n_units,
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT cut OR trim(line, ' ' || chr(9)) <> ''), '') AS text
+  FROM left_over GROUP BY doc_id
+), spans AS (
+  SELECT j.doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed
+  FROM judged j JOIN left_over l ON j.doc_id = l.doc_id AND j.n = l.n
+  WHERE j.gone AND (j.m = 0 OR NOT l.line_gone) GROUP BY j.doc_id
 )
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text,
-       count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
-       coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY n) FILTER (WHERE gone), '') AS removed
-FROM judged GROUP BY doc_id
+SELECT t.doc_id, text, n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM texts t LEFT JOIN spans s ON t.doc_id = s.doc_id
 """

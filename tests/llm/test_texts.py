@@ -196,6 +196,26 @@ def test_lines_by_hand(spark, folder):
     assert op6_unit_dedup(spark, path).collect() == []
 
 
+def test_passages_inside_lines(spark):
+    """Sentences count too: a passage in the middle of other lines goes, what stands around it stays."""
+    passage = "One sentence of the passage here. And another one that follows it!"
+    rows = [
+        (1, f"Some words before it. {passage} Short end."),
+        (2, f"Other start of the line. {passage}\nnext line"),
+        (3, passage),
+        (4, f"{passage} {passage}"),
+        (5, "One. Two. Three."),
+        (6, "One. Two. Three."),
+    ]
+    got = {r.row.doc_id: (r.kept_text, r.n_units, [(s.start, s.end) for s in r.removed])
+           for r in drop_repeated_units(frame(spark, rows), unit="sentence").collect()}
+    assert got[1] == (rows[0][1], 4, [])
+    assert got[2] == ("Other start of the line.\nnext line", 4, [(25, 58), (59, 91)])
+    assert got[3][0] == "" and got[3][2] == [(0, 33), (34, 66)]
+    assert got[4][0] == "" and len(got[4][2]) == 4
+    assert got[5] == got[6] == ("One. Two. Three.", 3, [])
+
+
 # --- byte strings ---------------------------------------------------------------------------------------
 
 
