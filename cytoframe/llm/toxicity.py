@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from cytoframe.llm.common import arrow, table, whole
 
 WORDS = re.compile(r"\w+")
-TRAIN_ROWS = 2000  # labelled documents of each class at most
+TRAIN_ROWS = 2500  # labelled documents of each class at most
 TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
 SEGMENT = 48  # tokens
-SEGMENTS = 4000  # of either kind at most
+SEGMENTS = 6000  # of either kind at most
 EPOCHS = 60
 NOISE = 0.2
 LOW = -2.0
@@ -266,15 +266,16 @@ class Scorer:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps, with softened targets."""
+    """Intercept and slope by Newton steps, with softened targets; a rarer toxic class weighs more."""
     n1, n0 = y.sum(), (1 - y).sum()
+    weight = np.where(y == 1, math.sqrt(max(1.0, n0 / n1)), 1.0)
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     beta = np.zeros(2)
     design = np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        beta = beta + np.clip(np.linalg.solve(hessian, design.T @ (target - p) - 1e-3 * beta), -2, 2)
+        hessian = design.T @ (design * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        beta = beta + np.clip(np.linalg.solve(hessian, design.T @ (weight * (target - p)) - 1e-3 * beta), -2, 2)
     return float(beta[0]), float(max(beta[1], 1e-3))
 
 
