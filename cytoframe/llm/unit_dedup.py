@@ -28,7 +28,7 @@ SPACE = re.compile(r"[\t\n\x0b\f\r ]+")
 LINES = re.compile(r"\n")
 UNITS = {"line": LINES, "paragraph": re.compile(r"\n[\t\r ]*\n\s*"), "sentence": LINES}
 SENTENCE_END = re.compile(r"[.!?]+([\t ]+)")
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000  # repeated digests of two longs
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -149,9 +149,6 @@ def drop_repeated_units(
         .groupBy("document")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
-    gone = written(gone, "repeated-units")
-    if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        gone = F.broadcast(gone)
     joined = (
         docs.select(F.struct("*").alias("row"), whole(text).alias("text"), _document(key, text).alias("document"))
         .join(gone, "document", "left")
