@@ -43,12 +43,12 @@ def merge(
     on: Sequence[str] | None = None,
     how: str = "inner",
     nulls_match: bool = True,
-    hot: str | None = None,
+    many: str | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
     """Join on ``on`` (default: all shared columns), keys once, left columns first.
 
-    ``how`` is inner, left or outer. ``hot`` names the side (left or right) that may hold hot
+    ``how`` is inner, left or outer. ``many`` names the side (left or right) that may hold hot
     keys in an outer join. Other shared columns get ``suffixes``. With ``nulls_match`` the rows
     with missing keys of both sides meet, as in a dataframe merge: m and n of them give m x n
     rows, so a chain should not bring both sides' unmatched rows together again.
@@ -66,13 +66,13 @@ def merge(
     if how != "outer":
         raise ValueError(f"unknown join type {how}")
     renamed = _right_keys_renamed(right, on)
-    if hot is None:
+    if many is None:
         joined = left.join(renamed, _condition(on, nulls_match), "full")
         keys = {k: F.coalesce(quoted(k), quoted(_R + k)) for k in on}
         return joined.select([keys[c].alias(c) if c in keys else quoted(c) for c in order])
     # the left side is the chain so far and is read twice: once it is computed, nothing doubles
     left = materialise(left)
-    keep, other = (left, right) if hot == "left" else (materialise(right), left)
+    keep, other = (left, right) if many == "left" else (materialise(right), left)
     kept = keep.join(_right_keys_renamed(other, on), _condition(on, nulls_match), "left")
     # the union of two branches with one partitioning may not fit after adaptive re-planning
     rest = anti(other, keep, on, nulls_match).hint("rebalance")

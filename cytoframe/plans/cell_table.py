@@ -85,7 +85,7 @@ def merge_cells(
         linked, border, ["ImageNumber", "finalnuc_ObjectNumber"], "finalnuc_border", matched=False
     )
     images = with_image_path(tables["image"]).select("ImageNumber", "ImagePath")
-    merged = merge(images, flagged, key, "outer", hot="right")
+    merged = merge(images, flagged, key, "outer", many="right")
     merged = rename_existing(
         merged, {"napariCell_Children_NucCentroid_Count": "napariCell_nuclei_Count"}
     )
@@ -116,7 +116,7 @@ def add_samples(
     if root:
         manifest = manifest.withColumn("ImagePath", under_root("ImagePath", root))
     merged = merge(cells, manifest, on, "outer")
-    merged = merge(merged, samples, ["fov_path", "FOVId"], "outer", hot="left")
+    merged = merge(merged, samples, ["fov_path", "FOVId"], "outer", many="left")
     return order_columns(drop_existing(merged, ["ge_wellID", "notes"]), first, SAMPLE_COLUMNS)
 
 

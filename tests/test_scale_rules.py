@@ -83,7 +83,7 @@ def test_a_chain_of_outer_merges(spark, tmp_path, shuffled_joins, hot):
         tables.append(spark.read.parquet(path))
     merged = tables[0]
     for t in tables[1:]:
-        merged = J.merge(merged, t, ["k"], "outer", hot=hot)
+        merged = J.merge(merged, t, ["k"], "outer", many=hot)
     got = {r.k: {n: r[f"v{n}"] for n in range(7) if r[f"v{n}"] is not None} for r in merged.collect()}
     assert got == want and merged.count() == len(want)
     plan = merged._jdf.queryExecution().sparkPlan().toString()
@@ -96,7 +96,7 @@ def test_a_chain_of_outer_merges(spark, tmp_path, shuffled_joins, hot):
 def test_hot_and_missing_keys_in_outer_merges(spark, shuffled_joins):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(None, 50), (None, 51), (3, 52)], "k long, a long")
     right = spark.createDataFrame([(1, 7), (2, 8), (None, 9)], "k long, b long")
-    rows = [sorted(map(str, J.merge(left, right, ["k"], "outer", hot=h).collect())) for h in (None, "left", "right")]
+    rows = [sorted(map(str, J.merge(left, right, ["k"], "outer", many=h).collect())) for h in (None, "left", "right")]
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 54
     apart = J.merge(left, right, ["k"], "outer", nulls_match=False)
     assert apart.count() == 55
