@@ -28,10 +28,10 @@ FOUR = "abs(a.y - b.y) + abs(a.x - b.x) = 1"
 EIGHT = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
 
 
-def _numbered(found):
+def _numbered(found, name="component"):
     """Component numbers as the SQL writes them: y * 2^20 + x of the first pixel, for the small images here."""
-    row, column = F.shiftright("component", 32), F.col("component").bitwiseAND(F.lit(2**32 - 1))
-    return found.withColumn("component", row * 1048576 + column)
+    row, column = F.shiftright(name, 32), F.col(name).bitwiseAND(F.lit(2**32 - 1))
+    return found.withColumn(name, row * 1048576 + column)
 
 
 @query(
@@ -231,7 +231,7 @@ CENTRES = f"""{SEEDED}, src AS (SELECT fov * 10 + label AS k, y, x, 1 AS m FROM
 
 @query("probe_centres", f"WITH RECURSIVE {CENTRES} SELECT fov, label, c AS probe_object, y, x FROM ctr")
 def probe_centres(spark, sf):
-    return D.probe_centres(regions(spark, sf), "probe")
+    return _numbered(D.probe_centres(regions(spark, sf), "probe"), "probe_object")
 
 
 @query(
