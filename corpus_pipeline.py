@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines and sentences that an earlier one has; ``n_chars`` follows the text."""
-    result = drop_repeated_units(docs, unit="sentence").withColumn("row", F.col("row").withField("text", F.col("kept_text")))
+    """Documents without the lines and passages that an earlier one has; ``n_chars`` follows the text."""
+    result = drop_repeated_units(docs, unit="passage").withColumn("row", F.col("row").withField("text", F.col("kept_text")))
     if "n_chars" in docs.columns:
         size = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
         result = result.withColumn("row", F.col("row").withField("n_chars", size))

@@ -14,13 +14,13 @@ from cytoframe.llm.packing import op5_packing
 from cytoframe.llm.suffix_dedup import op8_suffix_array
 from cytoframe.llm.token_counts import op3_token_counts
 from cytoframe.llm.toxicity import op2_toxicity
-from cytoframe.llm.unit_dedup import OP6_SQL, op6_unit_dedup
+from cytoframe.llm.unit_dedup import OP6_SQL, op6_passage_dedup, op6_unit_dedup
 
 QUERIES: dict[str, Callable] = {
     f.__name__: f
     for f in (
         op1_exact_top_k, op2_toxicity, op3_token_counts, op4_graph_search, op5_packing, op6_unit_dedup,
-        op7_html_extraction, op8_suffix_array, op9_mixing, op10_minhash,
+        op6_passage_dedup, op7_html_extraction, op8_suffix_array, op9_mixing, op10_minhash,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

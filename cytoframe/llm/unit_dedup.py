@@ -1,12 +1,18 @@
 """Line or paragraph deduplication by global digests.
 
-Texts are cut into units: lines, paragraphs at blank lines, or lines together with their sentences, which
-also finds a passage that stands inside lines. A unit's normal form (lower case, white space folded) is
+Texts are cut into units: lines, paragraphs at blank lines, or lines together with their sentences
+(``sentence`` and ``passage``), which also finds a passage that stands inside lines. A unit's normal form (lower case, white space folded) is
 hashed to 128 bits. Digests are counted over the corpus with map-side combining; only the occurrences of
 repeated ones go on. Of each the earliest stays, by the rank columns, then the id, then the position. The
 other occurrences are cut out; their character offsets in the original text come along.
 
-Defined cases: units without text, and those of fewer than ``least_words`` words, always stay; a null text
+``passage`` counts whole lines of any length; ``least_words`` holds only for the sentences of a line of several.
+A removed sentence there takes along what stands next to it in its line as next to its earliest occurrence: the
+short sentences on both sides, and the shared last words of the next longer sentence before them, where a
+passage is glued to the text around it. A sentence that is itself the earliest of a repeated one is never cut.
+
+Defined cases: units without text always stay, and so do those of fewer than ``least_words`` words (but for
+lines in ``passage``); a null text
 is the empty text; null ids and ranks order last; rows that agree in id and text are one document given
 repeatedly, and lose the same units; an empty table gives no rows; other columns are ignored.
 """
@@ -14,7 +20,7 @@ repeatedly, and lose the same units; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,9 @@ from cytoframe.llm.common import arrow, table, whole, written
 
 SPACE = re.compile(r"[\t\n\x0b\f\r ]+")
 LINES = re.compile(r"\n")
-UNITS = {"line": LINES, "paragraph": re.compile(r"\n[\t\r ]*\n\s*"), "sentence": LINES}
+UNITS = {"line": LINES, "paragraph": re.compile(r"\n[\t\r ]*\n\s*"), "sentence": LINES, "passage": LINES}
+CUT_LINES = ("sentence", "passage")
+WORD = re.compile(r"[^\t\n\x0b\f\r ]+")
 SENTENCE_END = re.compile(r"[.!?]+([\t ]+)")
 BROADCAST_ROWS = 1_000_000  # repeated digests of two longs
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -52,44 +60,111 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return found if len(found) > 1 else []
 
 
+def _words(text: str) -> list[str]:
+    """Words of the normal form."""
+    words = SPACE.split(text.lower().strip("\t\n\x0b\f\r "))
+    return words if words != [""] else []
+
+
+def _beside(words: list[list[str]], i: int, least_words: int) -> tuple[str, str]:
+    """Normal form of the sentences beside sentence i, a line each.
+
+    Before it these are the short ones and the next one of ``least_words`` words, after it the short ones.
+    """
+    first, stop = i, i + 1
+    while first > 0 and (first == i or len(words[first]) < least_words):
+        first -= 1
+    while stop < len(words) and len(words[stop]) < least_words:
+        stop += 1
+    return tuple("\n".join(" ".join(w) for w in part) for part in (words[first:i], words[i + 1 : stop]))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch], unit: str, least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            which, starts, ends, digests = [], [], [], []
+            which, starts, ends, digests, befores, afters = [], [], [], [], [], []
+
+            def add(i, span, words, before="", after=""):
+                which.append(i)
+                starts.append(span[0])
+                ends.append(span[1])
+                digests.append(xxhash.xxh3_128_digest(" ".join(words)))
+                befores.append(before)
+                afters.append(after)
+
             for i, text in enumerate(part.column("text").to_pylist()):
                 for line in units(text, unit):
-                    for start, end in (line, *(sentences(text, *line) if unit == "sentence" else ())):
-                        words = SPACE.split(text[start:end].lower().strip("\t\n\x0b\f\r "))
-                        if len(words) >= least_words and words != [""]:
-                            which.append(i)
-                            starts.append(start)
-                            ends.append(end)
-                            digests.append(xxhash.xxh3_128_digest(" ".join(words)))
+                    words = _words(text[line[0] : line[1]])
+                    if words and (unit == "passage" or len(words) >= least_words):
+                        add(i, line, words)
+                    parts = sentences(text, *line) if unit in CUT_LINES else []
+                    words = [_words(text[start:end]) for start, end in parts]
+                    for n, span in enumerate(parts):
+                        if words[n] and len(words[n]) >= least_words:
+                            add(i, span, words[n], *(_beside(words, n, least_words) if unit == "passage" else ()))
             index = pa.array(which, pa.int64())
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [part.column("document").take(index), part.column("rank").take(index), pa.array(starts, pa.int64()),
-                 pa.array(ends, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                ["document", "rank", "start", "end", "d1", "d2"],
+                 pa.array(ends, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
+                 pa.array(befores, pa.string()), pa.array(afters, pa.string())],
+                ["document", "rank", "start", "end", "d1", "d2", "before", "after"],
             )
 
 
-def without_units(text: str, gone: set[tuple[int, int]], unit: str) -> tuple[str, int, list[dict]]:
-    """The text without the given units, how many units it had, and the spans that were cut out."""
+def _extended(
+    text: str, parts: list[tuple[int, int]], beside: dict, kept: set[tuple[int, int]], least_words: int
+) -> list[tuple[int, int]]:
+    """Spans to cut from a line: its gone sentences, and what stands beside them as beside their earliest ones."""
+    cuts: dict[int, int] = {}  # number of a sentence and where its cut begins
+    for i, part in enumerate(parts):
+        if part not in beside:
+            continue
+        cuts[i] = part[0]
+        before, after = beside[part]
+        source = before.replace("\n", " ").split(" ") if before else []
+        at = i - 1
+        while at >= 0 and source and parts[at] not in kept:
+            found = list(WORD.finditer(text, *parts[at]))
+            n = 0
+            while n < min(len(found), len(source)) and found[-1 - n][0].lower() == source[-1 - n]:
+                n += 1
+            if n:
+                start = found[-n].start()
+                cuts[at] = min(cuts.get(at, start), start)
+            if n < len(found) or n >= least_words:
+                break
+            source = source[: len(source) - n]
+            at -= 1
+        for at, short in zip(range(i + 1, len(parts)), after.split("\n") if after else ()):
+            if " ".join(_words(text[slice(*parts[at])])) != short:
+                break
+            cuts[at] = parts[at][0]
+    return [(start, parts[at][1]) for at, start in sorted(cuts.items())]
+
+
+def without_units(
+    text: str, gone: dict[tuple[int, int], tuple[str, str]], unit: str, kept: Set[tuple[int, int]] = frozenset(), least_words: int = 5
+) -> tuple[str, int, list[dict]]:
+    """The text without the given units, how many units it had, and the spans that were cut out.
+
+    ``gone`` has what stands beside each unit's earliest occurrence, ``kept`` the earliest ones of this text.
+    """
     pieces, removed, count, before = [], [], 0, 0
     for n, (start, end) in enumerate(units(text, unit)):
-        parts = sentences(text, start, end) if unit == "sentence" else []
+        parts = sentences(text, start, end) if unit in CUT_LINES else []
         count += max(1, len(parts))
         if (start, end) in gone:
             cut, left = [(start, end)], ""
         else:
-            cut = [p for p in parts if p in gone]
+            cut = _extended(text, parts, gone, kept, least_words)
             left = text[start:end]
             if cut:
                 stops = [p[0] for p in parts[1:]] + [end]
-                left = "".join(text[p[0] : stop] for p, stop in zip(parts, stops) if p not in gone)
-                left = left.rstrip("\t ") if parts[-1] in gone else left
+                begins = {b: a for a, b in cut}
+                left = "".join(text[p[0] : begins.get(p[1], stop)] for p, stop in zip(parts, stops))
+                left = left.rstrip("\t ") if parts[-1][1] in begins else left
         removed += cut
         if not cut or left.strip("\t "):
             # a unit keeps the separator before it, but for the first one left
@@ -98,12 +173,16 @@ def without_units(text: str, gone: set[tuple[int, int]], unit: str) -> tuple[str
     return "".join(pieces), count, [{"start": a, "end": b} for a, b in removed]
 
 
-def _without(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], unit: str, least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             columns = (part.column(c).to_pylist() for c in ("text", "spans"))
-            made = [without_units(t, {(s["start"], s["end"]) for s in spans or ()}, unit) for t, spans in zip(*columns)]
+            made = []
+            for text, spans in zip(*columns):
+                gone = {(s["start"], s["end"]): (s["before"], s["after"]) for s in spans or () if s["gone"]}
+                kept = {(s["start"], s["end"]) for s in spans or () if not s["gone"]}
+                made.append(without_units(text, gone, unit, kept, least_words))
             texts, counts, removed = zip(*made)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, SPANS)],
@@ -134,7 +213,8 @@ def drop_repeated_units(
         arrow(
             rows,
             lambda b: _hashed(b, unit, least_words),
-            f"document binary, rank {rank_kind}, start bigint, end bigint, d1 bigint, d2 bigint",
+            f"document binary, rank {rank_kind}, start bigint, end bigint, d1 bigint, d2 bigint, "
+            "before string, after string",
         ),
         "units",
     )
@@ -142,30 +222,29 @@ def drop_repeated_units(
     if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:
         repeated = F.broadcast(repeated)
     found = written(found.join(repeated, ["d1", "d2"]), "occurrences")
-    earliest = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "document", "start")).alias("first"))
-    gone = (
-        found.join(earliest, ["d1", "d2"])
-        .where(~((F.col("document") == F.col("first.document")) & (F.col("start") == F.col("first.start"))))
-        .groupBy("document")
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    )
+    earliest = found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "document", "start", "before", "after")).alias("first"))
+    gone = ~((F.col("document") == F.col("first.document")) & (F.col("start") == F.col("first.start")))
+    spans = found.drop("before", "after").join(earliest, ["d1", "d2"]).withColumn("gone", gone)
+    if unit != "passage":  # only there the earliest ones matter too
+        spans = spans.where("gone")
+    beside = [F.when(F.col("gone"), F.col(f"first.{c}")).alias(c) for c in ("before", "after")]
+    spans = spans.groupBy("document").agg(F.collect_set(F.struct("start", "end", "gone", *beside)).alias("spans"))
     joined = (
         docs.select(F.struct("*").alias("row"), whole(text).alias("text"), _document(key, text).alias("document"))
-        .join(gone, "document", "left")
+        .join(spans, "document", "left")
         .select("row", "text", "spans")
     )
     inner = joined.schema["row"].dataType.simpleString()
     return arrow(
         joined,
-        lambda b: _without(b, unit),
+        lambda b: _without(b, unit, least_words),
         f"row {inner}, kept_text string, n_units bigint, removed array<struct<start:bigint,end:bigint>>",
     )
 
 
-def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines and sentences that an earlier one has, and what was cut out."""
+def _query(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    result = drop_repeated_units(docs, unit="sentence")
+    result = drop_repeated_units(docs, unit=unit)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return result.select(
         F.col("row.doc_id").alias("doc_id"),
@@ -176,6 +255,16 @@ def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines and sentences of five words or more that an earlier one has."""
+    return _query(spark, sf_dir, "sentence")
+
+
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of any length and the passages that an earlier one has."""
+    return _query(spark, sf_dir, "passage")
+
+
 OP6_SQL = """
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

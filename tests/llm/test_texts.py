@@ -216,6 +216,32 @@ def test_passages_inside_lines(spark):
     assert got[5] == got[6] == ("One. Two. Three.", 3, [])
 
 
+def test_short_lines_and_glued_passages(spark):
+    """Whole lines count at any length; a removed sentence takes along what its earliest one has beside it."""
+    first, second, third = "The first sentence opens the planted passage.", "A second one of it follows here.", "The third sentence closes it at last."
+    passage = f"{first} Yes. {second} So be it. {third} The end."
+    rows = [
+        (1, f"Host words {passage} Own words of the first host."),
+        (2, f"Quite another start {passage} Something else."),
+        (3, "all rights reserved.\nown"),
+        (4, "All  rights reserved.\nown\nOne. Two."),
+        (5, f"One. Two.\nNo. {second} Never. {third} Not so."),
+        (6, "q e. one two three four e. one two three four e."),
+    ]
+    docs = frame(spark, rows)
+    result = drop_repeated_units(docs, unit="passage").collect()
+    got = {r.row.doc_id: r.kept_text for r in result}
+    assert got == {
+        1: rows[0][1], 2: "Quite another start Something else.", 3: rows[2][1], 4: "One. Two.", 5: "No. Never. Not so.",
+        6: "q e. one two three four e.",
+    }
+    for r in result:
+        cut = [r.row.text[s.start : s.end] for s in r.removed]
+        assert all(cut) and len("".join(cut).split()) <= len(r.row.text.split())
+        if r.row.doc_id == 2:
+            assert cut == [first, "Yes.", second, "So be it.", third, "The end."]
+
+
 # --- byte strings ---------------------------------------------------------------------------------------
 
 
