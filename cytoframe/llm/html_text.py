@@ -4,17 +4,21 @@ The markup is stripped into lines (one per block element). Lines of menus, page
 forms, notices, adverts and comments stay in the sequence but weigh nothing, and neither do link
 texts. The text lengths are summed over sliding windows of lines. From the heaviest window the
 text surges backwards and dives forwards where a whole window weighs nothing; what lies between is
-kept. Where the heaviest window stands in an ``article`` or ``main`` element, surge and dive move
-out to that element's edges, so short first and last paragraphs are not lost.
+kept. Where the heaviest window stands in an ``article`` or ``main`` element, surge and dive go over the
+lines of all such elements, and every line of one that has text weighs something: the edges of the
+elements bound the text, short first and last paragraphs are not lost, nor are further articles. A
+comment's own ``article`` is boilerplate, and so is all that a comments block holds up to its end tag.
 
 Defined cases: null or empty html, and a page with boilerplate only, give the empty text; markup
-that is cut off or never closed is read as far as it goes; repeated rows give a row each; other
+that is cut off or never closed is read as far as it goes, and a block of boilerplate without an end tag
+ends at the next article or with the element around it; repeated rows give a row each; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -54,6 +58,75 @@ MARKS = set(
 OUTER_MARKS = {"header", "masthead"}
 
 
+CLASSES = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: an article of such a class is a reader's comment
+COMMENT_CLASSES = {"comment", "comments", "comment-body", "comment-content", "comment-text"}
+
+
+def _is_comment(name: str, attributes: str) -> bool:
+    if name != "article" or "=" not in attributes:
+        return False
+    return any(COMMENT_CLASSES & set((m[1] or m[2] or m[3] or "").lower().split()) for m in CLASSES.finditer(attributes))
+
+
+def _tags(html: str) -> tuple[list[tuple[re.Match, int]], list[int], list[bool], list[int]]:
+    """All tags with the place where reading goes on; of each opened element the number of the tag that ends
+    it, and whether that is its own end tag; numbers of the opened articles.
+
+    An end tag closes the nearest open element of its name and ends all inside it; that of an inline element
+    ends no block. What nothing ends, ends with the page.
+    """
+    tags: list[tuple[re.Match, int]] = []
+    opened: list[tuple[int, str]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name
+    blocks: list[int] = []
+    stops: dict[int, int] = {}
+    own: set[int] = set()
+    mains: list[int] = []
+    position = 0
+    while tag := TAG.search(html, position):
+        position, number, name = tag.end(), len(tags), (tag[2] or "").lower()
+        if name in RAW and not tag[1] and not tag[3].endswith("/>"):
+            end = CLOSERS[name].search(html, position)
+            position = end.end() if end else len(html)
+        elif not name or name in VOID or name in RAW:
+            pass
+        elif not tag[1]:
+            places.setdefault(name, []).append(len(opened))
+            if name in BLOCKS:
+                blocks.append(len(opened))
+            if name in MAIN:
+                mains.append(number)
+            opened.append((number, name))
+        elif places.get(name) and (name in BLOCKS or not blocks or places[name][-1] > blocks[-1]):
+            to = places[name][-1]
+            own.add(opened[to][0])
+            while len(opened) > to:
+                inner, inner_name = opened.pop()
+                stops[inner] = number
+                places[inner_name].pop()
+                if inner_name in BLOCKS:
+                    blocks.pop()
+        tags.append((tag, position))
+    ends = [stops.get(n, len(tags)) for n in range(len(tags))]
+    missing = {name: [] for name in places}
+    for n, (tag, _) in enumerate(tags):
+        name = (tag[2] or "").lower()
+        if name not in missing or tag[1]:
+            continue
+        around = missing[name]
+        while around and ends[around[-1]] < n:
+            around.pop()
+        if n not in own:
+            around.append(n)
+        elif around:
+            # an element of its name around it has no end tag: if an article is inside, this end tag may be that one's
+            at = bisect(mains, n)
+            if at < len(mains) and mains[at] < ends[n]:
+                own.discard(n)
+    return tags, ends, [n in own for n in range(len(tags))], mains
+
+
 def _is_boilerplate(name: str, attributes: str, in_main: bool) -> bool:
     if name in BOILERPLATE or (name == "header" and not in_main):
         return True
@@ -68,7 +141,7 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = position = mains = depth = inside = links = 0
-    skipped, nested = "", 0
+    skipped = closed = False
 
     def end_line() -> None:
         nonlocal linked
@@ -78,40 +151,33 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
         parts.clear()
         linked = 0
 
-    while True:
-        tag = TAG.search(html, position)
-        text = html[position : tag.start() if tag else len(html)]
+    tags, ends, own, _ = _tags(html)
+    stop = 0
+    for number, (tag, after) in enumerate([*tags, (None, len(html))]):
+        text = html[position : tag.start() if tag else after]
         if text and not skipped:
             parts.append(text)
             linked += len(text) if links else 0
-        if not tag:
-            break
-        position = tag.end()
-        if not tag[2]:
+        position = after
+        if not tag or not tag[2]:
             continue
         closing, name, attributes = tag[1], tag[2].lower(), tag[3]
         if name in RAW and not closing and not attributes.endswith("/>"):
-            end = CLOSERS[name].search(html, position)
-            position = end.end() if end else len(html)
             continue
         if skipped:
-            if name == skipped:
-                nested += -1 if closing else 1
-            elif closing and name in NEVER:
-                nested = 0  # never closed: it ends with the element around it
-            elif name in MAIN:
-                nested = 0  # never closed before the article
-            if nested:
+            # without an end tag of its own it ends before the article, or with the element around it
+            early = not closed and name in NEVER and (closing or name in MAIN)
+            if number < stop and not early:
                 continue
             end_line()
-            skipped = ""
-            if not (name in NEVER):
+            skipped = False
+            if closed:
                 continue
         if name in BLOCKS:
             end_line()
         if name == "a":
             links = 0 if closing else 1
-        if name in MAIN:
+        if name in MAIN and (closing or not _is_comment(name, attributes)):
             if closing:
                 depth = max(0, depth - 1)
                 inside = inside if depth else 0
@@ -120,11 +186,11 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
                     mains += 1
                     inside = mains
                 depth += 1
-        elif not closing and name not in VOID and _is_boilerplate(name, attributes, bool(depth)):
+        elif not closing and name not in VOID and (name in MAIN or _is_boilerplate(name, attributes, bool(depth))):
             end_line()
             if not lines or lines[-1][1] >= 0:  # a run of boilerplate is one break in the text
                 lines.append(("", -1, inside))
-            skipped, nested, links = name, 1, 0
+            skipped, stop, closed, links = True, ends[number], own[number], 0
     end_line()
     return lines
 
@@ -139,9 +205,12 @@ def main_text(html: str, window: int = 3) -> str:
     sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]
     peak = int(sums.argmax())
     peak += int(weights[peak : peak + window].argmax())
-    main = lines[peak][2]
-    if main:
-        return "\n".join(t for t, _, inside in lines if t and inside == main)
+    if lines[peak][2]:
+        # over the lines of all articles; each of one that has text weighs something
+        full = {inside for _, w, inside in lines if w > 0}
+        lines, peak = [line for line in lines if line[2]], sum(bool(inside) for _, _, inside in lines[:peak])
+        lines = [(t, max(0, w), inside) for t, w, inside in lines]
+        weights = np.array([w or inside in full for _, w, inside in lines], dtype=np.int64)
     start, end = peak, peak + 1
     while start > 0 and weights[max(0, start - window) : start].any():
         start -= 1

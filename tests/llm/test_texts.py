@@ -142,6 +142,27 @@ PAGES = [
 ]
 
 
+LONG = "A reader has a great deal to say about it, " * 9
+
+
+def test_articles_in_comments_and_side_by_side():
+    comment = f"<article class='comment'><p>{LONG}</p></article>"
+    inside = f"<section class='comments'>{comment}{comment}</section>"
+    for page, want in (
+        (f"<main><p>The text.</p>{inside}<p>More of it.</p></main>", "The text.\nMore of it."),
+        (f"<article><p>The text.</p></article>{inside}", "The text."),
+        (f"<article><p>The text.</p></article>{comment}<footer>f</footer>", "The text."),
+        ("<h1>Blog</h1><article><h2><a href=x>One</a></h2><p>First text.</p></article><p>between</p>"
+         "<article><h2><a href=y>Two</a></h2><div><a>by</a></div><div><a>on</a></div><p>Second and longer text.</p></article>",
+         "One\nFirst text.\nTwo\nby\non\nSecond and longer text."),
+        ("<article><p>The text.</p><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>And its end.</p></article>"
+         + "".join(f"<article><a href=z>teaser {i}</a></article>" for i in range(4)), "The text.\na\nb\nc\nAnd its end."),
+        ("<div id=page><div class=nav>menu<div>x</div><article><p>text inside</p></article></div>", "text inside"),
+        ("<ul><li class=ad>buy</ul><p>A page without an article.</p>", "A page without an article."),
+    ):
+        assert main_text(page) == want, page
+
+
 def test_pages_by_hand(spark, folder):
     for page, want in PAGES:
         if want is not None:
