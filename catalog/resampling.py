@@ -228,9 +228,9 @@ def clf_grid(spark, sf):
     df = vectors(spark, sf).withColumn("second", F.col("label") % 9)
     df = df.withColumn("label", F.col("label") % 3).withColumn("second", F.col("second") % 3)
     splits = CL.prepared_splits(df, list(CHANNELS), "label", "vec_id", seed=1)
-    sets = {k: v for k, v in MD.feature_sets(CHANNELS).items() if k in ("probe", "all")}
+    sets = MD.feature_sets(CHANNELS)
     predicted = CL.predictions(
-        splits, sets, "label", "vec_id", MD.classifier_grid(test=True),
+        splits, sets, "label", "vec_id", MD.classifier_grid(),
         annotator=("Second", "second"),
     )
     return CL.report(predicted)

@@ -15,6 +15,7 @@ from cytoframe.operators.ranks import sequential_index
 from cytoframe.operators.resample import bootstrap_weights, hash_number
 from cytoframe.operators.reshape import stack
 from cytoframe.operators.stats import class_weights
+from cytoframe.session import materialise
 
 
 # ---------------------------------------------------------------- ridge
@@ -237,7 +238,7 @@ def train_and_predict(
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from cytoframe.operators.neighbours import knn_predict
+    from cytoframe.operators.neighbours import nearest_rows, vote
 
     assembler = VectorAssembler(inputCols=list(features), outputCol="__x__")
     train = class_weights(splits[fit_on], y, "__weight__")
@@ -248,6 +249,13 @@ def train_and_predict(
         train.withColumn("__weight__", F.col("__weight__") / F.lit(float(n_classes)))
     ).withColumn("__y__", quoted(y).cast("double"))
     ready = ready.select("__x__", "__y__", "__weight__").persist()
+    most = max((clf["k"] for clf in grid if clf["kind"] == "knn"), default=0)
+    # one search at the largest k serves all of them
+    near = {
+        split: materialise(nearest_rows(splits[fit_on], df, list(features), key, most, carry=y))
+        for split, df in splits.items()
+        if most
+    }
     out = []
     for clf in grid:
         if clf["kind"] == "logistic":
@@ -275,7 +283,7 @@ def train_and_predict(
             if clf["kind"] == "dummy":
                 pred = _dummy_prediction(splits[fit_on], df, y, key, clf["strategy"], seed)
             elif clf["kind"] == "knn":
-                pred = knn_predict(splits[fit_on], df, list(features), y, key, clf["k"])
+                pred = vote(near[split], df, y, key, clf["k"])
             else:
                 pred = model.transform(assembler.transform(df))
             out.append(

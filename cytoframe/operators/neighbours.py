@@ -156,8 +156,12 @@ def knn_predict(
     train: DataFrame, queries: DataFrame, features: Sequence[str], y: str, key: str, k: int
 ) -> DataFrame:
     """Majority label of the k nearest training rows; the smaller label on ties."""
-    near = nearest_rows(train, queries, features, key, k, carry=y)
-    votes = near.groupBy(quoted(key), quoted(y).alias("__y__")).agg(F.count("*").alias("__n__"))
+    return vote(nearest_rows(train, queries, features, key, k, carry=y), queries, y, key, k)
+
+
+def vote(near: DataFrame, queries: DataFrame, y: str, key: str, k: int) -> DataFrame:
+    """``queries`` with the majority label among the first k of ``nearest_rows``."""
+    votes = near.where(F.col("rank") <= k).groupBy(quoted(key), quoted(y).alias("__y__")).agg(F.count("*").alias("__n__"))
     picked = votes.groupBy(quoted(key)).agg(
         F.max_by("__y__", F.struct(F.col("__n__"), -F.col("__y__"))).alias("__pred__")
     )
