@@ -124,6 +124,13 @@ def test_supplied_pages(spark):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and got[p.page_id].url == p.url
 
 
+def test_supplied_pages_without_article(spark):
+    """Surge and dive alone find the same text."""
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        bare = p.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert bare != p.html and "<main" not in bare and main_text(bare) == main_text(p.html)
+
+
 PAGES = [
     (None, ""),
     ("", ""),
