@@ -223,14 +223,78 @@ CHANNELS = {
 }
 
 
+def label_thirds(spark, sf):
+    """Training and test rows of the classifier queries: three classes, split within each."""
+    df = vectors(spark, sf).withColumn("second", F.col("label") % 9)
+    return df.withColumn("label", F.col("label") % 3).withColumn("second", F.col("second") % 3)
+
+
+THIRDS = f"""s AS (SELECT vec_id, label % 3 AS label, embedding::DOUBLE[64] AS e, row_number() OVER (
+            PARTITION BY label % 3 ORDER BY {md5('1', 'vec_id')}, vec_id) AS r,
+            round_even(count(*) OVER (PARTITION BY label % 3) * 0.25, 0) AS k FROM embeddings),
+          p AS (SELECT *, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split FROM s)"""
+
+
+@query(
+    "clf_dummies",
+    f"""WITH {THIRDS}, c AS (SELECT label, count(*) AS c FROM p WHERE split = 'train' GROUP BY label),
+          u AS (SELECT label, c, sum(c) OVER (ORDER BY label) AS upto, sum(c) OVER () AS n,
+                  row_number() OVER (ORDER BY label) - 1 AS nth, count(*) OVER () AS size FROM c),
+          coins AS (SELECT *, {md5('0', 'vec_id')} / 4503599627370496.0 AS coin FROM p),
+          most AS (SELECT label FROM c ORDER BY c DESC, label LIMIT 1),
+          made AS (
+            SELECT split, vec_id, label, unnest(['Dummy most_frequent', 'Dummy prior']) AS classifier,
+              (SELECT label FROM most) AS pred FROM p
+            UNION ALL SELECT split, vec_id, x.label, 'Dummy stratified',
+              (SELECT min(label) FROM u WHERE upto > coin * n) FROM coins x
+            UNION ALL SELECT split, vec_id, x.label, 'Dummy uniform',
+              (SELECT label FROM u WHERE nth = floor(coin * size)) FROM coins x)
+        SELECT split, vec_id, classifier, CAST(label AS INTEGER) AS "true", CAST(pred AS INTEGER) AS pred FROM made""",
+)
+def clf_dummies(spark, sf):
+    splits = CL.prepared_splits(label_thirds(spark, sf), list(CHANNELS), "label", "vec_id", seed=1)
+    grid = [c for c in MD.classifier_grid() if c["kind"] == "dummy"]
+    made = CL.predictions(splits, {"all": list(CHANNELS)}, "label", "vec_id", grid)
+    return made.select("split", "vec_id", "classifier", "true", "pred")
+
+
+# the features of each set by their places, as the SQL takes them
+SET_PLACES = {
+    name: [i + 1 for i in range(64) if CHANNELS[f"f{i}"] in wanted] for name, wanted in MD.FEATURE_SETS.items()
+}
+
+
+@query(
+    "clf_neighbours",
+    f"""WITH {THIRDS},
+          long AS (SELECT vec_id, label, split, i, e[i] AS v FROM p, (SELECT unnest(range(1, 65)) AS i)),
+          m AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS sd FROM long WHERE split = 'train' GROUP BY i),
+          z AS (SELECT vec_id, label, split, list((v - mean) / sd ORDER BY i) AS e
+                FROM long JOIN m USING (i) GROUP BY ALL),
+          sets AS (SELECT unnest({list(SET_PLACES)}) AS features, unnest({list(SET_PLACES.values())}) AS places),
+          x AS (SELECT vec_id, label, split, features, list_transform(places, lambda i: e[i]) AS e FROM z, sets),
+          d AS (SELECT q.vec_id, q.label AS t, q.split, q.features, t.vec_id AS nb, t.label,
+                  list_sum(list_transform(list_zip(q.e, t.e), lambda p: abs(p[1] - p[2]))) AS dist
+                FROM x q JOIN x t ON q.features = t.features AND t.split = 'train'),
+          n AS (SELECT *, row_number() OVER (PARTITION BY vec_id, features ORDER BY dist, nb) AS rk FROM d),
+          v AS (SELECT vec_id, t, split, features, k, label, count(*) AS c
+                FROM n, (SELECT unnest([1, 2, 3, 5, 9]) AS k) WHERE rk <= k GROUP BY ALL),
+          o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, features, k ORDER BY c DESC, label) AS o FROM v)
+        SELECT split, features, 'KNN k=' || k AS classifier, vec_id, CAST(t AS INTEGER) AS "true",
+          CAST(label AS INTEGER) AS pred FROM o WHERE o = 1""",
+)
+def clf_neighbours(spark, sf):
+    splits = CL.prepared_splits(label_thirds(spark, sf), list(CHANNELS), "label", "vec_id", seed=1)
+    grid = [c for c in MD.classifier_grid() if c["kind"] == "knn"]
+    made = CL.predictions(splits, MD.feature_sets(CHANNELS), "label", "vec_id", grid)
+    return made.select("split", "features", "classifier", "vec_id", "true", "pred")
+
+
 @query("clf_grid")
 def clf_grid(spark, sf):
-    df = vectors(spark, sf).withColumn("second", F.col("label") % 9)
-    df = df.withColumn("label", F.col("label") % 3).withColumn("second", F.col("second") % 3)
-    splits = CL.prepared_splits(df, list(CHANNELS), "label", "vec_id", seed=1)
-    sets = MD.feature_sets(CHANNELS)
+    splits = CL.prepared_splits(label_thirds(spark, sf), list(CHANNELS), "label", "vec_id", seed=1)
     predicted = CL.predictions(
-        splits, sets, "label", "vec_id", MD.classifier_grid(),
+        splits, MD.feature_sets(CHANNELS), "label", "vec_id", MD.classifier_grid(),
         annotator=("Second", "second"),
     )
     return CL.report(predicted)

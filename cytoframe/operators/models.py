@@ -1,4 +1,4 @@
-"""Weighted ridge by normal equations and the classifier grid on Spark ML."""
+"""Weighted ridge by normal equations, and the settings of the classifier comparison."""
 
 from __future__ import annotations
 
@@ -11,11 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
-from cytoframe.operators.ranks import sequential_index
-from cytoframe.operators.resample import bootstrap_weights, hash_number
-from cytoframe.operators.reshape import stack
+from cytoframe.operators.resample import bootstrap_weights
 from cytoframe.operators.stats import class_weights
-from cytoframe.session import materialise
 
 
 # ---------------------------------------------------------------- ridge
@@ -201,104 +198,6 @@ def classifier_grid(test: bool = False) -> list[dict]:
     )
 
 
-def _dummy_prediction(
-    train: DataFrame, df: DataFrame, y: str, key: str, strategy: str, seed: int
-) -> DataFrame:
-    """``df`` with a constant prediction, or with a class drawn by the key's hash.
-
-    A draw picks a training row (stratified) or a class (uniform) by its number, so any number
-    of classes is joined by equality.
-    """
-    if strategy in ("most_frequent", "prior"):
-        counts = train.groupBy(quoted(y)).count()
-        most = counts.orderBy(F.desc("count"), quoted(y)).first()
-        return df.withColumn("__pred__", F.lit(most[0] if most else None))
-    rows = train.select(quoted(y).alias("__pred__"), hash_number(seed + 1, quoted(key)).alias("__h__"))
-    if strategy == "uniform":
-        rows = rows.groupBy("__pred__").agg(F.min("__h__").alias("__h__"))
-    numbered = sequential_index(rows, "__h__", "__number__", start=0)
-    coin = hash_number(seed, quoted(key)) / F.lit(float(2**52))
-    drawn = df.withColumn("__number__", F.floor(coin * F.lit(rows.count())).cast("long"))
-    return drawn.join(numbered.select("__number__", "__pred__"), "__number__", "left").drop("__number__")
-
-
-def train_and_predict(
-    splits: dict[str, DataFrame],
-    features: Sequence[str],
-    y: str,
-    key: str,
-    grid: Sequence[dict],
-    seed: int = 0,
-    fit_on: str = "train",
-) -> DataFrame:
-    """Fit every classifier on one split, predict all of them.
-
-    Long result: (split, classifier, key, true, pred). Labels are integers.
-    """
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    from cytoframe.operators.neighbours import nearest_rows, vote
-
-    assembler = VectorAssembler(inputCols=list(features), outputCol="__x__")
-    train = class_weights(splits[fit_on], y, "__weight__")
-    n_train, n_classes = (
-        train.agg(F.count("*").alias("n"), F.count_distinct(quoted(y)).alias("c")).first()
-    )
-    ready = assembler.transform(
-        train.withColumn("__weight__", F.col("__weight__") / F.lit(float(n_classes)))
-    ).withColumn("__y__", quoted(y).cast("double"))
-    ready = ready.select("__x__", "__y__", "__weight__").persist()
-    most = max((clf["k"] for clf in grid if clf["kind"] == "knn"), default=0)
-    # one search at the largest k serves all of them
-    near = {
-        split: materialise(nearest_rows(splits[fit_on], df, list(features), key, most, carry=y))
-        for split, df in splits.items()
-        if most
-    }
-    out = []
-    for clf in grid:
-        if clf["kind"] == "logistic":
-            model = LogisticRegression(
-                featuresCol="__x__",
-                labelCol="__y__",
-                weightCol="__weight__",
-                regParam=1.0 / (clf["C"] * n_train),
-                elasticNetParam=0.0,
-                standardization=False,
-                family="multinomial",
-                predictionCol="__pred__",
-            ).fit(ready)
-        elif clf["kind"] == "forest":
-            model = RandomForestClassifier(
-                featuresCol="__x__",
-                labelCol="__y__",
-                weightCol="__weight__",
-                numTrees=clf["trees"],
-                maxDepth=clf["depth"],
-                seed=seed,
-                predictionCol="__pred__",
-            ).fit(ready)
-        for split, df in splits.items():
-            if clf["kind"] == "dummy":
-                pred = _dummy_prediction(splits[fit_on], df, y, key, clf["strategy"], seed)
-            elif clf["kind"] == "knn":
-                pred = vote(near[split], df, y, key, clf["k"])
-            else:
-                pred = model.transform(assembler.transform(df))
-            out.append(
-                pred.select(
-                    F.lit(split).alias("split"),
-                    F.lit(clf["name"]).alias("classifier"),
-                    quoted(key),
-                    quoted(y).cast("int").alias("true"),
-                    F.col("__pred__").cast("int").alias("pred"),
-                )
-            )
-    ready.unpersist()
-    return stack(out)
-
-
 def add_annotator(
     predictions: DataFrame, cells: DataFrame, true: str, other: str, key: str, name: str
 ) -> DataFrame:

@@ -1,43 +1,227 @@
-"""Exact k nearest neighbours (Manhattan) without comparing all pairs up front.
-
-Follows the published pivot partitioning for nearest-neighbour joins (Lu et al. 2012):
-training rows belong to the nearest of a bounded number of pivots, and the triangle
-inequality tells for every query which pivot cells can hold a neighbour. Cells and queries
-are cut into blocks of bounded size, so a crowded cell is spread over many tasks, and a
-block returns only its k best per query. Queries are put into blocks by the cell they lie in,
-and a training block is sent only to the query blocks that can reach it; the number of pivots
-grows with the square root of the training rows, up to ``MOST_PIVOTS`` held by every task.
+"""Exact k nearest neighbours (Manhattan) in two bounded rounds.
+
+Training rows belong to the nearest of a bounded number of pivots, as in the published pivot partitioning for
+nearest-neighbour joins (Lu et al. 2012). Round one searches only the cell that a query lies in and
+carries its kth distance; round two visits just the other cells that the triangle inequality leaves
+within that distance. A cell is cut into blocks of bounded size. Each round sends a training row to
+one place; there a block is read once and held while the queries that visit it stream past, so
+neither many queries nor a crowded cell copy the training table or fill a task's memory. Searches of several groups
+(other columns or other rows each) run together in one plan.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
-from cytoframe.operators.resample import sample_rows
+from cytoframe.operators.resample import hash_number
 from cytoframe.session import materialise
 
-
 MOST_PIVOTS = 1024
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype="float64") for v in column])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix; all lists are of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+    return flat.reshape(len(column), -1)
 
 
 def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
+    step = np.empty_like(out)
     for j in range(a.shape[1]):
-        out += np.abs(a[:, j, None] - b[None, :, j])
+        np.subtract(a[:, j, None], b[None, :, j], out=step)
+        out += np.abs(step, out=step)
     return out
 
 
+def _lists(column: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """Row numbers and matrix of each list length that occurs."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    return [(np.flatnonzero(size == n), _matrix(column.take(pa.array(np.flatnonzero(size == n))))) for n in np.unique(size)]
+
+
+class _Cells:
+    """Pivots of every group, and once known the sizes and radii of their cells."""
+
+    def __init__(self, pivots: list[tuple[str, list[float]]]) -> None:
+        self.of = {}
+        for i, (group, vec) in enumerate(pivots):
+            self.of.setdefault(group, []).append((i, vec))
+        self.of = {g: (np.array([i for i, _ in p]), np.array([v for _, v in p])) for g, p in self.of.items()}
+
+    def homes(self, groups: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cell, d = np.full(len(groups), -1), np.full(len(groups), np.nan)
+        for rows, matrix in _lists(vec):
+            for group in np.unique(groups[rows]):
+                if group in self.of:
+                    ids, centres = self.of[group]
+                    here = np.flatnonzero(groups[rows] == group)
+                    far = _manhattan(matrix[here], centres)
+                    at = far.argmin(axis=1)
+                    cell[rows[here]], d[rows[here]] = ids[at], far[np.arange(len(at)), at]
+        return cell, d
+
+    def measured(self, stats) -> None:
+        size = max((r["cell"] for r in stats), default=-1) + 1
+        self.inner, self.outer, self.count = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int64)
+        for r in stats:
+            self.inner[r["cell"]], self.outer[r["cell"]], self.count[r["cell"]] = r["lo"], r["hi"], r["n"]
+        # a pivot that draws no row has no cell
+        for group, (ids, centres) in self.of.items():
+            used = np.array([i < size and self.count[i] > 0 for i in ids], dtype=bool)
+            self.of[group] = (ids[used], centres[used])
+
+    def bounds(self, group: str, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, least possible distance to each, and a distance within which k rows lie for sure."""
+        ids, centres = self.of[group]
+        d = _manhattan(matrix, centres)
+        upper = d + self.outer[ids]
+        lower = np.maximum(np.maximum(d - self.outer[ids], self.inner[ids] - d), 0.0)
+        order = np.argsort(upper, axis=1)
+        enough = np.cumsum(self.count[ids][order], axis=1) >= min(k, int(self.count[ids].sum()))
+        sure = np.take_along_axis(np.take_along_axis(upper, order, 1), enough.argmax(axis=1)[:, None], 1)[:, 0]
+        return ids, lower, sure
+
+
+def nearest_vectors(
+    rows: DataFrame, asked: DataFrame, k: int, pivots: int | None = None, block: int = 2000, evaluations=None
+) -> DataFrame:
+    """(g, q, t, distance, carry, rank) of the k nearest of ``rows`` (g, t, vec, carry) to each of ``asked`` (g, q, vec).
+
+    Only rows of the same group g (a string) are compared; ties go to the smaller t. ``evaluations`` is an
+    accumulator that counts distances between rows.
+    """
+    rows = rows.select("g", "t", "vec", "carry")
+    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    wanted = {g: pivots or min(MOST_PIVOTS, max(32, math.isqrt(n) // 4)) for g, n in sizes.items()}
+    most = F.coalesce(*[F.when(F.col("g") == g, n) for g, n in wanted.items()], F.lit(0))
+    draw = Window.partitionBy("g").orderBy(hash_number(0, F.col("t")), "t")
+    picked = rows.withColumn("nth", F.row_number().over(draw)).where(F.col("nth") <= max(wanted.values(), default=0))
+    cells = _Cells([(r["g"], r["vec"]) for r in picked.where(F.col("nth") <= most).select("g", "vec").collect()])
+    types = dict(rows.dtypes) | {"q": dict(asked.dtypes)["q"]}
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.array(batch.column("g").to_pylist(), dtype=object)
+            cell, d = cells.homes(groups, batch.column("vec"))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(d, pa.float64())], names=[*batch.schema.names, "cell", "d"]
+            )
+
+    # parts of a cell are dealt by the row's hash: their number comes from the cell's size
+    homes = materialise(
+        rows.mapInArrow(at_home, f"g string, t {types['t']}, vec array<double>, carry {types['carry']}, cell int, d double")
+    )
+    stats = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
+    cells.measured(stats)
+    parts = {r["cell"]: max(1, math.ceil(r["n"] / block)) for r in stats}
+    part_count = F.try_element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("cell")) if parts else F.lit(1)
+    stored = homes.withColumn("part", F.pmod(F.xxhash64("t"), part_count).cast("int"))
+
+    def search(visits: DataFrame) -> DataFrame:
+        """The k best of every visited block: visits are (g, q, vec, cell)."""
+        sent = visits.withColumn("part", F.explode(F.sequence(F.lit(0), part_count - 1))).select(
+            "cell", "part", F.lit(1).alias("asks"), F.lit(None).cast(types["t"]).alias("t"), "q",
+            F.lit(None).cast(types["carry"]).alias("carry"), "vec", "g",
+        )
+        held = stored.select(
+            "cell", "part", F.lit(0).alias("asks"), "t", F.lit(None).cast(types["q"]).alias("q"), "carry", "vec", "g"
+        )
+        # rows of a block come first, in order of their key, then its queries
+        both = held.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks", "t")
+
+        def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, keys, carried, vectors = None, [], [], []
+            for batch in batches:
+                place = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "asks")], axis=1)
+                edges = [0, *(np.flatnonzero((np.diff(place, axis=0) != 0).any(axis=1)) + 1).tolist(), len(place)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    piece, here = batch.slice(a, b - a), tuple(place[a][:2])
+                    if here != now:
+                        now, keys, carried, vectors = here, [], [], []
+                    matrix = _matrix(piece.column("vec"))
+                    if not place[a][2]:
+                        keys.append(piece.column("t"))
+                        carried.append(piece.column("carry"))
+                        vectors.append(matrix)
+                    elif keys:
+                        yield from _best(piece, matrix, pa.concat_arrays(keys), pa.concat_arrays(carried), np.concatenate(vectors), k)
+                        if evaluations is not None:
+                            evaluations.add(len(matrix) * sum(map(len, vectors)))
+
+        return both.mapInArrow(past, f"g string, q {types['q']}, t {types['t']}, distance double, carry {types['carry']}, kth double")
+
+    def wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other cells that a query must visit, from the kth distance of its own."""
+        for batch in batches:
+            groups = np.array(batch.column("g").to_pylist(), dtype=object)
+            kth = batch.column("kth").to_numpy(zero_copy_only=False)
+            kth = np.where(np.isnan(kth), np.inf, kth)
+            home = batch.column("cell").to_numpy()
+            visits = [None] * len(groups)
+            for rows_, matrix in _lists(batch.column("vec")):
+                for group in np.unique(groups[rows_]):
+                    here = np.flatnonzero(groups[rows_] == group)
+                    at = rows_[here]
+                    ids, lower, sure = cells.bounds(group, matrix[here], k)
+                    bound = np.minimum(sure, kth[at]) * (1 + 1e-9) + 1e-12
+                    reached = (lower <= bound[:, None]) & (ids[None, :] != home[at][:, None])
+                    for i, row in zip(at.tolist(), reached):
+                        visits[i] = ids[row].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g"), batch.column("q"), batch.column("vec"), pa.array(visits, pa.list_(pa.int32()))],
+                names=["g", "q", "vec", "visits"],
+            )
+
+    asking = asked.select("g", "q", "vec").mapInArrow(at_home, f"g string, q {types['q']}, vec array<double>, cell int, d double")
+    asking = materialise(asking.where("cell >= 0"))
+    first = materialise(search(asking))
+    # the kth best of any one block bounds the kth best of all
+    kth = first.groupBy("g", "q").agg(F.min("kth").alias("kth"))
+    others = (
+        asking.join(kth, ["g", "q"], "left")
+        .select("g", "q", "vec", "cell", "kth")
+        .mapInArrow(wider, f"g string, q {types['q']}, vec array<double>, visits array<int>")
+        .select("g", "q", "vec", F.explode("visits").alias("cell"))
+    )
+    nearest = Window.partitionBy("g", "q").orderBy("distance", "t")
+    found = first.unionByName(search(others)).drop("kth")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+
+
+def _best(asked: pa.RecordBatch, left: np.ndarray, keys: pa.Array, carried: pa.Array, right: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    take = min(k, len(right))
+    step = max(1, 4_000_000 // len(right))
+    for a in range(0, len(left), step):
+        d = _manhattan(left[a : a + step], right)
+        near = np.argsort(d, axis=1, kind="stable")[:, :take]
+        distance = np.take_along_axis(d, near, 1)
+        n = len(d)
+        kth = np.full((n, take), np.nan)
+        if take == k:
+            kth[:] = distance[:, -1:]
+        rows = pa.array(np.repeat(np.arange(a, a + n), take))
+        at = pa.array(near.ravel())
+        yield pa.RecordBatch.from_arrays(
+            [asked.column("g").take(rows), asked.column("q").take(rows), keys.take(at), pa.array(distance.ravel()), carried.take(at),
+             pa.array(kth.ravel(), from_pandas=True)],
+            names=["g", "q", "t", "distance", "carry", "kth"],
+        )
+
+
+def vector(features: Sequence[str]) -> Column:
+    return F.array(*[quoted(f).cast("double") for f in features])
+
+
 def nearest_rows(
     train: DataFrame,
     queries: DataFrame,
@@ -47,108 +231,20 @@ def nearest_rows(
     carry: str | None = None,
     pivots: int | None = None,
     block: int = 2000,
+    evaluations=None,
 ) -> DataFrame:
     """(query key, neighbour key, distance, rank[, carried column]) of the k nearest rows.
 
     Equal distances are ordered by the neighbour's key.
     """
-    vector = F.array(*[quoted(f).cast("double") for f in features])
-    kept = [quoted(carry).alias("__carry__")] if carry else [F.lit(0).alias("__carry__")]
-    rows = train.select(quoted(key).alias("t"), vector.alias("vec"), *kept)
-    asked = queries.select(quoted(key).alias("q"), vector.alias("vec"))
-    if pivots is None:
-        pivots = min(MOST_PIVOTS, max(32, math.isqrt(rows.count()) // 4))
-    centres = _matrix(
-        pd.Series([r["vec"] for r in sample_rows(rows, "t", pivots).select("vec").collect()])
-    )
-
-    @F.pandas_udf("struct<cell:int,d:double>")
-    def home(vec: pd.Series) -> pd.DataFrame:
-        d = _manhattan(_matrix(vec), centres)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]})
-
-    homes = materialise(rows.withColumn("h", home("vec")))
-    cells = (
-        homes.groupBy("h.cell")
-        .agg(F.count("*").alias("n"), F.min("h.d").alias("lo"), F.max("h.d").alias("hi"))
-        .collect()
-    )
-    ids = np.array([c["cell"] for c in cells])
-    sizes = np.array([c["n"] for c in cells])
-    inner = np.array([c["lo"] for c in cells])
-    outer = np.array([c["hi"] for c in cells])
-    need = min(k, int(sizes.sum()))
-
-    @F.pandas_udf("array<int>")
-    def reachable(vec: pd.Series) -> pd.Series:
-        d = _manhattan(_matrix(vec), centres[ids])
-        upper, lower = d + outer, np.maximum(np.maximum(d - outer, inner - d), 0.0)
-        order = np.argsort(upper, axis=1)
-        enough = np.cumsum(sizes[order], axis=1) >= need
-        bound = np.take_along_axis(
-            np.take_along_axis(upper, order, 1), enough.argmax(axis=1)[:, None], 1
-        )
-        visit = lower <= bound * (1 + 1e-9) + 1e-12
-        return pd.Series([ids[v].astype("int32") for v in visit])
-
-    parts = {int(c): max(1, math.ceil(int(n) / block)) for c, n in zip(ids, sizes)}
-    part_map = F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p)])
-    placed = materialise(asked.withColumns({"h": home("vec"), "reach": reachable("vec")}))
-    asked_cells = placed.groupBy("h.cell").count().collect()
-    asked_blocks = F.create_map(
-        *[F.lit(x) for r in asked_cells for x in (r["cell"], max(1, math.ceil(r["count"] / block)))]
-    ) if asked_cells else F.create_map().cast("map<int,int>")
-    in_cell = F.pmod(F.xxhash64("q"), F.try_element_at(asked_blocks, F.col("h.cell")))
-    sent = placed.select(
-        "q", "vec", (F.col("h.cell").cast("long") * 2**32 + in_cell).alias("qb"), F.explode("reach").alias("cell")
-    ).select(
-        "q", "vec", "qb", "cell",
-        F.explode(F.sequence(F.lit(0), F.try_element_at(part_map, F.col("cell")) - 1)).alias("part"),
-    )
-    # a training row goes to the query blocks that reach its part, and to no others
-    reached = sent.select("cell", "part", F.col("qb").alias("asking")).distinct()
-    stored = homes.select(
-        F.col("h.cell").alias("cell"),
-        F.pmod(F.xxhash64("t"), F.try_element_at(part_map, F.col("h.cell"))).cast("int").alias("part"),
-        "t", "vec", "__carry__",
-    ).join(reached, ["cell", "part"]).withColumn("qb", F.col("asking") + 0)
-    types = {f.name: f.dataType.simpleString() for f in homes.schema.fields}
-    asked_type = dict(asked.dtypes)["q"]
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "t": [], "distance": [], "__carry__": []})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("t", kind="stable")
-        d = _manhattan(_matrix(left["vec"]), _matrix(right["vec"]))
-        take = min(k, d.shape[1])
-        near = np.argsort(d, axis=1, kind="stable")[:, :take]
-        q = np.repeat(left["q"].to_numpy(), take)
-        flat = near.ravel()
-        return pd.DataFrame(
-            {
-                "q": q,
-                "t": right["t"].to_numpy()[flat],
-                "distance": np.take_along_axis(d, near, 1).ravel(),
-                "__carry__": right["__carry__"].to_numpy()[flat],
-            }
-        )
-
-    by = ["cell", "part", "qb"]
-    found = (
-        sent.groupBy(*by)
-        .cogroup(stored.groupBy(*by))
-        .applyInPandas(
-            best,
-            f"q {asked_type}, t {types['t']}, distance double, __carry__ {types['__carry__']}",
-        )
-    )
-    nearest = Window.partitionBy("q").orderBy("distance", "t")
-    out = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return out.select(
+    one = F.lit("").alias("g")
+    kept = quoted(carry) if carry else F.lit(0)
+    rows = train.select(one, quoted(key).alias("t"), vector(features).alias("vec"), kept.alias("carry"))
+    asked = queries.select(one, quoted(key).alias("q"), vector(features).alias("vec"))
+    found = nearest_vectors(rows, asked, k, pivots, block, evaluations)
+    return found.select(
         F.col("q").alias(key), F.col("t").alias("neighbour"), "distance", "rank",
-        *([F.col("__carry__").alias(carry)] if carry else []),
+        *([F.col("carry").alias(carry)] if carry else []),
     )
 
 

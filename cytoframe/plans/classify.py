@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.names import classifier_family
 from cytoframe.operators.columns import quoted
-from cytoframe.operators.models import add_annotator, train_and_predict
-from cytoframe.operators.reshape import distinct_names, stack
+from cytoframe.operators.classifiers import compared
+from cytoframe.operators.models import add_annotator
 from cytoframe.operators.resample import stratified_split
 from cytoframe.operators.stats import confusion_report, z_scores
 from cytoframe.session import materialise
@@ -22,7 +22,7 @@ def prepared_splits(
     seed: int = 0,
 ) -> dict[str, DataFrame]:
     """Stratified train and test rows, scaled by the training parameters."""
-    parted = stratified_split(df, y, key, test_size, seed)
+    parted = materialise(stratified_split(df, y, key, test_size, seed))
     splits = {
         s: parted.where(F.col("split") == s).drop("split") for s in ("train", "test")
     }
@@ -37,25 +37,16 @@ def predictions(
 ) -> DataFrame:
     """Long predictions (split, probe, features, classifier, key, true, pred).
 
-    One fit per probe, feature set and classifier. ``annotator`` = (name, score column)
+    All probes and feature sets are fitted together. ``annotator`` = (name, score column)
     adds a person as one more classifier.
     """
-    names = distinct_names(splits["train"], [probe]) if probe else [None]
-    out = []
-    for p in names:
-        part = {s: df.where(quoted(probe) == p) if probe else df for s, df in splits.items()}
-        part = {s: materialise(df) for s, df in part.items()}
-        for set_name, columns in sets.items():
-            if not columns:
-                continue
-            made = train_and_predict(part, list(columns), y, key, grid, seed)
-            if annotator:
-                for s, df in part.items():
-                    tagged = df.withColumn("split", F.lit(s))
-                    made = add_annotator(made, tagged, y, annotator[1], key, annotator[0])
-            tags = {"probe": F.lit(p or "all"), "features": F.lit(set_name)}
-            out.append(materialise(made.withColumns(tags)))
-    return stack(out)
+    made = compared(splits, sets, y, key, grid, probe, seed)
+    if annotator:
+        for s, df in splits.items():
+            tagged = df.withColumns({"split": F.lit(s), "probe": quoted(probe).cast("string") if probe else F.lit("all")})
+            tagged = tagged.withColumn("features", F.explode(F.array(*[F.lit(n) for n, columns in sets.items() if columns])))
+            made = add_annotator(made, tagged, y, annotator[1], key, annotator[0])
+    return made
 
 
 def report(predicted: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ def test_classifier_grid_is_complete():
 
 
 def test_classifier_query_runs_all_sets_and_classifiers(spark, monkeypatch):
-    """The query hands the full grid and all five sets on; one search serves every number of neighbours."""
+    """The query hands the full grid and all five sets on."""
     import catalog
     from catalog import resampling
 
@@ -303,23 +303,6 @@ def test_classifier_query_runs_all_sets_and_classifiers(spark, monkeypatch):
     assert handed["grid"] == M.classifier_grid() and len(handed["grid"]) == 25
     assert set(handed["sets"]) == set(M.FEATURE_SETS) and all(handed["sets"].values())
 
-    draw = np.random.default_rng(8)
-    rows = [(i, int(draw.integers(3)), *map(float, draw.normal(size=3))) for i in range(90)]
-    df = table(spark, rows, "id int, label int, a double, b double, c double")
-    splits = {"train": df.where("id < 60"), "test": df.where("id >= 60")}
-    grid = [c for c in M.classifier_grid() if c["kind"] == "knn"]
-    searches = []
-    search = NB.nearest_rows
-    monkeypatch.setattr(NB, "nearest_rows", lambda *a, **b: searches.append(a[4]) or search(*a, **b))
-    made = M.train_and_predict(splits, ["a", "b", "c"], "label", "id", grid).toPandas()
-    assert searches == [9, 9]
-    labels, x = np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
-    order = np.argsort(np.abs(x[60:, None] - x[None, :60]).sum(axis=2), axis=1, kind="stable")
-    for clf in grid:
-        want = {60 + i: np.bincount(labels[near[: clf["k"]]]).argmax() for i, near in enumerate(order)}
-        got = made[(made["split"] == "test") & (made["classifier"] == clf["name"])]
-        assert dict(zip(got["id"], got["pred"])) == want
-
 
 # ---------------------------------------------------------------- merged cell table
 
