@@ -163,7 +163,7 @@ def patches(spark, sf):
 )
 def patch_arrays(spark, sf):
     px = pixels(spark, sf).select("fov", "y", "x", "v")
-    arrays = W.patch_arrays(W.sliding_patches(px, size=4, stride=2), size=4)
+    arrays = W.patch_arrays(px, size=4, stride=2)
     return arrays.select(
         "fov", "r", "c", F.size("patch").alias("values"),
         F.round(F.aggregate("patch", F.lit(0.0), lambda a, b: a + b), 9).alias("total"),

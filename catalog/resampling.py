@@ -237,18 +237,17 @@ THIRDS = f"""s AS (SELECT vec_id, label % 3 AS label, embedding::DOUBLE[64] AS e
 
 @query(
     "clf_dummies",
-    f"""WITH {THIRDS}, c AS (SELECT label, count(*) AS c FROM p WHERE split = 'train' GROUP BY label),
-          u AS (SELECT label, c, sum(c) OVER (ORDER BY label) AS upto, sum(c) OVER () AS n,
-                  row_number() OVER (ORDER BY label) - 1 AS nth, count(*) OVER () AS size FROM c),
-          coins AS (SELECT *, {md5('0', 'vec_id')} / 4503599627370496.0 AS coin FROM p),
+    f"""WITH {THIRDS}, c AS (SELECT label, count(*) AS c, min({md5('1', 'vec_id')}) AS h FROM p WHERE split = 'train' GROUP BY label),
           most AS (SELECT label FROM c ORDER BY c DESC, label LIMIT 1),
+          t AS (SELECT label, row_number() OVER (ORDER BY {md5('1', 'vec_id')}) - 1 AS nth, count(*) OVER () AS n
+                FROM p WHERE split = 'train'),
+          u AS (SELECT label, row_number() OVER (ORDER BY h) - 1 AS nth, count(*) OVER () AS n FROM c),
+          coins AS (SELECT *, {md5('0', 'vec_id')} / 4503599627370496.0 AS coin FROM p),
           made AS (
             SELECT split, vec_id, label, unnest(['Dummy most_frequent', 'Dummy prior']) AS classifier,
               (SELECT label FROM most) AS pred FROM p
-            UNION ALL SELECT split, vec_id, x.label, 'Dummy stratified',
-              (SELECT min(label) FROM u WHERE upto > coin * n) FROM coins x
-            UNION ALL SELECT split, vec_id, x.label, 'Dummy uniform',
-              (SELECT label FROM u WHERE nth = floor(coin * size)) FROM coins x)
+            UNION ALL SELECT split, vec_id, x.label, 'Dummy stratified', t.label FROM coins x JOIN t ON t.nth = floor(coin * n)
+            UNION ALL SELECT split, vec_id, x.label, 'Dummy uniform', u.label FROM coins x JOIN u ON u.nth = floor(coin * n))
         SELECT split, vec_id, classifier, CAST(label AS INTEGER) AS "true", CAST(pred AS INTEGER) AS pred FROM made""",
 )
 def clf_dummies(spark, sf):

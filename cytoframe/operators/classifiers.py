@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.neighbours import nearest_vectors
+from cytoframe.operators.ranks import sequential_index
 from cytoframe.operators.reshape import stack
 from cytoframe.operators.resample import hash_number
 from cytoframe.session import _ensure_checkpoint_dir, broadcast_within, materialise
@@ -262,29 +263,32 @@ def _in_sets(predicted: DataFrame, sets) -> DataFrame:
 
 
 def dummy_predictions(rows: DataFrame, fit_on: str, strategies: Sequence[str], seed: int) -> DataFrame:
-    """Constant predictions, or classes drawn by the key's hash by their shares or evenly: (split, probe, classifier, key, true, pred).
+    """Constant predictions, or classes drawn by the key's hash: (split, probe, classifier, key, true, pred).
 
-    The classes of a probe, with the sum of the shares up to each, are one small row.
+    A draw picks a training row (stratified) or a class (uniform) by its number in its probe, so any number of
+    classes is joined by equality.
     """
-    counts = rows.where((F.col("split") == fit_on) & F.col("y").isNotNull()).groupBy("probe", "y").agg(F.count("*").alias("c"))
-    known = counts.groupBy("probe").agg(
-        F.sort_array(F.collect_list(F.struct("y", "c"))).alias("known"),
-        F.sum("c").alias("n"),
-        F.max_by("y", F.struct("c", -F.col("y"))).alias("most"),
-    )
+    train = rows.where((F.col("split") == fit_on) & F.col("y").isNotNull())
+    asked = rows.select("split", "probe", "key", "y")
+    out = []
+    constant = [s for s in strategies if s in ("most_frequent", "prior")]
+    if constant:
+        counts = train.groupBy("probe", "y").agg(F.count("*").alias("c"))
+        most = counts.groupBy("probe").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("pred"))
+        named = F.explode(F.array(*[F.lit(f"Dummy {s}") for s in constant]))
+        out.append(asked.join(broadcast_within(most), "probe").withColumn("classifier", named))
     coin = hash_number(seed, F.col("key")) / F.lit(float(2**52))
-    labels = F.col("known.y")
-    upto = F.transform("known", lambda x, i: F.aggregate(F.slice("known", F.lit(1), i + 1), F.lit(0).cast("long"), lambda t, k: t + k["c"]))
-    share = F.filter(F.arrays_zip(labels.alias("y"), upto.alias("upto")), lambda z: z["upto"] > coin * F.col("n"))
-    drawn = {
-        "most_frequent": F.col("most"),
-        "prior": F.col("most"),
-        "stratified": F.get(share, F.lit(0))["y"],
-        "uniform": F.get(labels, F.floor(coin * F.size("known")).cast("int")),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(f"Dummy {s}").alias("classifier"), drawn[s].alias("pred")) for s in strategies]))
-    joined = rows.select("split", "probe", "key", "y").join(broadcast_within(known, per_row=1000), "probe")
-    return joined.withColumn("made", each).select("split", "probe", "made.classifier", "key", F.col("y").alias("true"), "made.pred")
+    for s in strategies:
+        if s not in ("stratified", "uniform"):
+            continue
+        drawn = train.select("probe", F.col("y").alias("pred"), hash_number(seed + 1, F.col("key")).alias("h"))
+        if s == "uniform":
+            drawn = drawn.groupBy("probe", "pred").agg(F.min("h").alias("h"))
+        numbered = sequential_index(drawn, "h", "number", ["probe"], start=0)
+        sizes = numbered.groupBy("probe").agg(F.count("*").alias("n"))
+        placed = asked.join(broadcast_within(sizes), "probe").withColumn("number", F.floor(coin * F.col("n")).cast("long"))
+        out.append(placed.join(numbered.drop("h"), ["probe", "number"]).withColumn("classifier", F.lit(f"Dummy {s}")))
+    return stack([o.select("split", "probe", "classifier", "key", F.col("y").alias("true"), "pred") for o in out])
 
 
 def neighbour_predictions(rows: DataFrame, sets, fit_on: str, ks: Sequence[int], block: int = 2000) -> DataFrame:

@@ -1,15 +1,16 @@
 """Exact distances inside images and the probe localisation measures built on them.
 
 The squared distance to the nearest seed separates: first along columns (two running
-windows), then along rows (a minimum over the row). No pixel-times-seed pairs are made;
-the largest unit of work is one row of one image.
+windows), then along rows (the lower envelope of parabolas, all rows of a batch in lockstep). No
+pixel-times-seed pairs are made; the largest unit of work is one row of one image.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,44 +24,89 @@ from cytoframe.operators.pixels import rectangle
 from cytoframe.session import materialise
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _row_distances(xs: pd.Series, gaps: pd.Series) -> pd.Series:
-    """Row pass: per row min over x' of (x - x')^2 + gap(x')^2, as a root; nulls without seeds."""
-    return pd.Series([row_distances(x, gap) for x, gap in zip(xs, gaps)])
+BATCH_CELLS = 2_000_000  # of the padded matrix that one pass over rows works on
 
 
-def row_distances(x, gap):
-    """The lower envelope of the parabolas over a row: one step per pixel, whatever the seeds."""
-    import numpy as np
+def row_distances(xs: pa.Array, gaps: pa.Array) -> pa.Array:
+    """Row pass: per row min over x' of (x - x')^2 + gap(x')^2, as a root; nulls without seeds.
 
-    x = np.asarray(x, dtype="float64")
-    gap = np.asarray(gap, dtype="float64")
-    order = np.lexsort((gap, x))
-    seeds = order[~np.isnan(gap[order])]
-    if not len(seeds):
-        return [None] * len(x)
+    All rows of the batch advance together in padded matrices, rows of similar length at a time.
+    """
+    length = xs.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(length)])
+    row = np.repeat(np.arange(len(length)), length)
+    x = xs.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    gap = gaps.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    order = np.lexsort((gap, x, row))
+    x, gap = x[order], gap[order]
     # a repeated pixel counts with its smallest gap
-    seeds = seeds[np.concatenate([[True], np.diff(x[seeds]) > 0])]
-    at, square = x[seeds].tolist(), (gap[seeds] ** 2).tolist()
-    low, bounds = [0], []
-    for q in range(1, len(at)):
-        while True:
-            v = low[-1]
-            cross = (square[q] - square[v] + at[q] ** 2 - at[v] ** 2) / (2 * (at[q] - at[v]))
-            if bounds and cross <= bounds[-1]:
-                low.pop()
-                bounds.pop()
-            else:
-                break
-        low.append(q)
-        bounds.append(cross)
-    low = np.array(low)
-    place = np.searchsorted(np.array(bounds), x)
-    best = np.full(len(x), np.inf)
-    for near in (-1, 0, 1):  # a rounded bound may be off by one parabola
-        seed = seeds[low[np.clip(place + near, 0, len(low) - 1)]]
-        best = np.minimum(best, (x - x[seed]) ** 2 + gap[seed] ** 2)
-    return np.sqrt(best)
+    again = np.zeros(len(x), dtype=bool)
+    again[1:] = (row[1:] == row[:-1]) & (x[1:] == x[:-1])
+    square = np.where(again | np.isnan(gap), np.inf, gap**2)
+    place = np.arange(len(x)) - first[row]
+    found = np.empty(len(x))
+    by_length = np.argsort(length, kind="stable")
+    at = 0
+    while at < len(by_length):
+        # the longest row of a chunk sets its width
+        end = at + 1
+        while end < len(by_length) and (end + 1 - at) * length[by_length[end]] <= BATCH_CELLS:
+            end += 1
+        chosen = by_length[at:end]
+        width = int(length[chosen[-1]])
+        if width:
+            line = np.repeat(np.arange(len(chosen)), length[chosen])
+            flat = np.repeat(first[chosen] - np.concatenate([[0], np.cumsum(length[chosen])[:-1]]), length[chosen]) + np.arange(len(line))
+            wide_x, wide_square = np.zeros((len(chosen), width)), np.full((len(chosen), width), np.inf)
+            wide_x[line, place[flat]] = x[flat]
+            wide_square[line, place[flat]] = square[flat]
+            found[flat] = _envelope_minima(wide_x, wide_square)[line, place[flat]]
+        at = end
+    back = np.empty(len(x))
+    back[order] = np.sqrt(found)
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(back, mask=~np.isfinite(back)))
+
+
+def _envelope_minima(x: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Per row the lower envelope of the parabolas (x - x_i)^2 + square_i, at every x; x ascends, an infinite square is no seed.
+
+    Each row has a stack of parabolas with the left border of each one's stretch; a column of the matrix is pushed on
+    all stacks at once, and the rows that still have to pop shrink from step to step.
+    """
+    rows, width = x.shape
+    low = np.zeros((rows, width), dtype=np.int64)
+    border = np.full((rows, width), -np.inf)
+    top = np.full(rows, -1)
+    for q in range(width):
+        pushed = np.flatnonzero(np.isfinite(square[:, q]))
+        start = np.full(len(pushed), -np.inf)
+        todo = np.flatnonzero(top[pushed] >= 0)
+        while len(todo):
+            r = pushed[todo]
+            v = low[r, top[r]]
+            cross = (square[r, q] - square[r, v] + x[r, q] ** 2 - x[r, v] ** 2) / (2 * (x[r, q] - x[r, v]))
+            start[todo] = cross
+            gone = cross <= border[r, top[r]]
+            top[r[gone]] -= 1
+            todo = todo[gone]
+        top[pushed] += 1
+        low[pushed, top[pushed]] = q
+        border[pushed, top[pushed]] = start
+    # the last parabola whose stretch begins before x, by bisection in all rows at once
+    here, last = np.zeros((rows, width), dtype=np.int64), np.broadcast_to(np.maximum(top, 0)[:, None], (rows, width)).copy()
+    line = np.arange(rows)[:, None]
+    for _ in range(width.bit_length()):
+        middle = (here + last + 1) // 2
+        begun = border[line, middle] < x
+        here, last = np.where(begun, middle, here), np.where(begun, last, np.maximum(middle - 1, here))
+    best = np.full((rows, width), np.inf)
+    for near in (-1, 0, 1):  # a rounded border may be off by one parabola
+        seed = low[line, np.clip(here + near, 0, np.maximum(top, 0)[:, None])]
+        best = np.minimum(best, (x - x[line, seed]) ** 2 + square[line, seed])
+    return best
+
+
+_row_distances = F.arrow_udf(row_distances, T.ArrayType(T.DoubleType()))
 
 
 def distance_transform(
@@ -77,20 +123,16 @@ def distance_transform(
     above = F.last(at, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(at, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("y") - above, below - F.col("y")).cast("double")
+    rest = [c for c in pixels.columns if c not in (*keys, "y", out)]
+    # everything else of a pixel travels with it, so nothing is joined back
     rows = (
-        pixels.select(*by, "y", "x", gap.alias("__gap__"))
+        pixels.select(*by, "y", *[quoted(c) for c in rest], gap.alias("__gap__"))
         .groupBy(*by, "y")
-        .agg(F.sort_array(F.collect_list(F.struct("x", "__gap__"))).alias("__row__"))
-    )
-    reached = rows.select(
-        *by, "y", F.col("__row__.x").alias("__xs__"),
-        _row_distances(F.col("__row__.x"), F.col("__row__.__gap__")).alias("__ds__"),
+        .agg(F.collect_list(F.struct(*[quoted(c) for c in rest], "__gap__")).alias("__row__"))
     )
-    flat = reached.select(
-        *by, "y", F.explode(F.arrays_zip("__xs__", "__ds__")).alias("p")
-    ).select(*by, "y", F.col("p.__xs__").alias("x"), F.col("p.__ds__").alias(out))
-    rest = [c for c in pixels.columns if c not in (*keys, "y", "x")]
-    return merge(pixels, flat, [*keys, "y", "x"], "inner", False) if rest else flat
+    reached = rows.withColumn("__ds__", _row_distances(F.col("__row__.x"), F.col("__row__.__gap__")))
+    flat = reached.select(*by, "y", F.explode(F.arrays_zip("__row__", "__ds__")).alias("p"))
+    return flat.select(*by, "y", *[F.col("p.__row__")[c].alias(c) for c in rest], F.col("p.__ds__").alias(out))
 
 
 def cell_regions(

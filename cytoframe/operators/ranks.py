@@ -1,51 +1,113 @@
 """Order statistics that never gather a whole group in one task.
 
-Everything rests on ``cumulative_counts``: equal values are pre-aggregated by
-(group, value), each group is cut at approximate quantiles into as many pieces as the
-shuffle is wide, and only the piece totals (bounded) are summed per group. A group with a
-third of all rows is therefore sorted by many tasks.
+Equal values are pre-aggregated by (group, value) and dealt by a range exchange on (group, value), so a group with
+a third of all rows lies in many tasks, in order. Of each partition only its first and last group can go on elsewhere:
+their sums, two small rows a partition, give what lies before a partition and what a cut group holds in all. Counts below a
+value are then running sums inside the partitions. No sketch, no cut points per group and no join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
-from cytoframe.session import broadcast_within, split_pieces
-
-_ALL = "__all__"
-
-
-def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if keys:
-        return df, list(keys)
-    return df.withColumn(_ALL, F.lit(1)), [_ALL]
-
-
-def _cut(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``__cut__``: the number of the group's cut points below the value.
-
-    The cut points come from a bounded sketch per group. They are materialised so that
-    every use of them in the plan, and every retry, sees the same ones. A row finds its
-    piece by halving, one projection per step.
-    """
-    pieces = split_pieces(df.sparkSession)
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = df.groupBy(*[quoted(k) for k in keys]).agg(
-        F.percentile_approx(quoted(value), shares, 10 * pieces).alias("__cuts__")
-    )
-    out = merge(df, broadcast_within(cuts, per_row=pieces + len(keys)), keys, "inner")
-    out = out.withColumn("__cut__", F.lit(0))
-    step = pieces // 2
-    while step:
-        passed = F.get("__cuts__", F.col("__cut__") + (step - 1)) < quoted(value)
-        out = out.withColumn("__cut__", F.col("__cut__") + F.when(passed, step).otherwise(0))
-        step //= 2
-    return out.drop("__cuts__")
+from cytoframe.session import broadcast_within, materialise
+
+
+def _in_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows sorted over all partitions. Materialised, as every use has to see the same borders."""
+    order = [quoted(c) for c in columns]
+    return materialise(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def _changes(rows: pa.Table | pa.RecordBatch, by: Sequence[str]) -> np.ndarray:
+    """Where a row has another group than the row before it; the first row counts as one."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[:1] = True
+    for name in by:
+        column = rows.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if pa.types.is_nested(column.type):
+            column = pa.array([repr(v) for v in column.to_pylist()])
+        before, after = column.slice(0, max(len(column) - 1, 0)), column.slice(1)
+        differs = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        differs = differs | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+        if pa.types.is_floating(column.type):
+            nan = [pc.fill_null(pc.is_nan(v), False).to_numpy(zero_copy_only=False) for v in (before, after)]
+            differs = differs & ~(nan[0] & nan[1])
+        new[1:] |= differs
+    return new
+
+
+class _Cut:
+    """What the first and the last group of every partition have elsewhere."""
+
+    def __init__(self, rows: Sequence[tuple]) -> None:
+        """``rows``: (partition, group, amount, is the first, is the last), in order of the partitions."""
+        self.before: dict[int, float] = {}
+        self.first: dict[int, float] = {}
+        self.last: dict[int, float] = {}
+        runs: list[list[tuple]] = []
+        for row in rows:
+            # a group goes on only from the last place of a partition to the first of the next
+            if runs and row[3] and runs[-1][-1][4] and runs[-1][-1][1] == row[1]:
+                runs[-1].append(row)
+            else:
+                runs.append([row])
+        for run in runs:
+            total, seen = sum(r[2] for r in run), 0
+            for part, _, amount, first, last in run:
+                if first:
+                    self.before[part], self.first[part] = seen, total
+                if last:
+                    self.last[part] = total
+                seen += amount
+
+
+def _edges(ranged: DataFrame, by: Sequence[str], amount: str | None) -> _Cut:
+    """One small aggregate: at most two rows a partition reach the driver, whatever the number of rows."""
+    by = list(by)
+    types = dict(ranged.dtypes)
+    whole = amount is None or types[amount] in ("int", "bigint")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None  # [key row, sum] of the first group, and of the latest one if it is another
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(_changes(batch, by))
+            weight = np.ones(batch.num_rows, dtype=np.int64) if amount is None else batch.column(amount).to_numpy(zero_copy_only=False)
+            sums = np.add.reduceat(weight, starts)
+            keys, at, latest = batch.select(by), 0, last or first
+            if latest and (not by or not _changes(pa.Table.from_batches([latest[0], keys.slice(0, 1)]), by)[1]):
+                latest[1] += sums[0]
+                at = 1
+            if first is None:
+                first, at = [keys.slice(0, 1), sums[0]], 1
+            if at < len(starts):
+                last = [keys.slice(int(starts[-1]), 1), sums[-1]]
+        pid = TaskContext.get().partitionId()
+        for key, total in filter(None, (first, last)):
+            yield pa.RecordBatch.from_arrays(
+                [*key.columns, pa.array([pid], pa.int32()), pa.array([key is first[0]]), pa.array([last is None or key is last[0]]),
+                 pa.array([total.item()], pa.int64() if whole else pa.float64())],
+                names=[*by, "__pid__", "__first__", "__last__", "__sum__"],
+            )
+
+    schema = "".join(f"`{k}` {types[k]}, " for k in by)
+    schema += f"__pid__ int, __first__ boolean, __last__ boolean, __sum__ {'long' if whole else 'double'}"
+    used = ranged.select(*[quoted(k) for k in by], F.lit(1).alias("__one__") if amount is None else quoted(amount))
+    rows = used.mapInArrow(work, schema).collect()
+    rows.sort(key=lambda r: (r["__pid__"], not r["__first__"]))
+    return _Cut([(r["__pid__"], repr([r[k] for k in by]), r["__sum__"], r["__first__"], r["__last__"]) for r in rows])
 
 
 def cumulative_counts(
@@ -54,29 +116,33 @@ def cumulative_counts(
     """One row per (group, distinct value): ``__n__`` rows (or weight) at the value,
     ``__below__`` strictly below it, ``__total__`` in the group. Null values are left out.
     """
-    df, by = _grouped(df.where(quoted(value).isNotNull()), keys)
+    by = list(keys)
     amount = F.count("*") if weight is None else F.sum(quoted(weight))
-    counts = df.groupBy(*[quoted(k) for k in by], quoted(value)).agg(amount.alias("__n__"))
-    cut = _cut(counts, by, value)
-    key_cols = [quoted(k) for k in by]
-    inside = Window.partitionBy(*key_cols, "__cut__").orderBy(quoted(value))
-    group = Window.partitionBy(*key_cols)
-    before = group.orderBy("__cut__").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        cut.groupBy(*key_cols, "__cut__")
-        .agg(F.sum("__n__").alias("__t__"))
-        .withColumn("__start__", F.coalesce(F.sum("__t__").over(before), F.lit(0)))
-        .withColumn("__total__", F.sum("__t__").over(group))
-        .drop("__t__")
-    )
-    ranked = cut.withColumn(
-        "__within__",
-        F.sum("__n__").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n__"),
-    )
-    out = merge(ranked, totals, by + ["__cut__"], "inner").withColumn(
-        "__below__", F.col("__start__") + F.col("__within__")
-    )
-    return out.select(*[quoted(k) for k in keys], quoted(value), "__n__", "__below__", "__total__")
+    counts = df.where(quoted(value).isNotNull()).groupBy(*[quoted(k) for k in (*by, value)]).agg(amount.alias("__n__"))
+    ranged = _in_ranges(counts, [*by, value])
+    cut = _edges(ranged, by, "__n__")
+    kind = dict(ranged.dtypes)["__n__"]
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one partition of the exchange: distinct values and their counts only
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        part = TaskContext.get().partitionId()
+        starts = np.flatnonzero(_changes(rows, by))
+        n = rows.column("__n__").to_numpy()
+        upto = np.cumsum(n) - n
+        size = np.diff(np.append(starts, len(n)))
+        total = np.add.reduceat(n, starts)
+        under = upto - np.repeat(upto[starts], size)
+        under[: size[0]] += cut.before[part]
+        total[0], total[-1] = (cut.first[part], cut.last[part]) if len(total) > 1 else (cut.first[part],) * 2
+        rows = rows.append_column("__below__", pa.array(under)).append_column("__total__", pa.array(np.repeat(total, size)))
+        yield from rows.to_batches()
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes) + f", __below__ {kind}, __total__ {kind}"
+    return ranged.mapInArrow(below, schema)
 
 
 def group_quantiles(
@@ -141,22 +207,34 @@ def kth_smallest(
 def sequential_index(
     df: DataFrame, order_by: str, name: str, keys: Sequence[str] = (), start: int = 1
 ) -> DataFrame:
-    """Number rows in the order of a numeric column that is unique within its group."""
-    data, by = _grouped(df, keys)
-    cut = _cut(data, by, order_by)
-    key_cols = [quoted(k) for k in by]
-    before = (
-        Window.partitionBy(*key_cols).orderBy("__cut__").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        cut.groupBy(*key_cols, "__cut__")
-        .agg(F.count("*").alias("__t__"))
-        .withColumn("__start__", F.coalesce(F.sum("__t__").over(before), F.lit(0)))
-        .drop("__t__")
-    )
-    inside = Window.partitionBy(*key_cols, "__cut__").orderBy(quoted(order_by))
-    numbered = cut.withColumn("__i__", F.row_number().over(inside))
-    return merge(numbered, starts, by + ["__cut__"], "inner").select(
-        *[quoted(c) for c in df.columns],
-        (F.col("__start__") + F.col("__i__") - 1 + start).cast("long").alias(name),
-    )
+    """Number rows within their group in the order of a column.
+
+    Rows of equal order are told apart by a hash of all their columns, so each gets a number of
+    its own, the same in every run; only rows that are equal in every column may change places.
+    """
+    by = list(keys)
+    rows = df.withColumn("__tie__", F.xxhash64(*[quoted(c) for c in df.columns]))
+    ranged = _in_ranges(rows, [*by, order_by, "__tie__"]).drop("__tie__")
+    cut = _edges(ranged, by, None)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, cut.before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _changes(batch, by)
+            if last is not None and by:
+                new[0] = _changes(pa.Table.from_batches([last, batch.select(by).slice(0, 1)]), by)[1]
+            else:
+                new[0] = False
+            starts = np.union1d([0], np.flatnonzero(new))
+            number = np.arange(batch.num_rows) - np.repeat(starts, np.diff(np.append(starts, batch.num_rows)))
+            if not new[0]:
+                number[: starts[1] if len(starts) > 1 else len(number)] += count
+            last, count = batch.select(by).slice(batch.num_rows - 1, 1), int(number[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(number + start, pa.int64())], names=[*batch.schema.names, name]
+            )
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes) + f", `{name}` long"
+    return ranged.mapInArrow(numbered, schema)

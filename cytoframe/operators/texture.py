@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.operators.columns import dense, quoted
 from cytoframe.operators.joins import merge
-from cytoframe.session import materialise
 
 
 def cropped_cells(
@@ -70,8 +71,6 @@ def even_angles(n: int = 16) -> list[float]:
 
 def _padded(rows: pd.Series, starts, width: int):
     """Rows of different lengths as one matrix, row r shifted right by ``starts[r]``."""
-    import numpy as np
-
     lengths = np.array([len(r) for r in rows])
     out = np.zeros((len(rows), width), dtype="int64")
     row = np.repeat(np.arange(len(rows)), lengths)
@@ -84,8 +83,6 @@ def _padded(rows: pd.Series, starts, width: int):
 
 def _count_pairs(part: pd.DataFrame, keys: list[str], columns: list[int], levels: int):
     """Level pair counts of row pairs with one row distance, for all column steps at once."""
-    import numpy as np
-
     cell = part.groupby(keys, sort=False).ngroup().to_numpy()
     names = part[keys].iloc[np.unique(cell, return_index=True)[1]]
     reach = max(abs(d) for d in columns)
@@ -170,6 +167,36 @@ def step_correlation(counts: DataFrame, keys: Sequence[str] = ("fov", "label"))
                        F.coalesce(corr, F.lit(1.0)).alias("corr"))
 
 
+BATCH_CELLS = 2_000_000  # of the padded boxes that are transformed together
+
+
+def _step_sums(boxes: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs n and the sums of i, j, i^2, j^2 and ij over them, of every box (cells x height x width, 0 = no level) and step.
+
+    Correlations by the transform: three spectra give all steps at once, and as all sums are whole numbers they are rounded.
+    """
+    _, height, width = boxes.shape
+    shape = (height + min(int(np.abs(dy).max(initial=0)), height), width + min(int(np.abs(dx).max(initial=0)), width))
+    seen = (boxes > 0).astype("float64")
+    m, a, a2 = (np.fft.rfft2(v, s=shape) for v in (seen, boxes, boxes * boxes))
+    near = (np.abs(dy) < height) & (np.abs(dx) < width)
+
+    def at_steps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        whole = np.fft.irfft2(np.conj(left) * right, s=shape)
+        out = np.zeros((len(boxes), len(dy)))
+        out[:, near] = np.rint(whole[:, dy[near] % shape[0], dx[near] % shape[1]])
+        return out
+
+    return at_steps(m, m), at_steps(a, m), at_steps(m, a), at_steps(a2, m), at_steps(m, a2), at_steps(a, a)
+
+
+def _correlations(boxes: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    n, si, sj, sii, sjj, sij = _step_sums(boxes, dy, dx)
+    vi, vj = n * sii - si * si, n * sjj - sj * sj
+    varies = (vi > 0) & (vj > 0)
+    return np.where(varies, (n * sij - si * sj) / np.sqrt(np.where(varies, vi, 1.0) * np.where(varies, vj, 1.0)), 1.0)
+
+
 def correlation_by_angle(
     cells: DataFrame,
     distances: Sequence[int] = tuple(range(33)),
@@ -177,28 +204,53 @@ def correlation_by_angle(
     level: str = "level",
     keys: Sequence[str] = ("fov", "label"),
 ) -> DataFrame:
-    """|correlation| per (cell, distance, angle). Steps that coincide are counted once."""
+    """|correlation| per (cell, distance, angle); 1 where a step has no pairs or levels that do not vary.
+
+    A cell's pixels are one row; boxes of similar size are transformed together, and one transform
+    serves all steps, so the cost does not grow with their number. One shuffle, no join.
+    """
     angles = even_angles() if angles is None else angles
     table = offsets(distances, angles)
-    cells = materialise(cells)
-    corr = step_correlation(
-        cooccurrence(cells, [(dy, dx) for _, _, dy, dx in table], level, keys), keys
+    keys = list(keys)
+    by = [quoted(k) for k in keys]
+    dy, dx = (np.array([t[i] for t in table], dtype=np.int64) for i in (2, 3))
+    packed = cells.groupBy(*by).agg(
+        F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"),
+                                F.coalesce(quoted(level), F.lit(0)).cast("long").alias("v"))).alias("__p__")
+    ).select(*by, *[F.col("__p__")[c].alias(f"__{c}__") for c in "yxv"])
+    types = dict(cells.dtypes)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(f"__{c}__") for c in "yxv"]
+            length = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+            y, x, v = (c.flatten().to_numpy() for c in lists)
+            first = np.concatenate([[0], np.cumsum(length)])[:-1]
+            cell = np.repeat(np.arange(len(length)), length)
+            y0, x0 = np.minimum.reduceat(y, first), np.minimum.reduceat(x, first)
+            size = np.stack([np.maximum.reduceat(y, first) - y0, np.maximum.reduceat(x, first) - x0], axis=1) + 1
+            # boxes are padded to powers of two, so those of one padded size share their matrices
+            padded = 2 ** np.ceil(np.log2(size)).astype(np.int64)
+            corr = np.empty((len(length), len(table)))
+            for shape in np.unique(padded, axis=0):
+                alike = np.flatnonzero((padded == shape).all(axis=1))
+                step = max(1, BATCH_CELLS // int(4 * shape.prod()))
+                for at in range(0, len(alike), step):
+                    chosen = alike[at : at + step]
+                    line = np.full(len(length), -1)
+                    line[chosen] = np.arange(len(chosen))
+                    mine = np.flatnonzero(line[cell] >= 0)
+                    boxes = np.zeros((len(chosen), *shape))
+                    boxes[line[cell[mine]], y[mine] - y0[cell[mine]], x[mine] - x0[cell[mine]]] = v[mine]
+                    corr[chosen] = np.abs(_correlations(boxes, dy, dx))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(corr) + 1) * len(table), pa.int32()), pa.array(corr.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], values], names=[*keys, "corr"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", corr array<double>"
+    step = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("a")) for d, a, _, _ in table])
+    return packed.mapInArrow(measure, schema).select(*by, F.explode(F.arrays_zip(step.alias("s"), "corr")).alias("z")).select(
+        *by, F.col("z.s.d").alias("d"), F.col("z.s.a").alias("a"), F.col("z.corr").alias("corr")
     )
-    plan = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(dy).alias("dy"),
-                         F.lit(dx).alias("dx"))
-                for d, a, dy, dx in table
-            ]
-        )
-    ).alias("s")
-    all_steps = cells.select(*[quoted(k) for k in keys]).distinct().select(
-        *[quoted(k) for k in keys], plan
-    ).select(*[quoted(k) for k in keys], "s.*")
-    joined = merge(all_steps, corr, [*keys, "dy", "dx"], "left", False)
-    return joined.select(*[quoted(k) for k in keys], "d", "a",
-                         F.abs(F.coalesce("corr", F.lit(1.0))).alias("corr"))
 
 
 def variation_over_angles(corr: DataFrame, keys: Sequence[str] = ("fov", "label"),
@@ -219,8 +271,6 @@ def max_variation(cv: DataFrame, keys: Sequence[str] = ("fov", "label")) -> Data
 @F.pandas_udf(T.DoubleType())
 def _decay_rate(distances: pd.Series, curves: pd.Series, decay: pd.Series) -> pd.Series:
     """Weighted least squares rate of exp(-a d^2) for a batch of curves, by damped steps."""
-    import numpy as np
-
     rates = []
     for d, y, rate in zip(distances, curves, decay):
         d, y = np.asarray(d, dtype="float64"), np.asarray(y, dtype="float64")

@@ -4,63 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.scalars import ratio
-from cytoframe.operators.columns import dense, quoted
+from cytoframe.operators.columns import quoted
 from cytoframe.operators.joins import merge
 from cytoframe.operators.objects import class_map
 
 
+def _in_strips(pixels: DataFrame, fov: str, value: str, size: int, stride: int) -> DataFrame:
+    """Image rows as arrays (fov, y, xs, vs), each sent once to every row of patches that covers it: r is their centre.
+
+    A pixel is shuffled once into its row and then size / stride times with it, whatever the width of the image.
+    """
+    half = size // 2
+    first = F.floor((F.col("y") - (size - half)) / F.lit(stride)) + 1
+    last = F.floor((F.least(F.col("y") + half, "__h__")) / F.lit(stride))
+    rows = pixels.groupBy(quoted(fov), "y").agg(F.collect_list(F.struct("x", quoted(value).cast("double").alias("v"))).alias("row"))
+    tall = pixels.groupBy(quoted(fov)).agg(F.max("y").alias("__h__"), F.max("x").alias("__w__"))
+    grid = F.when(F.greatest(first, F.lit(0)) <= last, F.sequence(F.greatest(first, F.lit(0)), last))
+    return merge(rows, tall, [fov], "inner", False).select(
+        quoted(fov).alias("fov"), F.explode(F.transform(grid, lambda k: (k * stride).cast("int"))).alias("r"),
+        F.col("y").cast("int").alias("y"), F.col("__w__").cast("int").alias("wide"),
+        F.transform("row", lambda p: p["x"].cast("int")).alias("xs"), F.transform("row", lambda p: p["v"]).alias("vs"),
+    )
+
+
+def _patches(pixels: DataFrame, fov: str, value: str, size: int, stride: int, filled: bool) -> DataFrame:
+    """One row a patch: its values divided by their maximum, whole (``filled``, zero where there is no pixel) or as places and values."""
+    strips = _in_strips(pixels, fov, value, size, stride)
+    half, kind = size // 2, dict(strips.dtypes)["fov"]
+    shares = pa.list_(pa.float64())
+
+    def cut(key: tuple, strip: pa.Table) -> pa.Table:
+        """All patches of one row of them, sliced from its image rows."""
+        r, wide = key[1].as_py(), strip.column("wide")[0].as_py()
+        xs, vs = (strip.column(c).combine_chunks() for c in ("xs", "vs"))
+        y = np.repeat(strip.column("y").to_numpy(), xs.value_lengths().to_numpy())
+        # columns reach half a patch beyond the image on either side
+        image = np.full((size, wide + 1 + 2 * size), np.nan)
+        held = np.zeros(image.shape, dtype=bool)
+        at = (y - (r - half), xs.flatten().to_numpy() + half)
+        image[at] = vs.flatten().to_numpy(zero_copy_only=False)
+        held[at] = True
+        out = {"c": [], "place": [], "patch": []}
+        for c in range(0, wide + 1, stride):
+            inside, part = held[:, c : c + size], image[:, c : c + size]
+            if not inside.any():
+                continue
+            known = part[~np.isnan(part)]
+            most = known.max() if len(known) else 0.0
+            share = part / most if most else np.full(part.shape, np.nan)
+            out["c"].append(c)
+            if filled:
+                out["place"].append(None)
+                out["patch"].append(np.nan_to_num(share, nan=0.0).ravel())
+            else:
+                out["place"].append(np.flatnonzero(inside.ravel()).astype("int32"))
+                out["patch"].append(np.ma.masked_invalid(share[inside]).tolist())
+        n = len(out["c"])
+        return pa.table({
+            "fov": pa.array([key[0].as_py()] * n, strip.schema.field("fov").type), "r": pa.array([r] * n, pa.int32()),
+            "c": pa.array(out["c"], pa.int32()), "place": pa.array(out["place"], pa.list_(pa.int32())), "patch": pa.array(out["patch"], shares),
+        })
+
+    made = strips.groupBy("fov", "r").applyInArrow(cut, f"fov {kind}, r int, c int, place array<int>, patch array<double>")
+    return made.withColumnRenamed("fov", fov)
+
+
 def sliding_patches(
     pixels: DataFrame, fov: str = "fov", value: str = "v", size: int = 96, stride: int = 8,
     out: str = "share",
 ) -> DataFrame:
     """Pixels of every size x size patch centred on a stride grid, divided by the patch maximum.
 
-    A pixel goes to the (size / stride)^2 patches that cover it. Positions outside the image
-    are zero and have no row; ``py``, ``px`` are positions inside the patch.
+    Positions outside the image are zero and have no row; ``py``, ``px`` are positions inside the patch. Rows
+    of the image travel, not pixels; a pixel is copied to its patches only where they are cut out.
     """
-    half = size // 2
-
-    def centres(c: str) -> Column:
-        # grid points r with r - half <= c < r - half + size
-        first = F.floor((F.col(c) - (size - half)) / F.lit(stride)) + 1
-        last = F.floor((F.col(c) + half) / F.lit(stride))
-        grid = F.when(
-            F.greatest(first, F.lit(0)) <= last, F.sequence(F.greatest(first, F.lit(0)), last)
-        ).otherwise(F.array().cast("array<long>"))
-        return F.explode(F.transform(grid, lambda k: (k * stride).cast("int")))
-
-    size_of = pixels.groupBy(quoted(fov)).agg(F.max("y").alias("__h__"), F.max("x").alias("__w__"))
-    spread = pixels.select(quoted(fov), "y", "x", quoted(value), centres("y").alias("r"))
-    spread = spread.select("*", centres("x").alias("c"))
-    spread = merge(spread, size_of, [fov], "inner", False).where(
-        (F.col("r") <= F.col("__h__")) & (F.col("c") <= F.col("__w__"))
-    )
-    patch = Window.partitionBy(quoted(fov), "r", "c")
-    return spread.select(
-        quoted(fov), "r", "c",
-        (F.col("y") - F.col("r") + half).alias("py"), (F.col("x") - F.col("c") + half).alias("px"),
-        ratio(quoted(value), F.max(quoted(value)).over(patch)).alias(out),
+    flat = F.explode(F.arrays_zip(F.col("place"), F.col("patch").alias("share"))).alias("p")
+    return _patches(pixels, fov, value, size, stride, False).select(quoted(fov), "r", "c", flat).select(
+        quoted(fov), "r", "c", F.floor(F.col("p.place") / size).cast("int").alias("py"), (F.col("p.place") % size).alias("px"),
+        F.col("p")["share"].alias(out),
     )
 
 
 def patch_arrays(
-    patches: DataFrame, fov: str = "fov", value: str = "share", size: int = 96
+    pixels: DataFrame, fov: str = "fov", value: str = "v", size: int = 96, stride: int = 8
 ) -> DataFrame:
-    """One zero-padded row-major array per patch (size x size values)."""
-    place = F.col("py") * size + F.col("px")
-    packed = patches.groupBy(quoted(fov), "r", "c").agg(
-        F.array_sort(
-            F.collect_list(F.struct(place.cast("int").alias("k"), F.coalesce(quoted(value), F.lit(0.0)).alias("v")))
-        ).alias("__e__")
-    )
-    return packed.select(
-        quoted(fov), "r", "c",
-        dense("__e__", F.lit(0), F.lit(size * size), F.lit(0.0)).alias("patch"),
-    )
+    """One zero-padded row-major array per patch (size x size shares of the patch maximum)."""
+    return _patches(pixels, fov, value, size, stride, True).drop("place")
 
 
 def labelled_patches(

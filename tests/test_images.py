@@ -309,7 +309,7 @@ def test_class_counts_and_empty_class(spark):
 
 def test_patches_are_zero_padded(spark):
     v = np.arange(1, 26).reshape(5, 5)
-    arrays = W.patch_arrays(W.sliding_patches(image(spark, v=v), size=4, stride=4), size=4)
+    arrays = W.patch_arrays(image(spark, v=v), size=4, stride=4)
     first = arrays.where("r = 0 AND c = 0").first()["patch"]
     assert len(first) == 16 and first[:10] == [0.0] * 10
     assert first[10] == pytest.approx(1 / 7) and first[15] == 1.0

@@ -47,12 +47,13 @@ def test_bootstrap_ridge_with_large_offsets(spark):
 
 
 def test_many_classes_can_be_drawn(spark):
-    train = spark.range(15_000).select("id", F.col("id").alias("y"))
-    df = spark.range(2_000)
-    for strategy in ("stratified", "uniform"):
-        got = M._dummy_prediction(train, df, "y", "id", strategy, 3)
-        row = got.agg(F.count("__pred__"), F.count_distinct("__pred__"), F.min("__pred__"), F.max("__pred__")).first()
-        assert row[0] == 2_000 and row[1] > 1_700 and row[2] < 200 and row[3] > 14_800
+    from cytoframe.operators.classifiers import dummy_predictions
+
+    ids = spark.range(17_000).select(F.when(F.col("id") < 15_000, "train").otherwise("test").alias("split"), F.lit("all").alias("probe"),
+                                     F.col("id").alias("key"), F.col("id").cast("int").alias("y"))
+    made = dummy_predictions(ids, "train", ["stratified", "uniform"], 3).where("split = 'test'")
+    for r in made.groupBy("classifier").agg(F.count("pred").alias("n"), F.count_distinct("pred").alias("d"), F.max("pred").alias("m")).collect():
+        assert r["n"] == 2_000 and r["d"] > 1_700 and r["m"] < 15_000
 
 
 def test_many_names_and_wide_images(spark):
@@ -102,21 +103,28 @@ def test_hot_and_missing_keys_in_outer_merges(spark, shuffled_joins):
     assert apart.count() == 55
 
 
-def test_linear_row_distances():
+def test_row_distances_in_lockstep():
+    """Rows of any length and order, with repeated pixels, in one batch: equal to all pairs."""
+    import pyarrow as pa
+
     from cytoframe.operators.distance import row_distances
 
     draw = np.random.default_rng(6)
-    for width in (1, 2, 7, 60, 300):
-        for share in (0.02, 0.5, 1.0):
+    rows = []
+    for width in (0, 1, 2, 7, 60, 300, 7, 2):
+        for share in (0.0, 0.02, 0.5, 1.0):
             x = draw.permutation(width).astype(float)
-            gap = np.where(draw.random(width) < share, draw.integers(0, 40, width), np.nan)
-            seen = ~np.isnan(gap)
-            got = row_distances(x, gap)
-            if not seen.any():
-                assert list(got) == [None] * width
-                continue
-            want = np.sqrt(((x[:, None] - x[None, seen]) ** 2 + gap[None, seen] ** 2).min(1))
-            assert (got == want).all()
+            x[: width // 10] = x[-1:] if width else x[: width // 10]
+            rows.append((x, np.where(draw.random(width) < share, draw.integers(0, 40, width), np.nan)))
+    made = row_distances(pa.array([x for x, _ in rows], pa.list_(pa.float64())),
+                         pa.array([[None if np.isnan(v) else v for v in g] for _, g in rows], pa.list_(pa.float64())))
+    for (x, gap), got in zip(rows, made.to_pylist()):
+        seen = ~np.isnan(gap)
+        if not seen.any():
+            assert got == [None] * len(x)
+            continue
+        want = np.sqrt(((x[:, None] - x[None, seen]) ** 2 + gap[None, seen] ** 2).min(1))
+        assert (np.array(got) == want).all()
 
 
 def test_dense_arrays(spark):
@@ -132,11 +140,82 @@ def test_packing_of_full_size_patches(spark):
     """96 x 96 patches of one 96-wide image; searching a map for each position took about a minute."""
     import time
 
-    from cytoframe.operators.windows import patch_arrays, sliding_patches
+    from cytoframe.operators.windows import patch_arrays
 
     px = spark.range(96 * 96).selectExpr("0 AS fov", "cast(id div 96 AS int) AS y", "cast(id % 96 AS int) AS x", "cast(id AS double) AS v")
     start = time.time()
-    rows = patch_arrays(sliding_patches(px, stride=24)).collect()
+    rows = patch_arrays(px, stride=24).collect()
     assert len(rows) == 16 and {len(r.patch) for r in rows} == {9216} and time.time() - start < 25
     full = next(r for r in rows if (r.r, r.c) == (48, 48))
     assert full.patch == [i / 9215 for i in range(9216)]
+
+
+def test_pixels_are_shuffled_at_most_twice_per_patch_row(spark):
+    """An image row goes once to each row of patches that covers it: (size / stride) values a pixel, not their square."""
+    from cytoframe.operators import windows
+
+    px = spark.range(40 * 50).selectExpr("1 AS fov", "cast(id div 50 AS int) AS y", "cast(id % 50 AS int) AS x", "id % 9 AS v")
+    strips = windows._in_strips(px, "fov", "v", 16, 4)
+    sent = strips.agg(F.sum(F.size("xs"))).first()[0]
+    assert sent + 40 * 50 <= 40 * 50 * (16 // 4) * 2
+    patches = windows.sliding_patches(px, size=16, stride=4)
+    assert patches.count() > 10 * 40 * 50  # what a pixel-wise exchange would have sent
+
+
+def test_correlations_of_all_steps_equal_pair_counts(spark):
+    """One transform a cell gives what counting every pair gives, for boxes of several sizes and holes in them."""
+    from cytoframe.operators import texture
+
+    draw = np.random.default_rng(2)
+    rows = []
+    for label, (h, w) in enumerate([(1, 1), (3, 9), (8, 8), (20, 5), (33, 40), (8, 8)], 1):
+        level = draw.integers(0, 9, (h, w)) if label != 6 else np.full((h, w), 4)
+        rows += [(1, label, y + 10 * label, x + 3, int(level[y, x])) for y in range(h) for x in range(w)]
+    cells = spark.createDataFrame(rows, "fov int, label int, y int, x int, level int").where("level > 0")
+    angles = texture.even_angles(7)
+    steps = texture.offsets(range(12), angles)
+    got = {(r.label, r.d, r.a): r["corr"] for r in texture.correlation_by_angle(cells, range(12), angles).collect()}
+    pairs = texture.step_correlation(texture.cooccurrence(cells, [(dy, dx) for _, _, dy, dx in steps]))
+    want = {(r.label, r.dy, r.dx): r["corr"] for r in pairs.collect()}
+    assert len(got) == 6 * len(steps)
+    for label in range(1, 7):
+        for d, a, dy, dx in steps:
+            assert abs(got[label, d, a] - abs(want.get((label, dy, dx), 1.0))) < 1e-9
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_ranks_of_groups_cut_by_partitions(spark, parts):
+    """Groups of one row, of a third of all and over many partitions, null and nan keys, repeated values."""
+    from cytoframe.operators import ranks
+
+    draw = np.random.default_rng(parts)
+    rows = [(("hot", None, "a", "b", f"g{i % 40}")[min(int(g), 4)], float(draw.integers(0, 150)), i)
+            for i, g in enumerate(draw.integers(0, 9, 1500))]
+    df = spark.createDataFrame(rows, "k string, v double, id int").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = {}
+        for k, v, i in rows:
+            groups.setdefault(k, []).append(v)
+        for r in ranks.cumulative_counts(df, ["k"], "v").collect():
+            have = np.array(groups[r["k"]])
+            assert (r["__n__"], r["__below__"], r["__total__"]) == ((have == r["v"]).sum(), (have < r["v"]).sum(), len(have))
+        whole = ranks.cumulative_counts(df, [], "v").collect()
+        assert {(r["v"], r["__below__"]) for r in whole} == {(v, sum(w[1] < v for w in rows)) for _, v, _ in rows}
+        numbers = {}
+        for r in ranks.sequential_index(df, "v", "i", ["k"]).collect():
+            numbers.setdefault(r["k"], []).append((r["v"], r["i"]))
+        for k, found in numbers.items():
+            found.sort(key=lambda p: p[1])
+            assert [i for _, i in found] == list(range(1, len(groups[k]) + 1))
+            assert [v for v, _ in found] == sorted(groups[k])
+        again = {r["id"]: r["i"] for r in ranks.sequential_index(df, "v", "i").collect()}
+        assert sorted(again.values()) == list(range(1, 1501))
+        assert again == {r["id"]: r["i"] for r in ranks.sequential_index(df.repartition(3), "v", "i").collect()}
+        assert ranks.sequential_index(df.where("v < 0"), "v", "i", ["k"]).count() == 0
+        assert ranks.group_quantiles(df.where("v < 0"), ["k"], "v", {"m": 0.5}).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
