@@ -16,7 +16,7 @@ from cytoframe.functions import scalars as S
 from cytoframe.operators import columns as C
 from cytoframe.operators import joins as J
 from cytoframe.operators.ranks import group_quantiles
-from cytoframe.operators.reshape import tidy
+from cytoframe.operators.reshape import stack, tidy
 from cytoframe.operators.stats import mean_interval
 from cytoframe.plans import cell_table as CT
 from cytoframe.plans import plot_tables as PT
@@ -279,13 +279,20 @@ def clean_features(spark, sf):
 
 @query(
     "annotation_checks",
-    """SELECT * FROM (VALUES ('region known', 0::BIGINT, 0::BIGINT, TRUE), ('channel known', 0, 0, TRUE),
+    f"""WITH {FEATURE_SQL}, c AS (SELECT count(*) AS n, count(DISTINCT (o, c)) AS cells FROM k)
+        SELECT * FROM (VALUES ('region known', 0::BIGINT, 0::BIGINT, TRUE), ('channel known', 0, 0, TRUE),
          ('type known', 0, 0, TRUE), ('wavelength of FISH', (SELECT CAST(2 AS BIGINT) WHERE EXISTS
-         (SELECT 1 FROM lineitem)), 2, TRUE)) AS c("check", observed, expected, ok)""",
+         (SELECT 1 FROM lineitem)), 2, TRUE)) AS x("check", observed, expected, ok)
+        UNION ALL SELECT 'cells named once', cells, n, cells = n FROM c
+        UNION ALL SELECT 'probes known', count(*) FILTER (p1 IN ('MYH6', 'MYH7') AND p2 IN ('MYH6', 'MYH7', 'TCAP')), count(*),
+          bool_and(p1 IN ('MYH6', 'MYH7') AND p2 IN ('MYH6', 'MYH7', 'TCAP')) FROM k
+        UNION ALL SELECT 'features measured', 5 * n, 5 * n, TRUE FROM c""",
 )
 def annotation_checks(spark, sf):
     df, features = PT.clean_features(stand_in_features(spark, sf), OBS)
-    return PT.annotation_checks(df, features)
+    known = {"probe546": PROBES[:2], "probe647": PROBES}
+    cells = PT.cell_checks(df, features, ["ImageNumber", "napariCell_ObjectNumber"], known)
+    return PT.annotation_checks(df, features).unionByName(cells)
 
 
 def stand_in_structure(features):
@@ -551,17 +558,18 @@ def catalog_names(spark, sf):
 
 @query(
     "label_files",
-    """SELECT CAST(n_nationkey AS INTEGER) AS image, CAST(n_regionkey AS INTEGER) AS r, CAST(length(n_name) AS INTEGER) AS c,
-         CASE WHEN n_regionkey < 2 THEN 0 ELSE 1 END AS class FROM nation""",
+    """SELECT CAST(l_orderkey AS INTEGER) AS image, CAST(l_linenumber AS INTEGER) AS r, CAST(l_quantity AS INTEGER) AS c,
+         CASE WHEN l_linenumber < 3 THEN 0 WHEN l_linenumber < 5 THEN 1 ELSE 2 END AS class FROM lineitem""",
 )
 def label_files(spark, sf):
     """One coordinate file per class, read by the label list reader."""
     folder = scratch(spark)
-    points = table(spark, sf, "nation")
-    line = F.concat_ws(" ", "n_nationkey", "n_regionkey", F.length("n_name"))
-    points.where("n_regionkey < 2").select(line).write.text(f"{folder}/low")
-    points.where("n_regionkey >= 2").select(line).write.text(f"{folder}/high")
-    return SR.read_label_lists(spark, [f"{folder}/low", f"{folder}/high"])
+    points = table(spark, sf, "lineitem")
+    line = F.concat_ws(" ", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int"))
+    classes = {"low": F.col("l_linenumber") < 3, "middle": F.col("l_linenumber").isin(3, 4), "high": F.col("l_linenumber") > 4}
+    for name, chosen in classes.items():
+        points.where(chosen).select(line).write.text(f"{folder}/{name}")
+    return SR.read_label_lists(spark, [f"{folder}/{name}" for name in classes])
 
 
 @query(
@@ -600,28 +608,29 @@ def matrix_files(spark, sf):
     "cell_table_files",
     """SELECT 'image' AS name, CAST(o_orderkey AS BIGINT) AS "ImageNumber", CAST(o_totalprice AS DOUBLE) AS value,
          CAST(NULL AS BIGINT) AS "ObjectNumber" FROM orders
-       UNION ALL SELECT 'napari_cell', l_orderkey, CAST(l_quantity AS DOUBLE), CAST(l_linenumber AS BIGINT) FROM lineitem""",
+       UNION ALL SELECT unnest(['merged_nuclei', 'flag_border_nuclei', 'napari_cell', 'premerge_nuclei_centroids']), l_orderkey,
+         unnest([CAST(l_extendedprice AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_quantity AS DOUBLE), CAST(l_tax AS DOUBLE)]),
+         CAST(l_linenumber AS BIGINT) FROM lineitem""",
 )
 def cell_table_files(spark, sf):
-    """Two of the five tables of a run hold rows, the others only their headers."""
+    """All five whole tables of a run, written as its files, read back and stacked."""
     folder = scratch(spark)
-    image = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("ImageNumber"), F.col("o_totalprice").cast("double").alias("value")
-    )
-    cells = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("ObjectNumber"),
-        F.col("l_quantity").cast("double").alias("value"),
-    )
+    measured = {"merged_nuclei": "l_extendedprice", "flag_border_nuclei": "l_discount", "napari_cell": "l_quantity",
+                "premerge_nuclei_centroids": "l_tax"}
     for name, file in SR.CELL_TABLE_FILES.items():
-        rows = image if name == "image" else cells
-        SW.write_table(rows if name in ("image", "napari_cell") else rows.limit(1), f"{folder}/run_{file}")
+        if name == "image":
+            rows = table(spark, sf, "orders").select(
+                F.col("o_orderkey").alias("ImageNumber"), F.col("o_totalprice").cast("double").alias("value")
+            )
+        else:
+            rows = table(spark, sf, "lineitem").select(
+                F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("ObjectNumber"),
+                F.col(measured[name]).cast("double").alias("value"),
+            )
+        SW.write_table(rows, f"{folder}/run_{file}")
     read = SR.read_cell_tables(spark, folder, "run_")
-    stacked = [
-        read[name].select(F.lit(name).alias("name"), "ImageNumber", "value", "ObjectNumber" if name != "image"
-                          else F.lit(None).cast("long").alias("ObjectNumber"))
-        for name in ("image", "napari_cell")
-    ]
-    return stacked[0].unionByName(stacked[1])
+    number = lambda name: "ObjectNumber" if name != "image" else F.lit(None).cast("long").alias("ObjectNumber")
+    return stack([rows.select(F.lit(name).alias("name"), "ImageNumber", "value", number(name)) for name, rows in read.items()])
 
 
 @query(

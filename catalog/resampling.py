@@ -62,6 +62,15 @@ def bootstrap_mean(spark, sf):
     return rounded(out, ["mean", "ci_low", "ci_high"])
 
 
+# the largest less the smallest value, as a user would give it in parts
+SPAN = R.Mergeable(
+    start=lambda: (float("inf"), float("-inf")),
+    add=lambda state, values, times: (min(state[0], values.min()), max(state[1], values.max())),
+    merge=lambda a, b: (min(a[0], b[0]), max(a[1], b[1])),
+    finish=lambda state: state[1] - state[0],
+)
+
+
 @query(
     "bootstrap_custom",
     f"WITH {EVENTS} SELECT event_type, CAST(replicate AS INTEGER) AS replicate,"
@@ -70,7 +79,7 @@ def bootstrap_mean(spark, sf):
 def bootstrap_custom(spark, sf):
     out = R.bootstrap(
         table(spark, sf, "events"), ["event_type"], "value", "event_id",
-        lambda sample: sample.max() - sample.min(), 10, 3,
+        SPAN, 10, 3,
     )
     return rounded(out, ["stat"])
 

@@ -424,15 +424,51 @@ def texture(spark, sf):
     return rounded(out, ["contrast", "energy", "homogeneity", "entropy", "correlation"])
 
 
-@query("decay_fit")
+# the same damped steps, all curves at once, one round a recursion
+DECAY = f"""{CORR}, cu AS (SELECT fov, label, a, list(CAST(d AS DOUBLE) ORDER BY d) AS ds, list(corr ORDER BY d) AS ys FROM co GROUP BY 1, 2, 3),
+    it AS (
+      SELECT fov, label, a, ds, ys, 0 AS i, CAST(0.005 AS DOUBLE) AS rate, CAST(0.001 AS DOUBLE) AS damping FROM cu
+      UNION ALL
+      SELECT fov, label, a, ds, ys, i + 1, CASE WHEN tried <= cost THEN rate + step ELSE rate END,
+        damping * CASE WHEN tried <= cost THEN 0.1 ELSE 10 END
+      FROM (SELECT *, list_sum(list_transform(list_zip(ds, ys), lambda p:
+                (exp(-0.5 * p[1]) * (p[2] - exp(-(rate + step) * p[1] * p[1]))) ** 2)) AS tried
+            FROM (SELECT *, CASE WHEN curvature > 0 THEN gain / (curvature * (1 + damping)) ELSE 0 END AS step
+                  FROM (SELECT *,
+                      list_sum(list_transform(ds, lambda d: (d * d * exp(-rate * d * d) * exp(-0.5 * d)) ** 2)) AS curvature,
+                      list_sum(list_transform(list_zip(ds, ys), lambda p: -p[1] * p[1] * exp(-rate * p[1] * p[1]) * exp(-p[1])
+                        * (p[2] - exp(-rate * p[1] * p[1])))) AS gain,
+                      list_sum(list_transform(list_zip(ds, ys), lambda p:
+                        (exp(-0.5 * p[1]) * (p[2] - exp(-rate * p[1] * p[1]))) ** 2)) AS cost
+                    FROM it WHERE i < 200)))),
+    rest AS (SELECT fov, label, a, rate, unnest(ds) AS d, unnest(ys) AS corr FROM it WHERE i = 200),
+    re AS (SELECT *, corr - exp(-rate * d * d) AS residual FROM rest)"""
+
+
+@query(
+    "decay_fit",
+    f"""WITH RECURSIVE {DECAY} SELECT fov, label, a, CAST(d AS INTEGER) AS d, round(rate, 5) AS rate, round(corr, 6) AS corr,
+          round(residual, 5) AS residual FROM re""",
+)
 def decay_fit(spark, sf):
-    return T.decay_residuals(correlations(spark, sf))
+    made = T.decay_residuals(correlations(spark, sf))
+    return rounded(rounded(made, ["corr"]), ["rate", "residual"], 5)
 
 
-@query("global_alignment")
+@query(
+    "global_alignment",
+    f"""WITH RECURSIVE {DECAY}, cv AS (SELECT fov, label, d, stddev_pop(corr) / (0.1 + (1 - 0.1) * avg(corr)) AS cv
+            FROM co GROUP BY 1, 2, 3),
+          m AS (SELECT fov, label, max(cv) AS cv FROM cv GROUP BY 1, 2),
+          pk AS (SELECT *, row_number() OVER (PARTITION BY fov, label ORDER BY residual DESC, d) AS nd,
+                   row_number() OVER (PARTITION BY fov, label ORDER BY residual DESC, a) AS na FROM re)
+        SELECT m.fov, m.label, round(cv, 6) AS "Maximum_Coefficient_Variation", round(x.residual, 5) AS "Peak_Height",
+          x.d AS "Peak_Distance", z.a * 180.0 / 5 AS "Peak_Angle"
+        FROM m JOIN pk x USING (fov, label) JOIN pk z USING (fov, label) WHERE x.nd = 1 AND z.na = 1""",
+)
 def global_alignment(spark, sf):
-    return T.global_alignment(whole_cells(spark, sf), levels=4, dmax=5, nangles=6)
-
+    made = T.global_alignment(whole_cells(spark, sf), levels=4, dmax=5, nangles=6)
+    return rounded(rounded(made, ["Maximum_Coefficient_Variation"]), ["Peak_Height"], 5)
 
 
 @query(

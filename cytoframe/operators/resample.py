@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +84,7 @@ def bootstrap(
     keys: Sequence[str],
     value: str,
     order_by: str,
-    stat: str | Callable = "median",
+    stat: str | Callable | Mergeable = "median",
     replicates: int = 1000,
     seed: int = 0,
     out: str = "stat",
@@ -87,14 +92,16 @@ def bootstrap(
     """One statistic per (keys, replicate).
 
     Named statistics (mean, sum, std, min, max, median, ``q<share>``) stay in the engine
-    and take groups of any size. A callable over a numpy array is applied per group in a
-    Python worker; it needs the whole sample, so it is for groups that fit one.
+    and take groups of any size, and so does a ``Mergeable``, whose parts are worked out where the rows are. A
+    plain callable over a numpy array needs the whole sample in one worker, so it is for groups that fit one.
     """
     drawn = bootstrap_weights(
         df.where(quoted(value).isNotNull()), keys, [value], order_by, replicates, seed
     ).withColumnRenamed(value, "__v__")
     by = [*keys, "replicate"]
     by_cols = [quoted(k) for k in by]
+    if isinstance(stat, Mergeable):
+        return _mergeable_statistic(drawn, by, stat, out)
     if callable(stat):
         return _python_statistic(drawn, by, stat, out)
     aggregate = _weighted(stat)
@@ -104,10 +111,55 @@ def bootstrap(
     return group_quantiles(drawn, by, "__v__", {out: share}, weight="__w__")
 
 
-def _python_statistic(drawn: DataFrame, by: list[str], stat: Callable, out: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
+@dataclass(frozen=True)
+class Mergeable:
+    """A statistic in parts, so that no worker ever holds a sample.
+
+    ``start()`` gives an empty state, ``add(state, values, times)`` takes numpy arrays of drawn values and how often each is
+    drawn, ``merge(a, b)`` joins two states and ``finish(state)`` gives the number. States have to be picklable and small.
+    """
+
+    start: Callable
+    add: Callable
+    merge: Callable
+    finish: Callable
+
+
+HELD_STATES = 50_000
+
+
+def _mergeable_statistic(drawn: DataFrame, by: list[str], stat: Mergeable, out: str) -> DataFrame:
+    """States of each partition's rows, a row each, merged by group: only states are shuffled."""
+    types = dict(drawn.dtypes)
+    keys = ", ".join(f"`{k}` {types[k]}" for k in by)
 
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def rows() -> pd.DataFrame:
+            made = [(*key, pickle.dumps(state)) for key, state in held.items()]
+            held.clear()
+            return pd.DataFrame(made, columns=[*by, "__state__"])
+
+        for batch in batches:
+            for key, part in batch.groupby(by, sort=False, dropna=False):
+                key = key if isinstance(key, tuple) else (key,)
+                state = held[key] if key in held else stat.start()
+                held[key] = stat.add(state, part["__v__"].to_numpy(), part["__w__"].to_numpy())
+            if len(held) > HELD_STATES:
+                yield rows()
+        if held:
+            yield rows()
+
+    def finished(part: pd.DataFrame) -> pd.DataFrame:
+        state = reduce(stat.merge, (pickle.loads(s) for s in part["__state__"]))
+        return part.iloc[:1][by].assign(**{out: float(stat.finish(state))})
+
+    states = drawn.select(*[quoted(k) for k in by], "__v__", "__w__").mapInPandas(partial, f"{keys}, __state__ binary")
+    return states.groupBy(*[quoted(k) for k in by]).applyInPandas(finished, f"{keys}, `{out}` double")
+
+
+def _python_statistic(drawn: DataFrame, by: list[str], stat: Callable, out: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sample = np.repeat(pdf["__v__"].to_numpy(), pdf["__w__"].to_numpy())
         row = pdf.iloc[:1][by].copy()

@@ -268,36 +268,49 @@ def max_variation(cv: DataFrame, keys: Sequence[str] = ("fov", "label")) -> Data
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _decay_rate(distances: pd.Series, curves: pd.Series, decay: pd.Series) -> pd.Series:
-    """Weighted least squares rate of exp(-a d^2) for a batch of curves, by damped steps."""
-    rates = []
-    for d, y, rate in zip(distances, curves, decay):
-        d, y = np.asarray(d, dtype="float64"), np.asarray(y, dtype="float64")
-        w = np.exp(-rate * d)
-        cost = lambda a: np.sum((w * (y - np.exp(-a * d * d))) ** 2)
-        a, damping, best = 0.005, 1e-3, None
-        best = cost(a)
-        for _ in range(200):
-            model = np.exp(-a * d * d)
-            slope = -d * d * model * w
-            gap = w * (y - model)
-            curvature = slope @ slope
-            if curvature == 0:
-                break
-            step = (slope @ gap) / (curvature * (1 + damping))
-            new = cost(a + step)
-            if new <= best:
-                done = abs(step) <= 1e-12 * max(1.0, abs(a))
-                a, best, damping = a + step, new, damping / 10
-                if done:
-                    break
-            else:
-                damping *= 10
-                if damping > 1e12:
-                    break
-        rates.append(a)
-    return pd.Series(rates)
+DECAY_STEPS = 200
+
+
+def decay_rates(distances: pa.Array, curves: pa.Array, decay: float) -> np.ndarray:
+    """Weighted least squares rate of exp(-a d^2) per curve: damped Gauss-Newton steps of all curves of a batch at once."""
+    size = distances.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    d, y, w = (np.zeros((len(size), int(size.max(initial=0)))) for _ in range(3))
+    d[row, place] = distances.flatten().to_numpy(zero_copy_only=False)
+    y[row, place] = curves.flatten().to_numpy(zero_copy_only=False)
+    w[row, place] = np.exp(-decay * d[row, place])
+    square = d * d
+
+    def cost(rate: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((w[at] * (y[at] - np.exp(-rate[:, None] * square[at]))) ** 2).sum(axis=1)
+
+    rate, damping = np.full(len(size), 0.005), np.full(len(size), 1e-3)
+    moving = np.arange(len(size))
+    best = cost(rate, moving)
+    for _ in range(DECAY_STEPS):
+        model = np.exp(-rate[moving, None] * square[moving])
+        slope = -square[moving] * model * w[moving]
+        curvature = (slope * slope).sum(axis=1)
+        steep = curvature > 0
+        moving, curvature = moving[steep], curvature[steep]
+        if not len(moving):
+            break
+        gain = (slope[steep] * (w[moving] * (y[moving] - model[steep]))).sum(axis=1)
+        step = gain / (curvature * (1 + damping[moving]))
+        tried = cost(rate[moving] + step, moving)
+        better = tried <= best[moving]
+        done = better & (np.abs(step) <= 1e-12 * np.maximum(1.0, np.abs(rate[moving])))
+        rate[moving[better]] += step[better]
+        best[moving[better]] = tried[better]
+        damping[moving] *= np.where(better, 0.1, 10.0)
+        moving = moving[~done & (damping[moving] <= 1e12)]
+    return rate
+
+
+@F.arrow_udf(T.DoubleType())
+def _decay_rate(distances: pa.Array, curves: pa.Array, decay: pa.Array) -> pa.Array:
+    return pa.array(decay_rates(distances, curves, decay[0].as_py() if len(decay) else 0.0))
 
 
 def decay_residuals(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,6 +221,19 @@ def annotation_checks(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return stack(rows)
 
 
+def cell_checks(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], known: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """Checks of the rows: every cell is named once, columns hold known names only, and every feature is measured in every cell."""
+    named = df.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("__n__"))
+    listed = reduce(lambda a, b: a & b, [F.coalesce(quoted(c).isin(*names), F.lit(False)) for c, names in known.items()])
+    return stack([
+        check("cells named once", named, F.count("*"), F.coalesce(F.sum("__n__"), F.lit(0))),
+        check("probes known", df, F.count_if(listed), F.count("*")),
+        check("features measured", df, non_null_total(features), F.count("*") * len(features)),
+    ])
+
+
 def small_table(df: DataFrame) -> DataFrame:
     """A handful of features with aspect ratio and mean expert score."""
     chosen = keep_existing(df, [*SMALL_OBS, *SMALL_FEATURES])

@@ -219,3 +219,39 @@ def test_ranks_of_groups_cut_by_partitions(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_statistics_in_parts_are_merged_over_tasks(spark):
+    """A group split over many tasks: states are merged, and no task adds more than its own rows."""
+    from cytoframe.operators import resample
+
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 1.0).alias("v"), "id").repartition(7)
+    largest = resample.Mergeable(
+        start=lambda: (0, 0.0, 0),
+        add=lambda s, values, times: (s[0] + int(times.sum()), s[1] + float((values * times).sum()), max(s[2], len(values))),
+        merge=lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),
+        finish=lambda s: s[1] / s[0] + (1e9 if s[2] >= 1000 else 0),
+    )
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["k"], r["replicate"]): r["stat"] for r in resample.bootstrap(rows, ["k"], "v", "id", largest, 3, 1).collect()}
+        want = {(r["k"], r["replicate"]): r["stat"] for r in resample.bootstrap(rows, ["k"], "v", "id", "mean", 3, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(got) == 6 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_decay_rates_of_a_batch_rest(spark):
+    """Curves of several lengths fitted together: the weighted squares do not fall to either side."""
+    import pyarrow as pa
+
+    from cytoframe.operators.texture import decay_rates
+
+    draw = np.random.default_rng(4)
+    curves = [(np.arange(n), np.exp(-a * np.arange(n) ** 2) + draw.normal(size=n) * 0.02)
+              for n in (3, 6, 33) for a in (0.002, 0.05, 0.7)]
+    rates = decay_rates(pa.array([d for d, _ in curves], pa.list_(pa.int64())), pa.array([y for _, y in curves], pa.list_(pa.float64())), 0.5)
+    for (d, y), rate in zip(curves, rates):
+        cost = lambda a: ((np.exp(-0.5 * d) * (y - np.exp(-a * d * d))) ** 2).sum()
+        assert cost(rate) <= min(cost(rate - 1e-5), cost(rate + 1e-5)) + 1e-15
