@@ -55,5 +55,37 @@ def arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return rows.mapInArrow(run, schema)
 
 
+def stream_past(
+    held: DataFrame, asked: DataFrame, keys: list[str], start: Callable[[pa.Table], object],
+    search: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, parts: int,
+) -> DataFrame:
+    """Let the rows of ``asked`` pass the ``held`` rows of their group.
+
+    Every held row goes to one place. There a group's held rows come first and become a state once, by ``start``; then the
+    asked rows of the group stream by in Arrow batches, each searched with that state. A task's memory is
+    one group's held rows and a batch, however many rows ask. Groups without held rows give nothing.
+    """
+    both = held.withColumn("__asks__", F.lit(0)).unionByName(asked.withColumn("__asks__", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition(parts, *keys).sortWithinPartitions(*keys, "__asks__")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, state = None, [], None
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in (*keys, "__asks__"))))
+            edges = [i for i in range(len(place)) if not i or place[i] != place[i - 1]]
+            for a, b in zip(edges, [*edges[1:], len(place)]):
+                if place[a][:-1] != now:
+                    now, rows, state = place[a][:-1], [], None
+                piece = batch.slice(a, b - a)
+                if not place[a][-1]:
+                    rows.append(piece)
+                elif rows or state is not None:
+                    if state is None:
+                        state, rows = start(pa.Table.from_batches(rows)), []
+                    yield from search(state, piece)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,8 @@ Edges are also drawn back, and overfull nodes pruned again. All rows are indexed
 the shared folder, so lost tasks search it again.
 
 A query's beam search runs in every shard; its best rows are scored anew in double precision. Inner products
-become distances by one more component that makes all norms of a shard equal. Queries meet shards in blocks
-of bounded size.
+become distances by one more component that makes all norms of a shard equal. The index is read once: a task holds
+one shard's graph while the queries stream past it.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part; a
 shorter vector counts as padded with zeros; rows with one id count once (the greatest vector); null ids take
@@ -20,14 +20,16 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cytoframe.llm.common import table, written
+from cytoframe.llm.common import stream_past, table, width, written
 
 DEGREE = 32
 BUILD_BEAM = 48
@@ -195,38 +197,37 @@ def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _searched(group: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    asked = group[group["is_query"]]
-    held = group[~group["is_query"]].sort_values("node")
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-        {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-    )
-    if asked.empty or held.empty:
-        return none
-    asked = asked.assign(order=[tuple(v) for v in asked["vector"]])
-    asked = asked.sort_values(["id", "order"]).drop_duplicates("id", keep="last")
-    dim = max(max(len(v) for v in held["vector"]), max(len(v) for v in asked["vector"]))
-    vectors, queries = _matrix(held["vector"], dim), _matrix(asked["vector"], dim)
-    points, n = _lifted(vectors), len(held)
-    graph = np.full((n + 1, DEGREE), n, dtype=np.int64)
-    for i, neighbours in enumerate(held["neighbours"]):
-        graph[i, : len(neighbours)] = neighbours
-    lengths = np.sqrt((queries**2).sum(1, keepdims=True))
-    flat = np.concatenate([queries / lengths, np.zeros((len(queries), 1))], 1).astype(np.float32)
-    squares = np.einsum("ij,ij->i", points, points)
-    ids, own = held["ids"].tolist(), asked["id"].to_numpy()
-    out = []
-    for at in range(0, len(queries), AT_ONCE):
-        met, _ = beam_search(points, squares, graph, 0, flat[at : at + AT_ONCE], max(beam, k + 1))
-        for i, nodes in enumerate(met):
-            nodes = nodes[nodes < n]
-            scores = (vectors[nodes] * queries[at + i]).sum(1)
-            best = np.lexsort((nodes, -scores))[: k + 1]
-            # a node's smallest ids are enough, one may be the query's own
-            rows = [(v, s) for j, s in zip(nodes[best], scores[best]) for v in ids[j][: k + 1] if v != own[at + i]]
-            rows.sort(key=lambda r: (-r[1], r[0]))
-            out += [(own[at + i], v, s) for v, s in rows[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
+class _Shard:
+    """A shard's graph, ready for searches."""
+
+    def __init__(self, held: pa.Table) -> None:
+        held = held.sort_by("node")
+        self.ids = held.column("ids").to_pylist()
+        vectors = held.column("vector").to_pylist()
+        self.vectors = _matrix(vectors, max(map(len, vectors)))
+        self.points = _lifted(self.vectors)
+        self.squares = np.einsum("ij,ij->i", self.points, self.points)
+        self.graph = np.full((len(vectors) + 1, DEGREE), len(vectors), dtype=np.int64)
+        for i, neighbours in enumerate(held.column("neighbours").to_pylist()):
+            self.graph[i, : len(neighbours)] = neighbours
+
+    def search(self, own: list[int], vectors: list[list[float]], k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """(query id, id, score) of the best rows met by each query; components beyond the shard's count for nothing."""
+        n, dim = self.vectors.shape
+        queries = _matrix(vectors, max(dim, max(map(len, vectors))))
+        lengths = np.sqrt((queries**2).sum(1, keepdims=True))
+        queries, unit = queries[:, :dim], (queries / lengths)[:, :dim]
+        flat = np.concatenate([unit, np.zeros((len(queries), 1))], 1).astype(np.float32)
+        for at in range(0, len(queries), AT_ONCE):
+            met, _ = beam_search(self.points, self.squares, self.graph, 0, flat[at : at + AT_ONCE], max(beam, k + 1))
+            for i, nodes in enumerate(met):
+                nodes = nodes[nodes < n]
+                scores = (self.vectors[nodes] * queries[at + i]).sum(1)
+                best = np.lexsort((nodes, -scores))[: k + 1]
+                # a node's smallest ids are enough, one may be the query's own
+                rows = [(v, s) for j, s in zip(nodes[best], scores[best]) for v in self.ids[j][: k + 1] if v != own[at + i]]
+                rows.sort(key=lambda r: (-r[1], r[0]))
+                yield from ((own[at + i], v, s) for v, s in rows[:k])
 
 
 def build_index(vectors: DataFrame, shard_rows: int = 4096) -> tuple[DataFrame, int]:
@@ -236,22 +237,21 @@ def build_index(vectors: DataFrame, shard_rows: int = 4096) -> tuple[DataFrame,
     return written(dealt.groupBy("shard").applyInPandas(_indexed, INDEX), "graph"), shards
 
 
-def graph_search(
-    index: DataFrame, shards: int, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, block_rows: int = 2048
-) -> DataFrame:
+def graph_search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the nearest rows found in all shards."""
-    blocks = max(1, math.ceil(queries.count() / block_rows))
-    held = index.select(
-        F.lit(None).cast("long").alias("id"), "vector", "shard", "node", "ids", "neighbours",
-        F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    asked = queries.select(
-        "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.lit(None).cast("int").alias("node"), F.lit(None).cast("array<bigint>").alias("ids"),
-        F.lit(None).cast("array<int>").alias("neighbours"), F.lit(True).alias("is_query"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
-    )
-    found = held.unionByName(asked).groupBy("shard", "block").applyInPandas(lambda g: _searched(g, k, beam), FOUND)
+    alone = queries.groupBy("id").agg(F.max("vector").alias("vector"))
+    asked = alone.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def search(shard: _Shard, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own, vectors = (batch.column(c).to_pylist() for c in ("id", "vector"))
+        rows = list(shard.search(own, vectors, k, beam))
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["query_id", "vec_id", "score"]
+            )
+
+    found = stream_past(index, asked, ["shard"], _Shard, search, FOUND, max(shards, width(index.sparkSession)))
     ranked = found.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     )

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cytoframe.llm.exact_search import OP1_SQL, exact_top_k, kd_leaves, op1_exact_top_k, whole_vectors
+from cytoframe.llm.exact_search import OP1_SQL, Tree, exact_top_k, op1_exact_top_k, whole_vectors
 from cytoframe.llm.graph_search import build_index, graph_search, op4_graph_search, usable_vectors
 from tests.compare import compare, connect
 
@@ -40,7 +40,7 @@ def test_exact_search_over_shards_and_blocks(spark):
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
     }
     asked = {i: v for i, v in vectors.items() if i % 50 == 0}
-    got = exact_top_k(df, df.where("id % 50 = 0"), 5, shard_rows=100, block_rows=5)
+    got = exact_top_k(df, df.where("id % 50 = 0"), 5, shard_rows=100)
     assert sorted(map(tuple, got.collect())) == brute(vectors, asked, 5)
 
 
@@ -56,7 +56,7 @@ def test_exact_search_of_huge_values(spark):
 
 def test_leaves_hold_every_row_once():
     points = np.random.default_rng(0).normal(size=(1000, 3))
-    leaves = kd_leaves(points, 64)
+    leaves = Tree(points, 64).leaves()
     assert sorted(np.concatenate(leaves)) == list(range(1000)) and max(map(len, leaves)) <= 64
 
 
@@ -78,7 +78,7 @@ def test_graph_search_recall(spark):
     assert shards == 3
     # every row is indexed
     assert sorted(i for r in index.select("ids").collect() for i in r.ids) == sorted(vectors)
-    got = graph_search(index, shards, df.where("id % 20 = 0"), 20, block_rows=10).collect()
+    got = graph_search(index, shards, df.where("id % 20 = 0"), 20).collect()
     ids = np.array(sorted(vectors))
     matrix = np.stack([vectors[i] for i in ids])
     hits = 0
@@ -106,3 +106,33 @@ def test_graph_search_of_common_vectors(spark):
     for q in (0, 400, 680):
         mine = [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
         assert mine[len(nearer):] == [i for i in same if i != q][: 20 - len(nearer)]
+
+
+def test_every_row_is_sent_to_one_shard(spark, monkeypatch):
+    """However many queries ask, an index row is sent once a pass, and queries skip cells that cannot reach their kth score."""
+    from cytoframe.llm import exact_search, graph_search as graphs
+
+    sent = []
+    plain = exact_search.stream_past
+
+    def counted(held, asked, *rest):
+        sent.append((held.count(), asked.count()))
+        return plain(held, asked, *rest)
+
+    monkeypatch.setattr(exact_search, "stream_past", counted)
+    monkeypatch.setattr(graphs, "stream_past", counted)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(16, 6)) * 4
+    rows = [(i, (centres[i % 16] + draw.normal(size=6) * 0.2).astype("f4").tolist(), "s", 1) for i in range(2000)]
+    df = whole_vectors(spark.createDataFrame(rows, SCHEMA))
+    asked = df.where("id % 4 = 0")
+    got = exact_top_k(df, asked, 5, shard_rows=125)
+    vectors = {r.id: r.vector for r in df.collect()}
+    assert sorted(map(tuple, got.collect())) == brute(vectors, {i: v for i, v in vectors.items() if i % 4 == 0}, 5)
+    assert [h for h, _ in sent] == [2000, 2000]
+    assert sent[1][1] < 500 * 15 / 2
+    sent.clear()
+    near = usable_vectors(spark.createDataFrame(rows, SCHEMA))
+    index, shards = build_index(near, shard_rows=500)
+    graph_search(index, shards, near.where("id % 4 = 0"), k=3).count()
+    assert [h for h, _ in sent] == [index.count()] and sent[0][1] == 500 * shards
