@@ -219,8 +219,10 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
     )
     anchors = written(arrow(texts, lambda b: _anchored(b, length, gram), ANCHORS), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    # written, so that the join is one of its own and adaptive execution can split a hot anchor
+    shared = written(shared.where("low <> high").select("anchor"), "shared")
     wanted = (
-        anchors.join(shared.where("low <> high").select("anchor"), "anchor")
+        anchors.join(shared, "anchor")
         .groupBy("content")
         .agg(F.collect_set(F.struct("anchor", "first", "windows", "place")).alias("runs"))
     )

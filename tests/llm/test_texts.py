@@ -16,6 +16,7 @@ from cytoframe.llm.html_text import main_text, op7_html_extraction
 from cytoframe.llm.near_duplicates import keep_one_of_each, near_duplicates, op10_minhash
 from cytoframe.llm.suffix_arrays import permuted_prefixes, suffix_array
 import cytoframe.llm.suffix_arrays as suffix_arrays
+from cytoframe.llm import suffix_dedup
 from cytoframe.llm.suffix_dedup import op8_suffix_array, remove_repeats, repeated_windows
 from cytoframe.llm.toxicity import marginals, op2_toxicity, score_toxicity, toxicity_model
 from cytoframe.llm.unit_dedup import OP6_SQL, drop_repeated_units, op6_unit_dedup
@@ -170,6 +171,34 @@ def test_articles_in_comments_and_side_by_side():
         assert main_text(page) == want, page
 
 
+def test_class_names_count_as_a_whole():
+    body = "<p>" + "The article says something in so many words. " * 4 + "</p>"
+    said = ("The article says something in so many words. " * 4).strip()
+    for name, extra, kept in (
+        ("p", "class='share price'", True), ("div", "class=ad-vantages", True), ("div", "class='share-price'", True),
+        ("p", "class=notice", True), ("div", "class=commentary", True), ("div", "id=research", True),
+        ("div", "class=ad-slot", False), ("div", "class='share buttons'", False), ("p", "class=advert", False),
+        ("div", "class='cookie-banner top'", False), ("section", "class=related-posts", False), ("div", "class=ad_300", False),
+    ):
+        page = f"<article>{body}<{name} {extra}>What stands here.</{name}>{body}</article>"
+        want = f"{said}\nWhat stands here.\n{said}" if kept else f"{said}\n{said}"
+        assert main_text(page) == want, extra
+
+
+def test_lists_of_links_inside_a_text_stay():
+    text = "A paragraph of the page that is long enough to weigh something in every count of characters there may be. " * 2
+    links = "".join(f"<li><a href=/{i}>a link to page {i}</a></li>" for i in range(6))
+    listed = "\n".join(f"a link to page {i}" for i in range(6))
+    first, second = text.strip(), (text * 2).strip()
+    page = f"<body><div><p>{first}</p><ul>{links}</ul><p>{second}</p></div></body>"
+    assert main_text(page) == f"{first}\n{listed}\n{second}"
+    page = f"<body><div><h1>Headline</h1><ul>{links}</ul><p>{second}</p></div></body>"
+    assert main_text(page) == f"Headline\n{listed}\n{second}"
+    # a menu before the text, in a block of its own or beside it, is none of it
+    for menu in (f"<div><p>Site</p><ul>{links}</ul></div>", f"<ul>{links}</ul>"):
+        assert main_text(f"<body>{menu}<div><p>{first}</p><p>{second}</p></div></body>") == f"{first}\n{second}"
+
+
 def test_pages_by_hand(spark, folder):
     for page, want in PAGES:
         if want is not None:
@@ -326,14 +355,27 @@ def test_removal_equals_brute_force(spark, hot):
     assert Counter((r.doc_id, bytes(r.bytes), bytes(r.kept), tuple((s.start, s.end) for s in r.spans)) for r in got) == want
 
 
-def test_supplied_byte_strings(spark, folder):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    got = {r.doc_id: r for r in op8_suffix_array(spark, SF).collect()}
+@pytest.mark.parametrize("sf, hot", [("sf0.001", 4096), ("sf0.01", 4096), ("sf0.01", 3)])
+def test_supplied_byte_strings(spark, folder, sf, hot):
+    """Whole tables against all windows; with a small ``hot`` many anchors are counted instead of sorted."""
+    path = f"/root/testdata/{sf}/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text").collect()
+    if hot == suffix_dedup.HOT:
+        got = {r.doc_id: r for r in op8_suffix_array(spark, f"/root/testdata/{sf}").collect()}
+    else:
+        made = remove_repeats(spark.read.parquet(path), hot=hot)
+        got = {r.doc_id: r for r in made.select(
+            "doc_id", F.octet_length("bytes").alias("n_bytes"), (F.octet_length("bytes") - F.octet_length("kept")).alias("n_removed"),
+            F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).collect()}
+    assert len(got) == len(docs)
+    removed = 0
     for d, (kept, spans) in zip(docs, plain_removal([d.text for d in docs], 400)):
         r = got[d.doc_id]
         size = len(d.text.encode())
         assert (r.n_bytes, r.n_removed, r.n_spans) == (size, size - len(kept), len(spans))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+        removed += size > len(kept)
+    assert removed > (100 if sf == "sf0.01" else 10)
     assert op8_suffix_array(spark, folder(documents=frame(spark, []))).collect() == []
 
 
