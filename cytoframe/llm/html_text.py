@@ -7,7 +7,9 @@ text surges backwards and dives forwards where a whole window weighs nothing; wh
 kept. Where the heaviest window stands in an ``article`` or ``main`` element, surge and dive go over the
 lines of all such elements, and every line of one that has text weighs something: the edges of the
 elements bound the text, short first and last paragraphs are not lost, nor are further articles. A
-comment's own ``article`` is boilerplate, and so is all that a comments block holds up to its end tag.
+comment's own ``article`` is boilerplate, and so is all that a comments block holds up to its end tag. Names of
+classes count as a whole, or in compounds with words of layout: ``ad-slot`` marks an advert, ``ad-vantages`` does not. A
+list of links between two stretches of text in one container belongs to the text.
 
 Defined cases: null or empty html, and a page with boilerplate only, give the empty text; markup
 that is cut off or never closed is read as far as it goes, and a block of boilerplate without an end tag
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -35,7 +38,7 @@ TAG = re.compile(
     re.S,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[-_:./]+|(?<=[a-z])(?=\d)")
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title"}
 CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -47,13 +50,27 @@ BLOCKS = set(
 BOILERPLATE = set("head nav aside footer form button select dialog menu".split())
 MAIN = {"article", "main"}
 NEVER = MAIN | {"html", "body"}
-#: words of a class, id or role that mark boilerplate
-MARKS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
-    "gdpr notice notices sidebar widget comment comments disqus respond menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer share sharing social related newsletter subscribe popup modal login search complementary "
-    "contentinfo".split()
+#: names of a class, id or role that mark boilerplate wherever they stand
+SURE = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr sidebar "
+    "comments disqus navbar navigation breadcrumb breadcrumbs newsletter popup complementary contentinfo".split()
 )
+#: these may also be words about a paragraph, so inside an article they count only on a container that has no other name
+MARKS = SURE | set(
+    "banner notice notices widget comment respond menu nav footer share sharing social related subscribe modal login search".split()
+)
+#: a mark may stand with these in one name, such as ad-slot; with any other part the name is about something else
+FRAME = set(
+    "area bar block body bottom box btn btns button buttons card cell center col column container content desktop div form frame "
+    "grid header holder icon icons inline inner item items label left link links list listing main mobile module number outer "
+    "overlay page panel post posts prompt right row section sign signup site slot small stack strip sub text tile title "
+    "tools top unit up wide wrap wrapper zone".split()
+)
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figure figcaption table ul ol dl em strong b i a".split())
+CONTAINERS = set("div section td center dd details fieldset th".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: code points of text on either side that make a list of links a part of it
+HEAVY = 100
 #: these mark boilerplate only outside the article, inside it they hold its headline
 OUTER_MARKS = {"header", "masthead"}
 
@@ -127,27 +144,52 @@ def _tags(html: str) -> tuple[list[tuple[re.Match, int]], list[int], list[bool],
     return tags, ends, [n in own for n in range(len(tags))], mains
 
 
+@lru_cache(maxsize=10_000)
+def _mark(name: str) -> str:
+    """What one name of a class, id or role says: ``sure``, ``mark``, ``frame``, ``outer`` or nothing."""
+    parts = [p for p in PART.split(name) if p and not p.isdigit()]
+    if not parts or any(p not in MARKS and p not in FRAME and p not in OUTER_MARKS for p in parts):
+        return ""
+    if any(p in SURE for p in parts):
+        return "sure"
+    if any(p in MARKS for p in parts):
+        return "mark"
+    return "outer" if OUTER_MARKS & set(parts) else "frame"
+
+
 def _is_boilerplate(name: str, attributes: str, in_main: bool) -> bool:
     if name in BOILERPLATE or (name == "header" and not in_main):
         return True
     if name in NEVER or "=" not in attributes:
         return False
-    words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & MARKS) or (not in_main and bool(words & OUTER_MARKS))
+    for m in NAMES.finditer(attributes):
+        said = [_mark(n) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+        if "sure" in said:
+            return True
+        if not in_main and ("mark" in said or "outer" in said):
+            return True
+        if in_main and name not in PROSE and "mark" in said and "" not in said:
+            return True
+    return False
+
 
+def page_lines(html: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, weight, number of the article or main element or 0, number of its container or 0, is a heading) per line.
 
-def page_lines(html: str) -> list[tuple[str, int, int]]:
-    """(text, weight, number of the article or main element or 0) per line; weight -1 marks boilerplate."""
-    lines: list[tuple[str, int, int]] = []
+    Weight -1 marks boilerplate.
+    """
+    lines: list[tuple[str, int, int, int, bool]] = []
+    containers: list[tuple[int, int]] = []
     parts: list[str] = []
     linked = position = mains = depth = inside = links = 0
-    skipped = closed = False
+    skipped = closed = heading = titled = False
+    place = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked), inside))
+            lines.append((text, max(0, len(text) - linked), inside, place, titled))
         parts.clear()
         linked = 0
 
@@ -158,6 +200,8 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
         if text and not skipped:
             parts.append(text)
             linked += len(text) if links else 0
+            if not text.isspace():
+                place, titled = containers[-1][0] if containers else 0, heading
         position = after
         if not tag or not tag[2]:
             continue
@@ -175,6 +219,10 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
                 continue
         if name in BLOCKS:
             end_line()
+        while containers and containers[-1][1] <= number:
+            containers.pop()
+        if name in HEADINGS:
+            heading = not closing
         if name == "a":
             links = 0 if closing else 1
         if name in MAIN and (closing or not _is_comment(name, attributes)):
@@ -189,34 +237,63 @@ def page_lines(html: str) -> list[tuple[str, int, int]]:
         elif not closing and name not in VOID and (name in MAIN or _is_boilerplate(name, attributes, bool(depth))):
             end_line()
             if not lines or lines[-1][1] >= 0:  # a run of boilerplate is one break in the text
-                lines.append(("", -1, inside))
+                lines.append(("", -1, inside, 0, False))
             skipped, stop, closed, links = True, ends[number], own[number], 0
+        elif not closing and name in CONTAINERS:
+            containers.append((number + 1, ends[number]))
     end_line()
     return lines
 
 
+def _bridged(lines: list[tuple], weights: np.ndarray) -> np.ndarray:
+    """Weights where lists of links inside a text weigh something.
+
+    A run of lines that are links only is a part of the text if it stands in one container with what is before and after it: text of
+    ``HEAVY`` code points on both sides, or a heading before.
+    """
+    weights = weights.copy()
+    light = np.array([bool(t) and w == 0 for t, w, *_ in lines])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], light, [False]]).astype(int)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if a == 0 or b == len(lines):
+            continue
+        place = lines[a][3]
+        if not place or any(line[3] != place for line in lines[a - 1 : b + 1]):
+            continue
+        before, after = a, b
+        while before > 0 and weights[before - 1] > 0:
+            before -= 1
+        while after < len(lines) and weights[after] > 0:
+            after += 1
+        if weights[b:after].sum() >= HEAVY and (weights[before:a].sum() >= HEAVY or lines[a - 1][4]):
+            weights[a:b] = 1
+    return weights
+
+
 def main_text(html: str, window: int = 3) -> str:
     """The text between the surge and the dive around the heaviest window of lines."""
     lines = page_lines(html)
-    weights = np.array([max(0, w) for _, w, _ in lines], dtype=np.int64)
+    weights = np.array([max(0, w) for _, w, *_ in lines], dtype=np.int64)
     if not weights.any():
-        kept = [t for t, _, inside in lines if t and inside]
+        kept = [t for t, _, inside, *_ in lines if t and inside]
         return "\n".join(kept)
     sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]
     peak = int(sums.argmax())
     peak += int(weights[peak : peak + window].argmax())
     if lines[peak][2]:
         # over the lines of all articles; each of one that has text weighs something
-        full = {inside for _, w, inside in lines if w > 0}
-        lines, peak = [line for line in lines if line[2]], sum(bool(inside) for _, _, inside in lines[:peak])
-        lines = [(t, max(0, w), inside) for t, w, inside in lines]
+        full = {inside for _, w, inside, *_ in lines if w > 0}
+        lines, peak = [line for line in lines if line[2]], sum(bool(line[2]) for line in lines[:peak])
+        lines = [(t, max(0, w), inside) for t, w, inside, *_ in lines]
         weights = np.array([w or inside in full for _, w, inside in lines], dtype=np.int64)
+    else:
+        weights = _bridged(lines, weights)
     start, end = peak, peak + 1
     while start > 0 and weights[max(0, start - window) : start].any():
         start -= 1
     while end < len(lines) and weights[end : end + window].any():
         end += 1
-    return "\n".join(t for t, w, inside in lines[start:end] if t and w >= 0)
+    return "\n".join(line[0] for line in lines[start:end] if line[0] and line[1] >= 0)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
