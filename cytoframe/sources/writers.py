@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -109,22 +110,91 @@ def catalog(
     return semi(named, present, ["dataset"])
 
 
+PART = "cytoframe_part"
+
+
+def _in_parts(table: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the part that their content puts them in, and per part its number of rows and digest, whatever their order."""
+    columns = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in table.schema.fields]
+    kind = F.lit(table.schema.json())
+    tagged = table.withColumn(PART, F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int"))
+    whole = lambda seed: F.sum(F.xxhash64(F.lit(seed), kind, *columns).cast("decimal(38,0)")).cast("string")
+    digests = tagged.groupBy(PART).agg(
+        F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), whole(1), whole(2)), 256).alias("digest")
+    )
+    return tagged, digests
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The parts (part, rows, digest, folder) of the latest complete version, or None. A version is there once its manifest is."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        every = spark.read.schema("part int, rows long, digest string, folder string, parts int, version int").parquet(f"{root}/manifest")
+        latest = every.agg(F.max("version")).first()[0]
+    except AnalysisException:  # no folder yet
+        return None
+    return None if latest is None else every.where(F.col("version") == latest)
+
+
+def publish_changes(table: DataFrame, root: str, parts: int = 64) -> int:
+    """Write the parts of a table whose content is new, then a manifest that names all its parts. Returns how many were written.
+
+    Parts are made of rows by their content, so an unchanged row lies in the same part in every version, and a part with the
+    same digest is not written again. Files are never replaced and the manifest comes last: a run that breaks
+    off leaves the version before it readable, and so does one that goes on while others read. At most ``parts`` rows
+    reach the driver; later versions keep the first one's number of parts.
+    """
+    spark, root = table.sparkSession, root.rstrip("/")
+    before = manifest(spark, root)
+    rows = before.collect() if before is not None else []
+    version = rows[0]["version"] + 1 if rows else 1
+    parts = rows[0]["parts"] if rows else parts
+    tagged, digests = _in_parts(table, parts)
+    kept = {r["part"]: r for r in rows}
+    found = {r[PART]: r for r in digests.collect()}
+    new = [p for p, r in found.items() if p not in kept or kept[p]["digest"] != r["digest"]]
+    if rows and not new and found.keys() == {p for p in kept if p >= 0}:
+        return 0
+    folder = f"data/{uuid.uuid4().hex}"
+    if new:
+        tagged.where(F.col(PART).isin(new)).write.partitionBy(PART).parquet(f"{root}/{folder}")
+    named = [
+        (p, r["rows"], r["digest"], f"{folder}/{PART}={p}" if p in new else kept[p]["folder"], parts) for p, r in sorted(found.items())
+    ]
+    if not named:  # a table without rows still has columns: a part of no rows stands for them
+        table.limit(0).write.parquet(f"{root}/{folder}")
+        named = [(-1, 0, "", folder, parts)]
+    listed = spark.createDataFrame(named, "part int, rows long, digest string, folder string, parts int")
+    listed.coalesce(1).write.parquet(f"{root}/manifest/version={version}")
+    return len(new)
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the latest complete version."""
+    parts = manifest(spark, root.rstrip("/"))
+    if parts is None:
+        raise ValueError(f"nothing is published in {root}")
+    return spark.read.parquet(*[f"{root.rstrip('/')}/{r['folder']}" for r in parts.select("folder").collect()])
+
+
 def consolidate(
-    spark: SparkSession, entries: DataFrame, source: str, target: str, at_once: int = 4
-) -> int:
-    """Copy every catalogued dataset table under its published name. Returns their number.
+    spark: SparkSession, entries: DataFrame, source: str, target: str, at_once: int = 4, parts: int = 64
+) -> dict[str, int]:
+    """Bring every catalogued dataset table up to date under its published name; how many parts of each were written.
 
-    The catalogue is paged to the driver; ``at_once`` copies run side by side.
+    The catalogue is paged to the driver; ``at_once`` datasets are looked at side by side. Only parts whose content is
+    new are written.
     """
-    def copy(row) -> None:
+    def update(row) -> tuple[str, int]:
         table = read_published(spark, f"{source.rstrip('/')}/{row['dataset']}")
-        table.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{row['published']}/table")
+        return row["published"], publish_changes(table, f"{target.rstrip('/')}/{row['published']}", parts)
 
-    copied, rows = 0, entries.orderBy("published").toLocalIterator()
+    written, rows = {}, entries.orderBy("published").toLocalIterator()
     with ThreadPoolExecutor(at_once) as pool:
         while page := list(islice(rows, 16 * at_once)):
-            copied += len(list(pool.map(copy, page)))
-    return copied
+            written.update(pool.map(update, page))
+    return written
 
 
 def extract_rows(df: DataFrame, key: str, n: int = 2, seed: int = 0) -> DataFrame:

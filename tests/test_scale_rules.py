@@ -255,3 +255,62 @@ def test_decay_rates_of_a_batch_rest(spark):
     for (d, y), rate in zip(curves, rates):
         cost = lambda a: ((np.exp(-0.5 * d) * (y - np.exp(-a * d * d))) ** 2).sum()
         assert cost(rate) <= min(cost(rate - 1e-5), cost(rate + 1e-5)) + 1e-15
+
+
+def plain_components(mask, corners):
+    """Flood fill with the first pixel in row order as name."""
+    names = {}
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if corners else [])
+    for y, x in zip(*np.nonzero(mask)):
+        if (y, x) in names:
+            continue
+        todo = [(y, x)]
+        names[y, x] = (int(y) << 32) + int(x)
+        while todo:
+            cy, cx = todo.pop()
+            for dy, dx in steps:
+                at = (cy + dy, cx + dx)
+                if 0 <= at[0] < mask.shape[0] and 0 <= at[1] < mask.shape[1] and at not in names and mask[at] == mask[cy, cx]:
+                    names[at] = names[y, x]
+                    todo.append(at)
+    return {(int(a), int(b)): v for (a, b), v in names.items()}
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+@pytest.mark.parametrize("tile", [1, 5, 256])
+def test_components_over_tile_borders(spark, connectivity, tile):
+    import pandas as pd
+
+    draw = np.random.default_rng(tile)
+    images = [draw.integers(0, 3, (17, 23)), (draw.random((9, 40)) < 0.6).astype(int), np.ones((12, 12), dtype=int)]
+    rows = [(f, y, x, int(m[y, x])) for f, m in enumerate(images) for y in range(m.shape[0]) for x in range(m.shape[1])]
+    px = spark.createDataFrame(pd.DataFrame(rows, columns=["fov", "y", "x", "label"]))
+    got = {}
+    for r in CO.connected_components(px, ["fov"], "label", "c", connectivity, tile).collect():
+        got.setdefault(r["fov"], {})[r["y"], r["x"]] = r["c"]
+    for f, mask in enumerate(images):
+        assert got[f] == plain_components(mask, connectivity == 8)
+
+
+def test_spiral_of_a_thousand_columns(spark, monkeypatch):
+    """One winding path of half a million pixels: the rounds grow with the tiles, not with the path."""
+    import pandas as pd
+
+    n = 1024
+    mask = np.zeros((n, n), dtype=bool)
+    top, left, bottom, right = 0, 0, n - 1, n - 1
+    mask[0, :] = True
+    while top <= bottom and left <= right:  # two pixels apart, each turn joined to the one inside it
+        mask[top, left : right + 1] = mask[top : bottom + 1, right] = mask[bottom, left : right + 1] = True
+        mask[top + 2 : bottom + 1, left] = True
+        if left + 1 <= right and top + 2 <= bottom:
+            mask[top + 2, left + 1] = True
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    y, x = np.nonzero(mask)
+    px = spark.createDataFrame(pd.DataFrame({"fov": 1, "y": y, "x": x, "m": 1}))
+    written = []
+    plain = CO.materialise
+    monkeypatch.setattr(CO, "materialise", lambda df: written.append(1) or plain(df))
+    got = CO.connected_components(px, ["fov"], "m", "c", 4)
+    assert got.count() == len(y) and got.select("c").distinct().collect() == [(0,)]
+    assert len(written) <= 12

@@ -391,8 +391,36 @@ def test_publish_and_catalog(spark, tmp_path):
     with pytest.raises(ValueError, match="does not exist"):
         SW.catalog(names, {"p/one": "two"}, names.where("dataset = 'o/one'"))
     entries = SW.catalog(names.where("dataset = 'o/one'"), {"o/one": "first"}, names)
-    assert SW.consolidate(spark, entries, str(tmp_path), str(tmp_path / "all")) == 1
-    assert SR_read(spark, tmp_path / "all/first").count() == 1
+    assert SW.consolidate(spark, entries, str(tmp_path), str(tmp_path / "all")) == {"first": 1}
+    assert SW.read_latest(spark, str(tmp_path / "all/first")).count() == 1
+
+
+def test_only_changed_parts_are_published(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    rows = [(i, f"v{i}", {"k": i}) for i in range(400)]
+    df = table(spark, rows, "id int, v string, m map<string,int>")
+    assert SW.publish_changes(df, root, parts=10) == 10
+    assert SW.publish_changes(df.repartition(7), root) == 0  # other order, other files, same rows
+    files = {str(f) for f in (tmp_path / "t/data").rglob("*.parquet")}
+    assert SW.publish_changes(df.where("id <> 17"), root) == 1
+    assert files < {str(f) for f in (tmp_path / "t/data").rglob("*.parquet")}  # nothing is replaced
+    assert sorted(r["id"] for r in SW.read_latest(spark, root).collect()) == [i for i in range(400) if i != 17]
+    # a run that breaks off before its manifest leaves the version before it
+    broken = df.withColumn("v", F.when(F.col("id") == 3, "new").otherwise(F.col("v")))
+    plain = spark.__class__.createDataFrame
+    with monkeypatch.context() as m:
+        m.setattr(spark.__class__, "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            SW.publish_changes(broken, root)
+    assert spark.__class__.createDataFrame is plain
+    assert SW.read_latest(spark, root).where("v = 'new'").count() == 0 and SW.read_latest(spark, root).count() == 399
+    assert SW.publish_changes(broken, root) >= 1
+    assert SW.read_latest(spark, root).where("v = 'new'").count() == 1
+    assert SW.publish_changes(df.limit(0), root) == 0 and SW.read_latest(spark, root).count() == 0
+    assert SW.read_latest(spark, root).columns == ["id", "v", "m"]
+    # repeated rows count
+    twice = table(spark, [(1, "a", None)] * 2, "id int, v string, m map<string,int>")
+    assert SW.publish_changes(twice, str(tmp_path / "u")) == 1 and SW.publish_changes(twice.limit(1), str(tmp_path / "u")) == 1
 
 
 def SR_read(spark, path):
