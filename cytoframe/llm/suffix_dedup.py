@@ -266,12 +266,15 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, hot: i
     found = by_sorting.unionByName(by_digest).groupBy("anchor", "digest").agg(
         F.flatten(F.collect_list("ranges")).alias("ranges")
     )
+    # one row a segment, written: the join with its places is then one of its own, and a segment in a great many texts can be split
+    settled = written(
+        folded.join(found, ["anchor", "digest"], "left").where("many OR ranges IS NOT NULL").select("anchor", "digest", "many", "ranges"),
+        "settled",
+    )
     marked = (
         segments.select("anchor", "digest", "content", "first", "windows")
-        .join(folded.select("anchor", "digest", "many"), ["anchor", "digest"])
-        .join(found, ["anchor", "digest"], "left")
+        .join(settled, ["anchor", "digest"])
         .withColumn("ranges", F.expr("IF(many, array(struct(0 AS a, windows AS b)), ranges)"))
-        .where("ranges IS NOT NULL")
         .select("content", "first", F.explode("ranges").alias("r"))
     )
     per_text = marked.groupBy("content").agg(
