@@ -298,19 +298,28 @@ def test_spiral_of_a_thousand_columns(spark, monkeypatch):
 
     n = 1024
     mask = np.zeros((n, n), dtype=bool)
-    top, left, bottom, right = 0, 0, n - 1, n - 1
-    mask[0, :] = True
-    while top <= bottom and left <= right:  # two pixels apart, each turn joined to the one inside it
-        mask[top, left : right + 1] = mask[top : bottom + 1, right] = mask[bottom, left : right + 1] = True
-        mask[top + 2 : bottom + 1, left] = True
-        if left + 1 <= right and top + 2 <= bottom:
-            mask[top + 2, left + 1] = True
-        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    y = x = 0
+    mask[0, 0] = True
+    ends, turn = [n - 1, n - 1, 0, 2], 0  # right, down, left, up: how far each way goes, two pixels less every time
+    while True:
+        length = (ends[turn] - (x if turn % 2 == 0 else y)) * (1 if turn < 2 else -1)
+        if length <= 0:
+            break
+        dy, dx = [(0, 1), (1, 0), (0, -1), (-1, 0)][turn]
+        for _ in range(length):
+            y, x = y + dy, x + dx
+            mask[y, x] = True
+        ends[turn] += -2 if turn < 2 else 2
+        turn = (turn + 1) % 4
+    assert mask.sum() > n * n / 2.1
     y, x = np.nonzero(mask)
     px = spark.createDataFrame(pd.DataFrame({"fov": 1, "y": y, "x": x, "m": 1}))
     written = []
     plain = CO.materialise
     monkeypatch.setattr(CO, "materialise", lambda df: written.append(1) or plain(df))
     got = CO.connected_components(px, ["fov"], "m", "c", 4)
+    assert CO.first_of_component(np.arange(len(y) - 1), np.arange(1, len(y)), len(y)).max() == 0
     assert got.count() == len(y) and got.select("c").distinct().collect() == [(0,)]
-    assert len(written) <= 12
+    # one write a round, three besides; the path is cut into this many pieces by the tiles
+    pieces = CO._in_tiles(px, ["fov"], "m", 4, CO.TILE).select("__node__").distinct().count()
+    assert pieces < len(y) / 100 and len(written) <= 4 + np.log2(pieces)
