@@ -149,8 +149,6 @@ PRETTY_NAMES = {
     "structure_org_weighted_linear_model_all": "Combined organizational score",
     "structure_org_weighted_linear_model_all_rounded": "Combined organizational score (rounded)",
     "MYH7-MYH6_normalized_difference": "MYH7-MYH6 relative transcript abundance (normalized)",
-    **{f"{g}_count": f"{g} count" for g in GENES},
-    **{f"{g}_count_per_micrometer_squared": f"{g} (count/μm^2)" for g in GENES},
     **{f"{g}_localization": f"{g} localization" for g in ("MYH6", "MYH7")},
     **{
         f"{g}_probe_frac_{part}_gain_over_random":
@@ -221,6 +219,12 @@ def annotation_checks(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return stack(rows)
 
 
+def pretty_names(genes: Sequence[str]) -> dict[str, str]:
+    """Published column names of a table with these genes."""
+    counts = {f"{g}_count": f"{g} count" for g in genes}
+    return PRETTY_NAMES | counts | {f"{g}_count_per_micrometer_squared": f"{g} (count/μm^2)" for g in genes}
+
+
 def cell_checks(
     df: DataFrame, features: Sequence[str], keys: Sequence[str], known: Mapping[str, Sequence[str]]
 ) -> DataFrame:
@@ -380,7 +384,7 @@ def collated(
          *[f"{g}_density" for g in genes]],
     )
     return require_integers(
-        rename_existing(out, PRETTY_NAMES),
+        rename_existing(out, pretty_names(genes)),
         ["Nuclei count", f"{EXPERT} (annotator 1)", f"{EXPERT} (annotator 2)", "Cell number",
          f"{EXPERT} (round-up)"],
     )

@@ -63,6 +63,12 @@ def test_combined_score(spark, monkeypatch):
     assert np.allclose(got, want, rtol=1e-6, atol=1e-6, equal_nan=True) and (~np.isnan(want)).sum() > 100
 
 
+def test_published_names_follow_the_genes():
+    names = PT.pretty_names(["ACTN2", "MYH6"])
+    assert names["ACTN2_count"] == "ACTN2 count" and names["MYH6_count_per_micrometer_squared"] == "MYH6 (count/μm^2)"
+    assert names["cell_age"] == "Cell age" and "TCAP_count" not in names
+
+
 def test_jobs_stop_at_bad_input(spark):
     from cytoframe.operators.quality import known_value
 
