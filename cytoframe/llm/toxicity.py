@@ -1,7 +1,8 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 1. Labelled tokens. From a bounded sample of labelled documents (``TRAIN_ROWS`` per class, the ids'
-   hash decides which; near copies inside the sample count once) the words and word beginnings that set toxic documents apart are found. The
+   hash decides which; near copies of one class, with a similarity of 0.8 or more on word triples, count
+   once) the words and word beginnings that set toxic documents apart are found. The
    tokens of toxic documents that carry one are tagged toxic, all others clean.
 2. The field. Two states; a token's features are its lower-case word, its first three to six letters
    and its last three (those that the sample shows twice); transitions are learned. Weights maximise
@@ -43,6 +44,9 @@ TRAIN_ROWS = 2500  # labelled documents of each class at most
 TRAIN_BYTES = 20_000  # longer documents are not drawn for the sample
 SEGMENT = 48  # tokens
 SEGMENTS = 6000  # of either kind at most
+MINIMA = 64
+ALIKE = 0.8
+CUE_SHARE = 0.01
 EPOCHS = 60
 NOISE = 0.2
 LOW = -2.0
@@ -55,27 +59,48 @@ def features(word: str) -> list[str]:
     return ["w" + word, *("p" + word[:n] for n in range(3, 7) if len(word) >= n), "s" + word[-3:]]
 
 
-def without_copies(docs: list[list[str]]) -> list[int]:
-    """Numbers of the documents that share none of four minima of word-triple hashes with an earlier one."""
-    seen, kept = set(), []
-    factors = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint64)
+def triple_hashes(words: list[str]) -> np.ndarray:
+    """Sorted distinct hashes of a document's lower-case word triples; of the whole of it, if shorter."""
+    low = [w.lower() for w in words]
+    triples = {" ".join(low[i : i + 3]) for i in range(max(1, len(low) - 2))}
+    return np.unique(np.fromiter((zlib.crc32(t.encode()) for t in triples), np.uint64, len(triples)))
+
+
+def without_copies(docs: list[list[str]], toxic: np.ndarray) -> list[int]:
+    """Numbers of the documents whose word triples are not like those of an earlier one of their class.
+
+    Alike means a similarity of ``ALIKE`` or more, taken on the whole sets; it is only computed where
+    the signatures of two documents, ``MINIMA`` minima each, agree nearly that often.
+    """
+    draw = np.random.default_rng(7)
+    factors = draw.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = draw.integers(0, 2**63, MINIMA, dtype=np.uint64)
+    kept = []
+    signatures = {y: np.empty((int((toxic == y).sum()), MINIMA), dtype=np.uint32) for y in (False, True)}
+    sets: dict[bool, list[np.ndarray]] = {False: [], True: []}
     for number, words in enumerate(docs):
-        triples = {" ".join(words[i : i + 3]).lower() for i in range(max(1, len(words) - 2))}
-        hashes = np.fromiter((zlib.crc32(t.encode()) for t in triples), np.uint64, len(triples))
-        minima = ((hashes[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(0)
-        keys = {(i, int(m)) for i, m in enumerate(minima)}
-        if not keys & seen:
+        y = bool(toxic[number])
+        hashes = triple_hashes(words)
+        own = ((hashes[:, None] * factors + terms) >> np.uint64(32)).min(0).astype(np.uint32)
+        agree = (signatures[y][: len(sets[y])] == own).mean(1)
+        likely = np.flatnonzero(agree >= ALIKE - 3 * math.sqrt(ALIKE * (1 - ALIKE) / MINIMA))
+        for other in likely[np.argsort(-agree[likely], kind="stable")]:
+            both = len(np.intersect1d(hashes, sets[y][other], assume_unique=True))
+            if both >= ALIKE * (len(hashes) + len(sets[y][other]) - both):
+                break
+        else:
+            signatures[y][len(sets[y])] = own
+            sets[y].append(hashes)
             kept.append(number)
-        seen |= keys
     return kept
 
 
 def cue_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Word and beginning features far more frequent among toxic documents."""
+    """Word and beginning features far more frequent among toxic documents, in ``CUE_SHARE`` of them at least."""
     def of(words: list[str]) -> set[str]:
         return {f for w in set(words) for f in features(w) if f[0] != "s"}
 
-    least = max(2 if len(toxic) < 30 else 3, math.ceil(0.01 * len(toxic)))
+    least = max(2 if len(toxic) < 30 else 3, math.ceil(CUE_SHARE * len(toxic)))
     of_toxic: Counter = Counter()
     for words in toxic:
         of_toxic.update(of(words))
@@ -287,7 +312,7 @@ def train(sample: pd.DataFrame) -> dict:
         return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
     one: dict[str, str] = {}  # a word is held once
     words = [[one.setdefault(w, w) for w in WORDS.findall(t)] for t in texts]
-    kept = without_copies(words)
+    kept = without_copies(words, toxic)
     texts, words, toxic = [texts[i] for i in kept], [words[i] for i in kept], toxic[kept]
     if toxic.all() or not toxic.any():
         return {"constant": float(toxic.mean())}

@@ -18,7 +18,7 @@ from cytoframe.llm.suffix_arrays import permuted_prefixes, suffix_array
 import cytoframe.llm.suffix_arrays as suffix_arrays
 from cytoframe.llm import suffix_dedup
 from cytoframe.llm.suffix_dedup import op8_suffix_array, remove_repeats, repeated_windows
-from cytoframe.llm.toxicity import marginals, op2_toxicity, score_toxicity, toxicity_model
+from cytoframe.llm.toxicity import marginals, op2_toxicity, score_toxicity, toxicity_model, without_copies
 from cytoframe.llm.unit_dedup import OP6_SQL, drop_repeated_units, op6_unit_dedup
 from tests.compare import compare, connect
 
@@ -99,6 +99,39 @@ def test_toxicity_of_held_out_rows(spark, folder, labelled):
     assert [r.score for r in rows if r.doc_id == 5000] == [lowest] == [r.score for r in rows if r.doc_id is None]
 
 
+def plainly_without_copies(docs, toxic):
+    def triples(words):
+        return {tuple(w.lower() for w in words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+
+    kept = []
+    for i, words in enumerate(docs):
+        own = triples(words)
+        earlier = [triples(docs[j]) for j in kept if toxic[j] == toxic[i]]
+        if not any(len(own & e) >= 0.8 * len(own | e) for e in earlier):
+            kept.append(i)
+    return kept
+
+
+def test_sample_loses_near_copies_of_a_class_only():
+    draw = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    docs, toxic = [], []
+    for i in range(60):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([1, 2, 30, 200]))]
+        changed = list(base)
+        changed[draw.randrange(len(base))] = "other"
+        shares = passage + [f"w{draw.randrange(5000)}" for _ in range(60)]
+        for words, y in ((base, i % 2), (base, i % 2), (base, 1 - i % 2), (changed, i % 2), (shares, i % 2)):
+            docs.append(words)
+            toxic.append(bool(y))
+    docs += [[], []]
+    toxic += [False, False]
+    kept = without_copies(docs, np.array(toxic))
+    assert kept == plainly_without_copies(docs, toxic)
+    assert {i for i in range(4, 300, 5)} <= set(kept)  # a shared passage is no copy
+    assert {i for i in range(0, 300, 5)} | {300} <= set(kept) and 301 not in kept
+
+
 def test_toxicity_without_labels(spark, folder, labelled):
     docs = frame(spark, labelled[0][:20])
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
