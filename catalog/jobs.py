@@ -392,17 +392,45 @@ def plot_dataset(spark, sf):
     return rounded(out, ["MYH6 (count/μm^2)"], 4)
 
 
-@query("organisation_score")
+SCORE_PARTS = "q, q / (q + 10), q % 7 / 10, d, q % 5 / 10, q % 3 / 10, q % 11 / 20, q % 13 / 30, d * d, sqrt(q), q % 9"
+
+
+@query(
+    "organisation_score",
+    # standardised features, a row each; normal equations of the weighted ridge, the target in column 0;
+    # one step of the recursion clears one column
+    f"""WITH RECURSIVE {FEATURE_SQL}, x AS (SELECT o, c, (mh + kg) / 2.0 AS y, [{SCORE_PARTS}] AS parts FROM k),
+          u AS (SELECT o, c, y, unnest(range(1, 12)) AS i, unnest(parts) AS v FROM x),
+          st AS (SELECT i, avg(v) AS m, CASE WHEN max(v) = min(v) THEN 1 ELSE stddev_pop(v) END AS s FROM u GROUP BY 1),
+          wt AS (SELECT y, sum(count(*)) OVER () / count(*) AS w FROM x GROUP BY 1),
+          z AS (SELECT o, c, i, (v - m) / s AS v, w FROM u JOIN st USING (i) JOIN wt USING (y)
+                UNION ALL SELECT o, c, 0, y, w FROM x JOIN wt USING (y)),
+          mid AS (SELECT i, sum(w * v) / sum(w) AS m FROM z GROUP BY 1),
+          e AS (SELECT o, c, i, v - m AS v, w FROM z JOIN mid USING (i)),
+          eq AS (SELECT a.i, b.i AS j, sum(a.w * a.v * b.v) + CASE WHEN a.i = b.i THEN 0.001 ELSE 0 END AS v
+                 FROM e a JOIN e b ON a.o = b.o AND a.c = b.c WHERE a.i > 0 GROUP BY 1, 2),
+          g AS (SELECT 0 AS step, i, j, CAST(v AS DOUBLE) AS v FROM eq
+                UNION ALL SELECT g.step + 1, g.i, g.j, CASE WHEN g.i = p.i THEN g.v / p.v ELSE g.v - r.v * t.v / p.v END
+                FROM g JOIN g p ON p.i = g.step + 1 AND p.j = g.step + 1
+                  JOIN g r ON r.i = g.i AND r.j = g.step + 1 JOIN g t ON t.i = g.step + 1 AND t.j = g.j
+                WHERE g.step < 11),
+          scored AS (SELECT o, c, sum(e.v * g.v) + (SELECT m FROM mid WHERE i = 0) AS score
+                     FROM e JOIN g ON g.i = e.i AND g.j = 0 AND g.step = 11 GROUP BY 1, 2)
+        SELECT y AS structure_org_score, round(quantile_cont(score, 0.25), 5) AS low,
+          round(quantile_cont(score, 0.5), 5) AS middle, round(quantile_cont(score, 0.75), 5) AS high
+        FROM x JOIN scored USING (o, c) GROUP BY 1""",
+)
 def organisation_score(spark, sf):
     _, wide, _, model = analysis(spark, sf)
     scored = wide.select(
         "fov_path", "napariCell_ObjectNumber", "structure_org_score",
         "structure_org_weighted_linear_model_all",
     )
-    return group_quantiles(
+    quartiles = group_quantiles(
         scored, ["structure_org_score"], "structure_org_weighted_linear_model_all",
         {"low": 0.25, "middle": 0.5, "high": 0.75},
     )
+    return rounded(quartiles, ["low", "middle", "high"], 5)
 
 
 @query(
