@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.measures import rounded
-from catalog.tables import table
+from catalog.tables import scratch, table
 from cytoframe.functions import scalars as S
 from cytoframe.operators import columns as C
 from cytoframe.operators import joins as J
@@ -494,18 +489,6 @@ def revised_table(spark, sf):
 
 # ---------------------------------------------------------------- files
 
-def scratch(spark) -> str:
-    """A new folder beside the checkpoints; a local one, removed at the end, only on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="cytoframe-io-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        return folder
-    return f"{root.rstrip('/')}/io-{os.urandom(6).hex()}"
-
-
 @query(
     "csv_roundtrip",
     """SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS s_nationkey, CAST(s_acctbal AS VARCHAR) AS s_acctbal,

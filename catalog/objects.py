@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.measures import rounded
 from catalog.pixels import SCORE_PX, score_pixels
-from catalog.tables import PX, pixels, table
+from catalog.tables import PX, pixels, scratch, table
 from cytoframe.operators import objects as O
 from cytoframe.plans import fields as FD
+from cytoframe.sources.stored_pixels import store_pixels, stored_pixels
 
 # cells of uneven shape: the low values of each quarter
 CELLS = f"""{PX}, cl AS (SELECT fov, y, x, v, e, probe, nucleus, cls,
@@ -27,21 +28,36 @@ SHAPES = f"""{CELLS}, m AS (SELECT fov, label, count(*) AS area, avg(y) AS centr
       var_pop(x) + 1.0::DOUBLE / 12 AS b, covar_pop(y, x) AS c FROM cl WHERE label > 0 GROUP BY 1, 2)"""
 
 
-@query(
-    "shape_features",
-    f"""WITH {SHAPES}, s AS (SELECT *, 4 * sqrt((a + b) / 2 + sqrt((a - b) ** 2 / 4 + c * c)) AS mj,
+SHAPE_SQL = f"""WITH {SHAPES}, s AS (SELECT *, 4 * sqrt((a + b) / 2 + sqrt((a - b) ** 2 / 4 + c * c)) AS mj,
           4 * sqrt(greatest((a + b) / 2 - sqrt((a - b) ** 2 / 4 + c * c), 0)) AS mn FROM m)
         SELECT fov, label, area, round(centroid_y, 6) AS centroid_y, round(centroid_x, 6) AS centroid_x,
           y0, y1, x0, x1, round(mj, 6) AS major_axis, round(mn, 6) AS minor_axis,
-          round(mn / mj, 6) AS aspect_ratio FROM s""",
-)
-def shape_features(spark, sf):
+          round(mn / mj, 6) AS aspect_ratio FROM s"""
+
+
+def rounded_shapes(px):
     return rounded(
-        O.shape_features(cells(spark, sf)),
-        ["centroid_y", "centroid_x", "major_axis", "minor_axis", "aspect_ratio"],
+        O.shape_features(px), ["centroid_y", "centroid_x", "major_axis", "minor_axis", "aspect_ratio"]
     )
 
 
+@query("shape_features", SHAPE_SQL)
+def shape_features(spark, sf):
+    return rounded_shapes(cells(spark, sf))
+
+
+def stored(px):
+    """The pixels written by field and opened again from their description."""
+    path = scratch(px.sparkSession) + "/pixels"
+    store_pixels(px, path)
+    return stored_pixels(px.sparkSession, path)
+
+
+@query("stored_shapes", SHAPE_SQL)
+def stored_shapes(spark, sf):
+    return rounded_shapes(stored(cells(spark, sf)))
+
+
 BORDER = """border AS (SELECT DISTINCT fov, label FROM cl
    WHERE label > 0 AND (y = 0 OR x = 0 OR y >= 7 - 1 OR x >= 7 - 1))"""
 
@@ -189,9 +205,7 @@ def relabel(spark, sf):
 
 # ---------------------------------------------------------------- class areas
 
-@query(
-    "class_fractions",
-    f"""WITH {SCORE_PX}, k AS (SELECT *, CASE WHEN nucleus > 0 THEN 0 ELSE CAST(list_position(
+FRACTION_SQL = f"""WITH {SCORE_PX}, k AS (SELECT *, CASE WHEN nucleus > 0 THEN 0 ELSE CAST(list_position(
             [p1, p2, p3, p4, p5], greatest(p1, p2, p3, p4, p5)) AS INTEGER) END AS c FROM sc),
           b AS (SELECT fov, quantile_cont(v, 0.1) AS bg FROM sc GROUP BY 1),
           g AS (SELECT fov, label, count(*) AS n, round(count(*) FILTER (c = 0) / count(*), 6) AS bgd,
@@ -201,11 +215,15 @@ def relabel(spark, sf):
           pz AS "Prob_Organized_ZDisks", md AS "Intensity_Median", tot AS "Intensity_Integrated",
           round(bg, 6) AS "Background_Value", round(md - bg, 6) AS "Intensity_Median_BackSub",
           round(tot - n * bg, 6) AS "Intensity_Integrated_BackSub"
-        FROM g JOIN b ON b.fov = g.fov""",
-)
-def class_fractions(spark, sf):
+        FROM g JOIN b ON b.fov = g.fov"""
+
+
+def classed_pixels(spark, sf):
     scores = ["p1", "p2", "p3", "p4", "p5"]
-    px = score_pixels(spark, sf).withColumn("cls", O.class_map(scores, F.col("nucleus") > 0))
+    return score_pixels(spark, sf).withColumn("cls", O.class_map(scores, F.col("nucleus") > 0))
+
+
+def rounded_fractions(px):
     out = O.class_fractions(px)
     keep = [
         "Total_Area", "Frac_Area_Background", "Frac_Area_Fibers", "Prob_Organized_ZDisks",
@@ -215,6 +233,16 @@ def class_fractions(spark, sf):
     return rounded(out.select("fov", "label", *keep), keep[1:4] + keep[6:])
 
 
+@query("class_fractions", FRACTION_SQL)
+def class_fractions(spark, sf):
+    return rounded_fractions(classed_pixels(spark, sf))
+
+
+@query("stored_fractions", FRACTION_SQL)
+def stored_fractions(spark, sf):
+    return rounded_fractions(stored(classed_pixels(spark, sf)))
+
+
 @query(
     "probe_by_class",
     f"""WITH {PX} SELECT fov, label, count(*) AS cell_px, count(*) FILTER (nucleus = 1) AS nuc_px,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark) -> str:
+    """A new folder beside the checkpoints; a local one, removed at the end, only on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="cytoframe-io-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
+    return f"{root.rstrip('/')}/io-{os.urandom(6).hex()}"
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8 x 8 image per embedding.
 
