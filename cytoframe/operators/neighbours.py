@@ -3,9 +3,10 @@
 Training rows belong to the nearest of a bounded number of pivots, as in the published pivot partitioning for
 nearest-neighbour joins (Lu et al. 2012). Round one searches only the cell that a query lies in and
 carries its kth distance; round two visits just the other cells that the triangle inequality leaves
-within that distance. A cell is cut into blocks of bounded size. Each round sends a training row to
-one place; there a block is read once and held while the queries that visit it stream past, so
-neither many queries nor a crowded cell copy the training table or fill a task's memory. Searches of several groups
+within that distance. Cells are dealt to shards of bounded size (a crowded cell to several), queries to chunks; a task holds
+one shard while one chunk of the queries streams past, so a round sends a row once a chunk and a query once a shard, not once a cell.
+Inside a task whole numbers of 16 bits bound every distance from below, as in filter-and-refine searches over vector
+approximations (Weber et al. 1998); only the pairs that the bound leaves are measured in double precision. Searches of several groups
 (other columns or other rows each) run together in one plan.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from cytoframe.operators.resample import hash_number
 from cytoframe.session import materialise
 
 MOST_PIVOTS = 1024
+HELD_VALUES = 4_000_000  # numbers in a shard that a task holds
+CHUNK = 32_768  # queries that share one copy of a shard
+TILE = 131_072  # pairs compared at once
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -95,10 +100,10 @@ def nearest_vectors(
 ) -> DataFrame:
     """(g, q, t, distance, carry, rank) of the k nearest of ``rows`` (g, t, vec, carry) to each of ``asked`` (g, q, vec).
 
-    Only rows of the same group g (a string) are compared; ties go to the smaller t. ``evaluations`` is an
-    accumulator that counts distances between rows.
+    Only rows of the same group g (a string) are compared, ``block`` of them at once; ties go to the smaller t. ``evaluations`` is an
+    accumulator that counts the pairs compared.
     """
-    rows = rows.select("g", "t", "vec", "carry")
+    rows = materialise(rows.select("g", "t", "vec", "carry"))
     sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     wanted = {g: pivots or min(MOST_PIVOTS, max(32, math.isqrt(n) // 4)) for g, n in sizes.items()}
     most = F.coalesce(*[F.when(F.col("g") == g, n) for g, n in wanted.items()], F.lit(0))
@@ -115,105 +120,271 @@ def nearest_vectors(
                 [*batch.columns, pa.array(cell, pa.int32()), pa.array(d, pa.float64())], names=[*batch.schema.names, "cell", "d"]
             )
 
-    # parts of a cell are dealt by the row's hash: their number comes from the cell's size
     homes = materialise(
         rows.mapInArrow(at_home, f"g string, t {types['t']}, vec array<double>, carry {types['carry']}, cell int, d double")
-    )
+    ).where("cell >= 0")
     stats = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
     cells.measured(stats)
-    parts = {r["cell"]: max(1, math.ceil(r["n"] / block)) for r in stats}
-    part_count = F.try_element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("cell")) if parts else F.lit(1)
-    stored = homes.withColumn("part", F.pmod(F.xxhash64("t"), part_count).cast("int"))
-
-    def search(visits: DataFrame) -> DataFrame:
-        """The k best of every visited block: visits are (g, q, vec, cell)."""
-        sent = visits.withColumn("part", F.explode(F.sequence(F.lit(0), part_count - 1))).select(
-            "cell", "part", F.lit(1).alias("asks"), F.lit(None).cast(types["t"]).alias("t"), "q",
-            F.lit(None).cast(types["carry"]).alias("carry"), "vec", "g",
+    shards = _Shards(cells, stats)
+    asking = asked.select("g", "q", "vec").mapInArrow(at_home, f"g string, q {types['q']}, vec array<double>, cell int, d double")
+    asking = materialise(asking.where("cell >= 0"))
+    askers = {r["g"]: r["n"] for r in asking.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    dealt = homes.withColumn("h", F.xxhash64("t"))
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+
+    def search(visits: DataFrame, chunk: int) -> DataFrame:
+        """The k best of every visited shard: visits are (g, q, vec, kth, cells, shard)."""
+        # a chunk of queries and a shard make a task
+        least = -(-2 * parallel // max(1, len(shards.group)))
+        chunks = [max(1, -(-askers.get(g, 0) // chunk), min(least, askers.get(g, 0) // (chunk // 32))) for g in shards.group]
+        first = np.concatenate([[0], np.cumsum(chunks)]).astype("int64")
+        tasks = max(1, int(first[-1]))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard = shards.of(batch.column("cell").to_numpy(), batch.column("h").to_numpy())
+                ends = pa.array(first[shard + 1] - 1, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("t", "vec", "carry", "cell")], pa.array(first[shard], pa.int32()), ends],
+                    names=["t", "vec", "carry", "cell", "low", "high"],
+                )
+
+        def asked_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard = batch.column("shard").to_numpy()
+                task = first[shard] + batch.column("h").to_numpy() % (first[shard + 1] - first[shard])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("g", "q", "vec", "kth", "cells")], pa.array(task, pa.int32())],
+                    names=["g", "q", "vec", "kth", "cells", "task"],
+                )
+
+        held = dealt.mapInArrow(placed, f"t {types['t']}, vec array<double>, carry {types['carry']}, cell int, low int, high int")
+        held = held.select(
+            F.explode(F.sequence("low", "high")).alias("task"), F.lit(0).alias("asks"), "cell", "t", "carry", "vec",
+            F.lit(None).cast("string").alias("g"), F.lit(None).cast(types["q"]).alias("q"), F.lit(None).cast("double").alias("kth"),
+            F.lit(None).cast("array<int>").alias("cells"),
         )
-        held = stored.select(
-            "cell", "part", F.lit(0).alias("asks"), "t", F.lit(None).cast(types["q"]).alias("q"), "carry", "vec", "g"
+        sent = visits.withColumn("h", F.xxhash64("q")).mapInArrow(
+            asked_of, f"g string, q {types['q']}, vec array<double>, kth double, cells array<int>, task int"
+        ).select(
+            "task", F.lit(1).alias("asks"), F.lit(-1).alias("cell"), F.lit(None).cast(types["t"]).alias("t"),
+            F.lit(None).cast(types["carry"]).alias("carry"), "vec", "g", "q", "kth", "cells",
         )
-        # rows of a block come first, in order of their key, then its queries
-        both = held.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks", "t")
+        # rows of a shard come first, by cell, then the queries
+        both = held.unionByName(sent).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "asks", "cell", "t")
 
         def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, keys, carried, vectors = None, [], [], []
+            now, pieces, shard = None, [], None
             for batch in batches:
-                place = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "asks")], axis=1)
+                place = np.stack([batch.column(c).to_numpy() for c in ("task", "asks")], axis=1)
                 edges = [0, *(np.flatnonzero((np.diff(place, axis=0) != 0).any(axis=1)) + 1).tolist(), len(place)]
                 for a, b in zip(edges, edges[1:]):
                     if a == b:
                         continue
-                    piece, here = batch.slice(a, b - a), tuple(place[a][:2])
-                    if here != now:
-                        now, keys, carried, vectors = here, [], [], []
-                    matrix = _matrix(piece.column("vec"))
-                    if not place[a][2]:
-                        keys.append(piece.column("t"))
-                        carried.append(piece.column("carry"))
-                        vectors.append(matrix)
-                    elif keys:
-                        yield from _best(piece, matrix, pa.concat_arrays(keys), pa.concat_arrays(carried), np.concatenate(vectors), k)
-                        if evaluations is not None:
-                            evaluations.add(len(matrix) * sum(map(len, vectors)))
+                    piece, task = batch.slice(a, b - a), int(place[a][0])
+                    if task != now:
+                        now, pieces, shard = task, [], None
+                    if not place[a][1]:
+                        pieces.append(piece.select(["cell", "t", "carry", "vec"]))
+                    elif pieces or shard:
+                        if shard is None:
+                            shard, pieces = _Shard(pieces, k, block), []
+                        yield from shard.nearest(piece, evaluations)
 
         return both.mapInArrow(past, f"g string, q {types['q']}, t {types['t']}, distance double, carry {types['carry']}, kth double")
 
-    def wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other cells that a query must visit, from the kth distance of its own."""
-        for batch in batches:
-            groups = np.array(batch.column("g").to_pylist(), dtype=object)
-            kth = batch.column("kth").to_numpy(zero_copy_only=False)
-            kth = np.where(np.isnan(kth), np.inf, kth)
-            home = batch.column("cell").to_numpy()
-            visits = [None] * len(groups)
-            for rows_, matrix in _lists(batch.column("vec")):
-                for group in np.unique(groups[rows_]):
-                    here = np.flatnonzero(groups[rows_] == group)
-                    at = rows_[here]
-                    ids, lower, sure = cells.bounds(group, matrix[here], k)
-                    bound = np.minimum(sure, kth[at]) * (1 + 1e-9) + 1e-12
-                    reached = (lower <= bound[:, None]) & (ids[None, :] != home[at][:, None])
-                    for i, row in zip(at.tolist(), reached):
-                        visits[i] = ids[row].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("g"), batch.column("q"), batch.column("vec"), pa.array(visits, pa.list_(pa.int32()))],
-                names=["g", "q", "vec", "visits"],
-            )
+    def visiting(other: bool):
+        """Per query and shard its cells to visit: its own, or the others that its kth distance reaches."""
 
-    asking = asked.select("g", "q", "vec").mapInArrow(at_home, f"g string, q {types['q']}, vec array<double>, cell int, d double")
-    asking = materialise(asking.where("cell >= 0"))
-    first = materialise(search(asking))
-    # the kth best of any one block bounds the kth best of all
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups = np.array(batch.column("g").to_pylist(), dtype=object)
+                kth = batch.column("kth").to_numpy(zero_copy_only=False)
+                home = batch.column("cell").to_numpy()
+                for rows_, matrix in _lists(batch.column("vec")):
+                    for group in np.unique(groups[rows_]):
+                        here = np.flatnonzero(groups[rows_] == group)
+                        at = rows_[here]
+                        ids, lower, sure = cells.bounds(group, matrix[here], k)
+                        reached = ids[None, :] == home[at][:, None]
+                        if other:
+                            bound = np.minimum(sure, np.where(np.isnan(kth[at]), np.inf, kth[at])) * (1 + 1e-9) + 1e-12
+                            reached = (lower <= bound[:, None]) & ~reached
+                        for number, inside in shards.holding(group, ids):
+                            some = np.flatnonzero(reached[:, inside].any(axis=1))
+                            if not len(some):
+                                continue
+                            flags = reached[np.ix_(some, inside)]
+                            lists = pa.ListArray.from_arrays(
+                                pa.array(np.append(0, np.cumsum(flags.sum(axis=1))), pa.int32()),
+                                pa.array(np.broadcast_to(ids[inside], flags.shape)[flags], pa.int32()),
+                            )
+                            take = pa.array(at[some])
+                            yield pa.RecordBatch.from_arrays(
+                                [*[batch.column(c).take(take) for c in ("g", "q", "vec", "kth")], lists,
+                                 pa.array(np.full(len(some), number), pa.int32())],
+                                names=["g", "q", "vec", "kth", "cells", "shard"],
+                            )
+
+        return visits
+
+    visit = f"g string, q {types['q']}, vec array<double>, kth double, cells array<int>, shard int"
+    own = asking.withColumn("kth", F.lit(None).cast("double")).mapInArrow(visiting(False), visit)
+    first = materialise(search(own, 8 * CHUNK))
+    # the kth best of any one shard bounds the kth best of all
     kth = first.groupBy("g", "q").agg(F.min("kth").alias("kth"))
-    others = (
-        asking.join(kth, ["g", "q"], "left")
-        .select("g", "q", "vec", "cell", "kth")
-        .mapInArrow(wider, f"g string, q {types['q']}, vec array<double>, visits array<int>")
-        .select("g", "q", "vec", F.explode("visits").alias("cell"))
-    )
+    others = asking.join(kth, ["g", "q"], "left").select("g", "q", "vec", "cell", "kth").mapInArrow(visiting(True), visit)
     nearest = Window.partitionBy("g", "q").orderBy("distance", "t")
-    found = first.unionByName(search(others)).drop("kth")
+    found = first.unionByName(search(others, CHUNK)).drop("kth")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _best(asked: pa.RecordBatch, left: np.ndarray, keys: pa.Array, carried: pa.Array, right: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    take = min(k, len(right))
-    step = max(1, 4_000_000 // len(right))
-    for a in range(0, len(left), step):
-        d = _manhattan(left[a : a + step], right)
-        near = np.argsort(d, axis=1, kind="stable")[:, :take]
-        distance = np.take_along_axis(d, near, 1)
-        n = len(d)
-        kth = np.full((n, take), np.nan)
-        if take == k:
-            kth[:] = distance[:, -1:]
-        rows = pa.array(np.repeat(np.arange(a, a + n), take))
-        at = pa.array(near.ravel())
+class _Shards:
+    """Cells dealt to shards of about ``HELD_VALUES`` numbers, a group's cells to shards of its own; a larger cell has several."""
+
+    def __init__(self, cells: _Cells, stats) -> None:
+        group_of = {int(i): (g, len(centres[0])) for g, (ids, centres) in cells.of.items() for i in ids}
+        count = {r["cell"]: r["n"] for r in stats if r["cell"] in group_of}
+        size = max(count, default=-1) + 1
+        self.first, self.parts = np.zeros(size, dtype="int64"), np.ones(size, dtype="int64")
+        self.group: list[str] = []
+        room, last = {}, {}
+        # cells of a group come one after the other; one that does not fit opens the next shard
+        for cell in sorted(count):
+            group, width = group_of[cell]
+            most = max(1000, HELD_VALUES // max(1, width))
+            parts = -(-count[cell] // most)
+            if parts > 1 or room.get(group, 0) < count[cell]:
+                self.first[cell], self.parts[cell] = len(self.group), parts
+                self.group += [group] * parts
+                last[group] = len(self.group) - 1
+                room[group] = most - count[cell] if parts == 1 else 0
+            else:
+                self.first[cell] = last[group]
+                room[group] -= count[cell]
+
+    def of(self, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return self.first[cell] + h % self.parts[cell]
+
+    def holding(self, group: str, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards of a group with the places in ``ids`` of the cells that they hold."""
+        for number in (i for i, g in enumerate(self.group) if g == group):
+            inside = np.flatnonzero((self.first[ids] <= number) & (number < self.first[ids] + self.parts[ids]))
+            if len(inside):
+                yield number, inside
+
+
+class _Shard:
+    """The rows that a task holds, by cell, in double precision and as whole numbers of 16 bits."""
+
+    def __init__(self, pieces: list[pa.RecordBatch], k: int, block: int) -> None:
+        self.k = k
+        self.keys = pa.concat_arrays([p.column("t") for p in pieces])
+        self.carry = pa.concat_arrays([p.column("carry") for p in pieces])
+        self.exact = np.concatenate([_matrix(p.column("vec")) for p in pieces])
+        cell = np.concatenate([p.column("cell").to_numpy() for p in pieces])
+        self.place = np.empty(len(cell), dtype="int64")  # order of the keys, for equal distances
+        self.place[pc.array_sort_indices(self.keys).to_numpy() if not pa.types.is_nested(self.keys.type) else np.arange(len(cell))] = np.arange(len(cell))
+        edges = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)).tolist()
+        self.blocks = [
+            (int(cell[a]), at, min(at + block, b)) for a, b in zip(edges, edges[1:]) for at in range(a, b, block)
+        ]
+        self.finite = np.isfinite(self.exact).all(axis=1)
+        # how fine the steps are: any choice gives right bounds
+        whole = self.exact[self.finite][:: max(1, len(cell) // 4096)]
+        self.levels = 32_000 // max(1, self.exact.shape[1])
+        low, high = (np.quantile(whole, q, axis=0) for q in (0.001, 0.999)) if len(whole) else (np.zeros(self.exact.shape[1]),) * 2
+        self.low, self.step = low, max(float((high - low).max(initial=0.0)) / max(1, self.levels), 1e-300)
+        self.coarse = np.ascontiguousarray(self._coarse(self.exact).T)
+
+    def _coarse(self, exact: np.ndarray) -> np.ndarray:
+        """Steps above ``low``. Cutting at both ends only brings values closer, so their distances still bound from below."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.nan_to_num(np.rint(np.clip((exact - self.low) / self.step, 0, self.levels))).astype("int16")
+
+    def _bounds(self, coarse: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = np.zeros((len(coarse), b - a), dtype="int16")
+        step = np.empty_like(out)
+        for j in range(coarse.shape[1]):
+            np.subtract(coarse[:, j, None], self.coarse[j, a:b], out=step)
+            np.add(out, np.abs(step, out=step), out=out)
+        return out
+
+    def _distances(self, exact: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        found = np.empty(len(q))
+        for a in range(0, len(q), 32_768):
+            diff = np.abs(exact[q[a : a + 32_768]] - self.exact[r[a : a + 32_768]])
+            total = np.zeros(len(diff))
+            for j in range(diff.shape[1]):
+                total += diff[:, j]
+            found[a : a + 32_768] = total
+        return found
+
+    def nearest(self, asked: pa.RecordBatch, evaluations) -> Iterator[pa.RecordBatch]:
+        exact, k = _matrix(asked.column("vec")), self.k
+        n, width = exact.shape
+        coarse, plain = self._coarse(exact), np.isfinite(exact).all(axis=1)
+        kth = asked.column("kth").to_numpy(zero_copy_only=False)
+        reach = np.where(np.isnan(kth), np.inf, kth)
+        distance, row = np.full((n, k), np.inf), np.full((n, k), -1)
+        cells = asked.column("cells")
+        who = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
+        wanted = cells.flatten().to_numpy()
+        order = np.argsort(wanted, kind="stable")
+        who, wanted = who[order], wanted[order]
+
+        def keep(q: np.ndarray, r: np.ndarray) -> None:
+            """The k best of the pairs and of those found before."""
+            d = self._distances(exact, q, r)
+            fits = ~(d > reach[q])
+            q, r, d = q[fits], r[fits], d[fits]
+            if not len(q):
+                return
+            some = np.unique(q)
+            had = row[some] >= 0
+            q = np.concatenate([q, np.repeat(some, had.sum(axis=1))])
+            r, d = np.concatenate([r, row[some][had]]), np.concatenate([d, distance[some][had]])
+            best = np.lexsort((self.place[r], d, q))
+            q, r, d = q[best], r[best], d[best]
+            starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+            q, r, d, nth = q[nth < k], r[nth < k], d[nth < k], nth[nth < k]
+            distance[q, nth], row[q, nth] = d, r
+            reach[some] = np.fmin(reach[some], distance[some, k - 1])
+
+        for cell, a, b in self.blocks:
+            need = who[np.searchsorted(wanted, cell) : np.searchsorted(wanted, cell, "right")]
+            for at in range(0, len(need), max(1, TILE // (b - a))):
+                q = need[at : at + max(1, TILE // (b - a))]
+                if evaluations is not None:
+                    evaluations.add(len(q) * (b - a))
+                odd, rough = q[~plain[q]], np.flatnonzero(~self.finite[a:b]) + a
+                if len(odd):
+                    keep(np.repeat(odd, b - a), np.tile(np.arange(a, b), len(odd)))
+                    q = q[plain[q]]
+                if len(rough):
+                    keep(np.repeat(q, len(rough)), np.tile(rough, len(q)))
+                if not len(q):
+                    continue
+                least = self._bounds(coarse[q], a, b)
+                if len(rough):
+                    least[:, rough - a] = np.iinfo("int16").max
+                free = np.flatnonzero(np.isinf(reach[q]))
+                if len(free) and b - a - len(rough) >= k:
+                    # the k of the least bounds give a distance within which k rows lie
+                    seeds = np.argpartition(least[free], k - 1, axis=1)[:, :k]
+                    d = self._distances(exact, np.repeat(q[free], k), seeds.ravel() + a).reshape(-1, k)
+                    reach[q[free]] = d.max(axis=1)
+                most = np.minimum(reach[q] * (1 + 1e-9) / self.step + width + 1, 32_001).astype("int16")
+                i, r = np.nonzero(least <= most[:, None])
+                keep(q[i], r + a)
+        got = (row >= 0).sum(axis=1)
+        hit = row >= 0
+        kth = np.where(hit[:, -1], distance[:, -1], np.nan)
+        at, rows = pa.array(np.repeat(np.arange(n), got)), pa.array(row[hit])
         yield pa.RecordBatch.from_arrays(
-            [asked.column("g").take(rows), asked.column("q").take(rows), keys.take(at), pa.array(distance.ravel()), carried.take(at),
-             pa.array(kth.ravel(), from_pandas=True)],
+            [asked.column("g").take(at), asked.column("q").take(at), self.keys.take(rows), pa.array(distance[hit]), self.carry.take(rows),
+             pa.array(np.repeat(kth, got), from_pandas=True)],
             names=["g", "q", "t", "distance", "carry", "kth"],
         )
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,35 @@ def test_second_round_visits_few_cells(spark):
     assert 0 < counted.value < len(rows) * len(asked) / 5
 
 
+def test_neighbours_from_several_shards_and_chunks(spark, monkeypatch):
+    """A crowded cell lies in several shards, queries in chunks, far values and missing ones do not spoil the bounds."""
+    monkeypatch.setattr(NB, "HELD_VALUES", 3000)
+    monkeypatch.setattr(NB, "CHUNK", 64)
+    draw = np.random.default_rng(8)
+    rows = np.concatenate([draw.normal(size=(2600, 3)), np.full((40, 3), 0.25), [[1e6, 0, 0]]])
+    asked = np.concatenate([draw.normal(size=(250, 3)), np.full((3, 3), 0.25), [[9e5, 0, 0]]])
+    make = lambda m: spark.createDataFrame(pd.DataFrame(m, columns=list("abc")).assign(id=np.arange(len(m))))
+    got = NB.nearest_rows(make(rows), make(asked), list("abc"), "id", 5, pivots=2, block=100).toPandas().sort_values(["id", "rank"])
+    d = np.abs(asked[:, None] - rows[None]).sum(axis=2)
+    assert np.array_equal(got["neighbour"].to_numpy().reshape(-1, 5), np.argsort(d, axis=1, kind="stable")[:, :5])
+
+
+def test_coarse_distances_never_exceed_exact_ones():
+    draw = np.random.default_rng(9)
+    rows, asked = draw.normal(size=(4000, 64)), draw.normal(size=(40, 64))
+    rows[:3] *= 50
+    piece = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(4000), pa.int32()), pa.array(np.arange(4000)), pa.array(np.zeros(4000)),
+         pa.ListArray.from_arrays(pa.array(np.arange(4001) * 64, pa.int32()), pa.array(rows.ravel()))],
+        names=["cell", "t", "carry", "vec"],
+    )
+    shard = NB._Shard([piece], 5, 100)
+    exact = np.abs(asked[:, None] - rows[None]).sum(axis=2)
+    coarse = shard._bounds(shard._coarse(asked), 0, 4000)
+    assert ((coarse - 64.0) * shard.step <= exact).all()
+    assert (exact[:, 3:] - (coarse[:, 3:] - 64.0) * shard.step).mean() < 0.06 * exact[:, 3:].mean()
+
+
 def test_neighbours_of_fewer_rows_than_k_and_of_none(spark):
     make = lambda rows: spark.createDataFrame(rows, "id int, a double, b double")
     few = [(1, 0.0, 0.0), (2, 1.0, 1.0), (3, 1.0, 1.0)]
