@@ -1,7 +1,7 @@
 """Joins with dataframe-merge semantics: missing keys match missing keys.
 
 An outer merge is one full join, so chains of them scan every input once. Adaptive
-execution cannot split a full join: where a key may be hot, ``merge`` materialises the side
+execution cannot split a full join: where a key may be hot, ``merge`` stores the side
 that holds it, joins that side by a left join (which can be split) and adds the other side's
 rest by an anti join with the pre-aggregated distinct keys; the plan does not double either.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
-from cytoframe.session import materialise
+from cytoframe.session import stored
 
 _R = "__right__"
 
@@ -71,8 +71,8 @@ def merge(
         keys = {k: F.coalesce(quoted(k), quoted(_R + k)) for k in on}
         return joined.select([keys[c].alias(c) if c in keys else quoted(c) for c in order])
     # the left side is the chain so far and is read twice: once it is computed, nothing doubles
-    left = materialise(left)
-    keep, other = (left, right) if many == "left" else (materialise(right), left)
+    left = stored(left)
+    keep, other = (left, right) if many == "left" else (stored(right), left)
     kept = keep.join(_right_keys_renamed(other, on), _condition(on, nulls_match), "left")
     # the union of two branches with one partitioning may not fit after adaptive re-planning
     rest = anti(other, keep, on, nulls_match).hint("rebalance")
