@@ -15,7 +15,7 @@ from cytoframe.operators.reshape import stack, tidy
 from cytoframe.operators.stats import mean_interval
 from cytoframe.plans import cell_table as CT
 from cytoframe.plans import plot_tables as PT
-from cytoframe.session import materialise
+from cytoframe.session import stored
 from cytoframe.sources import readers as SR
 from cytoframe.sources import writers as SW
 
@@ -309,7 +309,7 @@ def stand_in_structure(features):
 
 
 def analysis(spark, sf):
-    raw = materialise(stand_in_features(spark, sf))
+    raw = stored(stand_in_features(spark, sf))
     features, _ = PT.clean_features(raw, OBS)
     return raw, *PT.analysis_tables(features, stand_in_structure(raw), PROBES)
 
@@ -451,7 +451,7 @@ def revised_table(spark, sf):
     part = table(spark, sf, "lineitem").groupBy(
         F.col("l_orderkey").alias("ImageNumber"), F.col("l_linenumber").alias("napariCell_ObjectNumber")
     ).agg(F.min("l_partkey").alias("part"))
-    cells = materialise(
+    cells = stored(
         J.merge(cells, part, ["ImageNumber", "napariCell_ObjectNumber"], "inner", False)
     )
     cells = cells.withColumn("no_structure", F.when(F.col("part") % 10 == 0, 0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
 from cytoframe.operators.reshape import stack
-from cytoframe.session import materialise
+from cytoframe.session import stored
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -46,9 +46,9 @@ def prune_iteratively(
 ) -> tuple[DataFrame, list[str]]:
     """Columns, then rows, at ever tighter thresholds. One aggregate job per threshold.
 
-    The input is computed once; the jobs read its checkpoint.
+    The input is computed once; the jobs read their columns of the stored table.
     """
-    df = materialise(df)
+    df = stored(df)
     for thresh in threshs:
         for axis in ("columns", "rows"):
             df, columns = prune_missing(df, columns, thresh, axis)

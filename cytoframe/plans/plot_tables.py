@@ -46,7 +46,7 @@ from cytoframe.operators.stats import (
     over_group_median,
     scaler_params,
 )
-from cytoframe.session import materialise
+from cytoframe.session import stored
 
 # fixed values: probes with their amplifier, in column order
 PROBES = [
@@ -302,7 +302,7 @@ def analysis_tables(
         }
     )
     # the fit reads the table several times, so the join above is written once
-    wide = materialise(rename_existing(wide, SHORT_NAMES))
+    wide = stored(rename_existing(wide, SHORT_NAMES))
     wide, model = add_organisation_score(wide)
     long = tidy(wide, [f"{p}_count" for p in probes])
     wide = wide.toDF(*[N.without_amplifier(c) for c in wide.columns])
@@ -528,6 +528,8 @@ def revised_table(
         ("probe546", "napariCell_Children_seg_probe_561_Count"),
         ("probe647", "napariCell_Children_seg_probe_638_Count"),
     ]
+    # the names, the check of repeated cells and the fit read both tables several times
+    fish, live = stored(fish), stored(live)
     wide = widen_from_data(fish, pairs)
     counts = [c for c in wide.columns if c.endswith("_count")]
     wide = wide.withColumns(
@@ -555,7 +557,6 @@ def revised_table(
         }
     )
     cell = [REVISED_NAMES.get(c, c) for c in ("fov_path", "napariCell_ObjectNumber")]
-    both = materialise(both)
     if duplicate_keys(both.where(F.col("Dataset").isNotNull()), ["Dataset", *cell]).take(1):
         raise ValueError("a cell occurs more than once in a data set")
     features = [REVISED_NAMES.get(f, f) for f in REVISED_FEATURES]
