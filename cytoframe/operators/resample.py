@@ -58,12 +58,15 @@ def bootstrap_weights(
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )
     taken = hash_number(seed, *[quoted(k) for k in keys], F.col("replicate"), F.col("__i__"))
+    # dealt by the drawn row, the draws are counted and joined with it where they are
     weights = (
         draws.withColumn("__i__", taken % F.col("__n__"))
+        .select(*[quoted(k) for k in keys], "replicate", "__i__")
+        .repartition(*[quoted(k) for k in keys], "__i__")
         .groupBy(*[quoted(k) for k in keys], "replicate", "__i__")
         .agg(F.count("*").alias("__w__"))
     )
-    return materialise(merge(weights, indexed, [*keys, "__i__"], "inner").drop("__i__"))
+    return materialise(merge(weights, indexed, [*keys, "__i__"], "inner", nulls_match=False).drop("__i__"))
 
 
 def _weighted(stat: str) -> Column | None:

@@ -127,11 +127,12 @@ def spearman(
         quoted(y).alias("__y__"),
         (F.lit(1) if weight is None else quoted(weight)).alias("__w__"),
     ).dropna("any", subset=["__x__", "__y__"])
-    pairs = materialise(
-        pairs.groupBy(*[quoted(k) for k in keys], "__x__", "__y__").agg(
-            F.sum("__w__").alias("__w__")
+    if weight is None:
+        pairs = materialise(
+            pairs.groupBy(*[quoted(k) for k in keys], "__x__", "__y__").agg(
+                F.sum("__w__").alias("__w__")
+            )
         )
-    )
     ranked = pairs
     for value, rank in (("__x__", "__rx__"), ("__y__", "__ry__")):
         ranks = average_ranks(pairs, keys, value, rank, "__w__")
