@@ -136,7 +136,9 @@ def mixing_rates(
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     rows = rows.withColumn("words", words).withColumn("n_tokens", F.size("words").cast("long"))
     bins = text_bins(F.col("text"), F.col("n_tokens"), F.col("words"))
-    narrow = written(rows.select("key", "n_tokens", bins.alias("bins")), "bins")
+    # the texts are read once: later passes take their columns from this table
+    binned = written(rows.select("row", "key", "n_tokens", bins.alias("bins")), "bins")
+    narrow = binned.select("key", "n_tokens", "bins")
     known = labels.where(F.col(label).isin(domains)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("domain"))
     counted = (
         narrow.join(known, "key")
@@ -153,8 +155,7 @@ def mixing_rates(
     misses, step = fit_misses(cells, [targets[d] for d in domains], strength)
     draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     return (
-        rows.select("row", "key", "n_tokens", bins.alias("bins"))
-        .withColumn("posteriors", posteriors)
+        binned.withColumn("posteriors", posteriors)
         .withColumn("rate", _rate(F.col("posteriors"), misses, step, strength))
         .select("row", "n_tokens", "posteriors", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
     )
