@@ -432,3 +432,37 @@ def test_extracts_are_fixed(spark):
     assert values(SW.extract_rows(df, "id"), "id") == values(SW.extract_rows(df.repartition(5), "id"), "id")
     a, b = SW.extract_by_key(df, [df, df.where("id < 20")], "g", 2)
     assert a.select("g").distinct().count() == 2 and b.count() <= a.count()
+
+
+def test_stored_tables_read_only_their_columns(spark):
+    """A hot outer merge and the plot tables keep their inputs as Parquet, not as whole rows; a stored table is not written again."""
+    from cytoframe.session import stored
+
+    left = spark.createDataFrame([(1, "a", 2.0), (None, "b", 3.0)], "k int, s string, v double")
+    once = stored(left)
+    assert stored(once) is once and sorted(once.collect(), key=str) == sorted(left.collect(), key=str)
+    merged = J.merge(left, spark.createDataFrame([(1, 5), (2, 6)], "k int, w int"), ["k"], "outer", many="left")
+    plan = merged.select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "struct<k:int>" in plan and "v:double" not in plan
+    assert sorted((r["k"] or 0, r["s"] or "", r["w"] or 0) for r in merged.collect()) == [(0, "b", 0), (1, "a", 5), (2, "", 6)]
+
+
+def test_draws_meet_their_rows_without_a_second_exchange(spark, monkeypatch):
+    """Draws are counted where their rows are: one exchange for the draws and one for the rows."""
+    plans, plain = [], R.materialise
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(R, "materialise", kept)
+    monkeypatch.setattr(R, "broadcast_within", lambda df: F.broadcast(plain(df)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(200).selectExpr("cast(id % 3 as string) as k", "id as o", "cast(id as double) as v")
+        drawn = R.bootstrap_weights(df, ["k"], ["v"], "o", 4, 1)
+        assert drawn.agg(F.sum("__w__")).first()[0] == 800
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans[-1].count("Exchange hashpartitioning") == 2
