@@ -388,6 +388,23 @@ def test_removal_equals_brute_force(spark, hot):
     assert Counter((r.doc_id, bytes(r.bytes), bytes(r.kept), tuple((s.start, s.end) for s in r.spans)) for r in got) == want
 
 
+def test_copies_of_a_text_are_sorted_once(spark, monkeypatch):
+    """No shard grows with the copies of a text; what they share with other texts is still found."""
+    tables, written = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passage = word(90)
+    texts = [word(50) + passage + word(50)] * 40 + [word(50) + passage + word(50) for _ in range(6)] + [word(300)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in remove_repeats(frame(spark, docs).repartition(4), 40, 16).collect()}
+    assert got == dict(enumerate(plain_removal(texts, 40)))
+    assert got[0][1] == got[39][1] == [(0, 190)] and got[46][1] == []
+    segments = tables["feed"].select("anchor", "digest").collect()
+    assert len(segments) == len(set(segments)) > 6
+    assert tables["feed"].groupBy("anchor").count().agg(F.max("count")).first()[0] <= 7
+
+
 @pytest.mark.parametrize("sf, hot", [("sf0.001", 4096), ("sf0.01", 4096), ("sf0.01", 3)])
 def test_supplied_byte_strings(spark, folder, sf, hot):
     """Whole tables against all windows; with a small ``hot`` many anchors are counted instead of sorted."""
