@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.operators.columns import quoted
@@ -291,30 +291,49 @@ def dummy_predictions(rows: DataFrame, fit_on: str, strategies: Sequence[str], s
     return stack([o.select("split", "probe", "classifier", "key", F.col("y").alias("true"), "pred") for o in out])
 
 
-def neighbour_predictions(rows: DataFrame, sets, fit_on: str, ks: Sequence[int], block: int = 2000) -> DataFrame:
-    """Votes of the k nearest training rows (the smaller label on ties) for all probes, sets and k from one search."""
-    def group(name: str) -> Column:
-        return F.concat_ws("\n", "probe", F.lit(name))
+def _majorities(labels: pa.Array, ks: Sequence[int]) -> list[np.ndarray]:
+    """Per k the most frequent of the first k labels of every list, the smaller one on ties; -1 for an empty list."""
+    size = labels.value_lengths().to_numpy()
+    width = max(1, int(size.max(initial=0)))
+    table = np.zeros((len(size), width), dtype="int64")
+    table[np.arange(width) < size[:, None]] = labels.flatten().to_numpy()
+    found = []
+    for k in ks:
+        first = table[:, :k]
+        there = np.arange(first.shape[1]) < size[:, None]
+        votes = ((first[:, :, None] == first[:, None, :]) & there[:, None, :]).sum(axis=2) * there
+        most = (votes == votes.max(axis=1, keepdims=True)) & there
+        found.append(np.where(most, first, np.iinfo("int64").max).min(axis=1))
+        found[-1][size == 0] = -1
+    return found
+
 
-    def vectors(name: str) -> Column:
-        return F.array(*[F.col("x")[i] for i in sets[name]])
+def neighbour_predictions(rows: DataFrame, sets, fit_on: str, ks: Sequence[int], block: int = 2000) -> DataFrame:
+    """Votes of the k nearest training rows (the smaller label on ties) for all probes, sets and k from one search.
 
-    asked_key = F.struct("split", "key")
+    The sets are views of one vector, so a pair of rows is visited once for all of them.
+    """
     known = rows.where((F.col("split") == fit_on) & F.col("y").isNotNull())
-    per_set = lambda df, *cols: df.withColumn(
-        "s", F.explode(F.array(*[F.struct(group(s).alias("g"), vectors(s).alias("vec")) for s in sets]))
-    ).select("s.g", "s.vec", *cols)
+    asked = rows.withColumn("q", F.to_json(F.struct("split", "key"))).withColumn("g", F.col("probe"))
     near = nearest_vectors(
-        per_set(known, F.col("key").alias("t"), F.col("y").alias("carry")),
-        per_set(rows, F.to_json(asked_key).alias("q"), "split", "probe", "key", "y").select("g", "q", "vec"),
-        max(ks), block=block,
+        known.select(F.col("probe").alias("g"), F.col("key").alias("t"), F.col("x").alias("vec"), F.col("y").alias("carry")),
+        asked.select("g", "q", F.col("x").alias("vec")),
+        max(ks), block=block, views={f"set{i}": places for i, places in enumerate(sets.values())},
     )
-    each = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
-    votes = each.groupBy("g", "q", "k", F.col("carry").alias("label")).agg(F.count("*").alias("n"))
-    picked = votes.groupBy("g", "q", "k").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("pred"))
-    about = per_set(rows, F.to_json(asked_key).alias("q"), "split", "probe", "key", "y").drop("vec")
-    return about.join(picked, ["g", "q"]).select(
-        "split", "probe", F.substring_index("g", "\n", -1).alias("features"), F.concat(F.lit("KNN k="), F.col("k").cast("string")).alias("classifier"),
+    labels = [f"set{i}" for i in range(len(sets))]
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.stack([v for n in labels for v in _majorities(batch.column(n), ks)], axis=1)
+            ends = pa.array(np.arange(len(batch) + 1) * made.shape[1], pa.int32())
+            picked = pa.ListArray.from_arrays(ends, pa.array(made.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("q"), picked], names=["g", "q", "made"])
+
+    voted = near.select("g", "q", *[F.col(n)["carry"].alias(n) for n in labels]).mapInArrow(vote, "g string, q string, made array<int>")
+    names = F.array(*[F.struct(F.lit(s).alias("features"), F.lit(f"KNN k={k}").alias("classifier")) for s in sets for k in ks])
+    joined = asked.drop("x").join(voted, ["g", "q"]).select("split", "probe", "key", "y", F.posexplode("made").alias("nth", "pred"))
+    return joined.select(
+        "split", "probe", F.get(names, F.col("nth"))["features"].alias("features"), F.get(names, F.col("nth"))["classifier"].alias("classifier"),
         "key", F.col("y").alias("true"), "pred",
     )
 

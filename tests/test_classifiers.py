@@ -161,3 +161,78 @@ def test_neighbours_of_fewer_rows_than_k_and_of_none(spark):
     assert [r["neighbour"] for r in got] == [2, 3, 1]
     assert NB.nearest_rows(make([]), make(few), ["a", "b"], "id", 5).count() == 0
     assert NB.nearest_rows(make(few), make([]), ["a", "b"], "id", 5).count() == 0
+
+
+def wide_rows(spark, matrix, **columns):
+    data = pd.DataFrame({"g": "", "vec": matrix.tolist()}).assign(**columns)
+    return spark.createDataFrame(data, "g string, vec array<double>, " + ", ".join(f"{c} long" for c in columns))
+
+
+def test_views_share_the_visit_of_a_pair(spark, monkeypatch):
+    """Feature sets are views of one vector: every pair is visited once for all of them, in chunks and tiles, and each view has its own neighbours."""
+    monkeypatch.setattr(NB, "CHUNK", 64)
+    monkeypatch.setattr(NB, "SHARD", 300)
+    draw = np.random.default_rng(11)
+    rows, asked = draw.normal(size=(1500, 8)), draw.normal(size=(200, 8))
+    rows[700:760] = rows[3]  # equal distances across shards
+    rows[1200] = 1e7  # spoils the wide steps
+    views = {"both": list(range(8)), "low": [0, 1, 2], "odd": [1, 3, 5, 7]}
+    counted = spark.sparkContext.accumulator(0)
+    got = NB.nearest_vectors(
+        wide_rows(spark, rows, t=np.arange(1500)[::-1], carry=np.arange(1500) % 3), wide_rows(spark, asked, q=np.arange(200)), 5,
+        evaluations=counted, views=views,
+    ).toPandas().sort_values("q")
+    assert got["q"].tolist() == list(range(200))
+    for name, places in views.items():
+        d = np.abs(asked[:, None, places] - rows[None, :, places]).sum(axis=2)
+        want = np.lexsort((np.broadcast_to(np.arange(1500)[::-1], d.shape), d.round(9)), axis=1)[:, :5]
+        assert np.array_equal(1499 - np.array([[n["t"] for n in near] for near in got[name]]), want)
+        assert np.allclose([[n["distance"] for n in near] for near in got[name]], np.take_along_axis(d, want, 1))
+        assert all([n["carry"] for n in near] == (w % 3).tolist() for near, w in zip(got[name], want))
+    assert 0 < counted.value <= len(rows) * len(asked)
+
+
+def test_the_sets_of_a_comparison_are_one_search_over_one_vector(cells, monkeypatch):
+    """Every row and query goes into the search once, not once a feature set."""
+    data, splits = cells
+    handed = []
+    search = C.nearest_vectors
+    monkeypatch.setattr(C, "nearest_vectors", lambda rows, asked, *a, **b: handed.append((rows.count(), asked.count())) or search(rows, asked, *a, **b))
+    grid = [c for c in M.classifier_grid() if c["kind"] == "knn"]
+    made = C.compared(splits, SETS, "label", "id", grid, probe="probe")
+    assert handed == [(180, 240)]
+    assert made.count() == 240 * len(SETS) * len(grid)
+
+
+def test_few_chunks_and_bounded_ones(spark):
+    """Queries of a crowded cell are dealt to several chunks, those of small cells share one, cells of two groups never do."""
+    views = NB._Views(None)
+    cells = NB._Cells([("a", [0.0]), ("a", [9.0]), ("a", [1.0]), ("b", [0.0])], views)
+    chunks = NB._Chunks(cells, {0: 40_000, 1: 10, 2: 20, 3: 5}, 5, 1)
+    assert chunks.parts.tolist() == [-(-40_000 // 13_345), 1, 1, 1]
+    assert chunks.first[1] == chunks.first[2] and chunks.group == ["a", "a", "a", "a", "b"]
+    sent = chunks.order([(3, 0), (3, 1), (3, 2)])
+    assert {c: [x["turn"] for x in to] for c, to in sent.items()} == {1: [0], 2: [1], 0: [2]}
+
+
+def test_majority_of_the_first_labels():
+    labels = pa.array([[2, 1, 1, 2, 2], [3], [], [2, 1]], pa.list_(pa.int32()))
+    one, two, five = C._majorities(labels, [1, 2, 5])
+    assert one.tolist() == [2, 3, -1, 2] and two.tolist() == [1, 3, -1, 1] and five.tolist() == [2, 3, -1, 1]
+
+
+def test_a_row_with_a_missing_number_is_no_ones_near_neighbour(spark):
+    """Rows that miss numbers come after all that have them; a query that misses some still gets an answer."""
+    draw = np.random.default_rng(12)
+    rows, asked = draw.normal(size=(400, 3)), draw.normal(size=(40, 3))
+    rows[rows[:, 0].argsort()[:2]] = np.nan
+    asked[5] = np.nan
+    got = NB.nearest_vectors(
+        wide_rows(spark, rows, t=np.arange(400), carry=np.zeros(400, int)), wide_rows(spark, asked, q=np.arange(40)), 3,
+        views={"all": [0, 1, 2], "one": [1]},
+    ).collect()
+    assert len(got) == 40
+    for r in got:
+        for name in ("all", "one"):
+            missing = [bool(np.isnan(n["distance"])) for n in r[name]]
+            assert len(missing) == 3 and missing == [r["q"] == 5] * 3
