@@ -30,7 +30,7 @@ HELD_VALUES = 4_000_000  # numbers that a task holds: vectors, and the distance
 CHUNK = 32_768  # queries that share one copy of the rows
 FEW = 1024  # queries that are not worth a copy of their own
 SHARD = 8192  # rows that are compared together
-LANES, ROWS = 2048, 32  # queries and rows of a tile
+LANES, ROWS = 4096, 64  # queries and rows of a tile
 TILE = 131_072  # pairs measured at once
 SMALL = 63  # steps of the bounds of 8 bits
 
